@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.queries import requests
+from tessera.queries import forecast, requests
 
-MODULES = (requests,)
+MODULES = (requests, forecast)
 
 
 def all_queries() -> dict:

@@ -39,17 +39,17 @@ def global_rank(
         )
     )
     by_slice = [*group, "_slice"]
-    sizes = ranged.groupBy(*by_slice).agg(F.count("*").alias("_n"))
+    sizes = ranged.groupBy(*by_slice).agg(F.count("*").alias("_slice_rows"))
     scope = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     before = scope.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     # one row per (group, slice): at most one row per shuffle partition and group
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_slice_rows").over(before), F.lit(0)))
     if size_col is not None:
-        offsets = offsets.withColumn(size_col, F.sum("_n").over(scope))
+        offsets = offsets.withColumn(size_col, F.sum("_slice_rows").over(scope))
     local = F.row_number().over(W.partitionBy(*by_slice).orderBy(*order))
     return (
         ranged.withColumn("_local", local)
-        .join(offsets.drop("_n"), by_slice)
+        .join(offsets.drop("_slice_rows"), by_slice)
         .withColumn(rank_col, (F.col("_local") + F.col("_before")).cast("long"))
         .drop("_local", "_before", "_slice")
     )

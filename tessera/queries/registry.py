@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.queries import forecast, requests
+from tessera.queries import analysis, forecast, requests
 
-MODULES = (requests, forecast)
+MODULES = (requests, forecast, analysis)
 
 
 def all_queries() -> dict:

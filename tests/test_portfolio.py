@@ -1,0 +1,120 @@
+import itertools
+
+import pytest
+
+from tessera.plans import portfolio as p
+
+ACTIONS = "problem_id string, action_id string, ord int, max_units int, unit_cost double, unit_capacity double, unit_risk double, unit_benefit double"
+CONSTRAINTS = "problem_id string, budget double, capacity double, maximum_risk double, minimum_benefit double, maximum_selected int, minimum_selected int"
+UNITS = {"a": (2, 5, 1, 1, 6, 3, 5, 7), "b": (2, 4, 1, 1, 4, 1, 3, 8), "c": (1, 7, 1, 1, 9, 5, 6, 9)}
+
+
+def tables(spark, names=("base",), constraint=(14.0, 3.0, 4.0, 6.0, 2, 1), floor=3.0):
+    actions, groups, scenarios = [], [], []
+    for name in names:
+        for i, (a, (units, cost, cap, risk, benefit, g, low, high)) in enumerate(UNITS.items()):
+            actions.append((name, a, i, units, float(cost), float(cap), float(risk), float(benefit)))
+            groups.append((name, a, "priority", float(g)))
+            scenarios += [(name, a, "low", float(low)), (name, a, "high", float(high))]
+    return dict(
+        actions=spark.createDataFrame(actions, ACTIONS),
+        groups=spark.createDataFrame(groups, "problem_id string, action_id string, group_id string, benefit double"),
+        scenarios=spark.createDataFrame(scenarios, "problem_id string, action_id string, scenario_id string, value double"),
+        constraints=spark.createDataFrame([(n, *constraint) for n in names], CONSTRAINTS),
+        floors=spark.createDataFrame([(n, "priority", floor) for n in names], "problem_id string, group_id string, minimum double"),
+    )
+
+
+def run(spark, config=p.PortfolioConfig(), **kw):
+    t = tables(spark, **kw)
+    problems = p.problem_rows(t["actions"], t["scenarios"], t["constraints"], config, t["groups"], t["floors"])
+    plans = p.score_plans(p.plan_grid(problems), config)
+    return problems, plans, p.solve(problems, plans, config)
+
+
+def brute(budget=14, cap=3, risk=4, least=6, floor=3, most=2):
+    out = []
+    for i, q in enumerate(itertools.product(range(3), range(3), range(2))):
+        tot = [sum(n * UNITS[a][j] for n, a in zip(q, "abc")) for j in range(1, 8)]
+        cost, capacity, rsk, benefit, g, low, high = tot
+        n = sum(x > 0 for x in q)
+        ok = cost <= budget and capacity <= cap and rsk <= risk and benefit >= least and g >= floor and 1 <= n <= most
+        out.append((i, q, cost, min(low, high), ok))
+    return out
+
+
+def test_complete_enumeration_is_optimal(spark):
+    _, plans, runs = run(spark)
+    r = runs.collect()[0]
+    expected = brute()
+    assert r.evaluated_plans == r.search_space == 18 and r.status == "optimal" and r.optimality_gap == 0
+    assert r.feasible_plans == sum(e[4] for e in expected)
+    best = sorted((e for e in expected if e[4]), key=lambda e: (-e[3], e[2], e[1]))[0]
+    assert r.selected_plan_id == f"portfolio-plan-{best[0]:08d}" and r.incumbent_objective == best[3]
+    assert r.change_from_baseline == best[3] and r.theoretical_upper_bound == 39.0
+    by_index = {x.plan_index: x for x in plans.collect()}
+    assert all(tuple(by_index[e[0]].quantities) == e[1] and by_index[e[0]].feasible == e[4] for e in expected)
+    assert by_index[0].violations and "minimum-selected-actions" in {v.constraint_id for v in by_index[0].violations}
+    kept = p.retain_plans(plans, 5).collect()
+    assert len(kept) == 5 and [k for k in kept if k.plan_rank == 1][0].plan_id == r.selected_plan_id
+
+
+def test_infeasible_and_limited_select_nothing(spark):
+    _, plans, runs = run(spark, constraint=(1.0, None, None, 100.0, None, 1), floor=0.0)
+    r = runs.collect()[0]
+    assert r.status == "infeasible" and r.selected_plan_id is None and r.failure_reason == p.NO_FEASIBLE
+    counts = {c.constraint_id: c.violating_plans for c in p.violation_counts(plans).collect()}
+    assert counts["budget"] == 17 and counts["minimum-benefit"] == 18
+    limited = run(spark, p.PortfolioConfig(maximum_evaluations=4))[2].collect()[0]
+    assert limited.status == "search-limited" and limited.evaluated_plans == 4
+    assert limited.selected_plan_id is None and "4 of 18 plans" in limited.failure_reason
+
+
+def test_expected_objective(spark):
+    cfg = p.PortfolioConfig(worst_case=False, weights={"low": 0.25, "high": 0.75})
+    _, plans, runs = run(spark, cfg)
+    row = plans.filter("plan_index = 3").collect()[0]
+    q = dict(zip("abc", row.quantities))
+    assert row.objective_value == pytest.approx(sum(
+        n * (0.25 * UNITS[a][6] + 0.75 * UNITS[a][7]) for a, n in q.items()) )
+    assert runs.collect()[0].status == "optimal"
+    wrong = p.PortfolioConfig(worst_case=False, weights={"low": 1.0})
+    bad = run(spark, wrong)[2].collect()[0]
+    assert bad.status == "rejected" and "cover scenarios" in bad.failure_reason
+    with pytest.raises(ValueError):
+        p.PortfolioConfig(worst_case=False, weights={"low": 0.5})
+
+
+def test_unknown_floor_group_is_rejected_row(spark):
+    t = tables(spark, names=("x", "y"))
+    floors = spark.createDataFrame([("y", "ghost", 1.0)], "problem_id string, group_id string, minimum double")
+    cfg = p.PortfolioConfig()
+    problems = p.problem_rows(t["actions"], t["scenarios"], t["constraints"], cfg, t["groups"], floors)
+    runs = {r.problem_id: r for r in p.solve(problems, p.score_plans(p.plan_grid(problems), cfg), cfg).collect()}
+    assert runs["x"].status == "optimal" and runs["y"].status == "rejected"
+
+
+def test_frontier_matches_brute_force(spark):
+    _, plans, _ = run(spark, constraint=(30.0, None, None, None, None, 0), floor=0.0)
+    rows = [r for r in plans.collect() if r.feasible]
+    expected = {
+        a.plan_id for a in rows if not any(
+            b.objective_value >= a.objective_value and b.total_cost <= a.total_cost
+            and (b.objective_value > a.objective_value or b.total_cost < a.total_cost) for b in rows)
+    }
+    assert {r.plan_id for r in p.pareto(plans).collect()} == expected
+
+
+def test_conservative_alternative(spark):
+    _, plans, runs = run(spark)
+    row = p.conservative_plan(plans, runs).collect()[0].conservative
+    selected = runs.collect()[0]
+    rest = [r for r in plans.filter("feasible").collect() if r.plan_id != selected.selected_plan_id]
+    best = min(rest, key=lambda r: (abs(r.objective_value - 0.55 * selected.incumbent_objective), r.total_cost, r.plan_id))
+    assert row.plan_id == best.plan_id
+
+
+def test_blocks_cover_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(p, "BLOCK", 5)
+    _, plans, _ = run(spark)
+    assert sorted(r.plan_index for r in plans.select("plan_index").collect()) == list(range(18))

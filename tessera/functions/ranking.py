@@ -56,10 +56,13 @@ def global_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float]
+    df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float],
+    nearest: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles at position ``(n - 1) * p``, exact for any group size.
 
+    With ``nearest`` the value at rank ``ceil(n * p)`` is taken instead.
+
     Rows are counted per distinct value, values are binned on a monotone scale between the group's
     bounds, and only the bins that hold a wanted position are sorted. Returns one row per group and
     probability: ``probability, quantile``.
@@ -99,7 +102,11 @@ def exact_quantiles(
     targets = (
         histogram.withColumn("_w", wanted)
         .select("*", "_w.probability", "_w._side")
-        .withColumn("_pos", (F.col("_total") - 1) * F.col("probability"))
+        .withColumn(
+            "_pos",
+            F.greatest(F.lit(0.0), F.ceil(F.col("_total") * F.col("probability")) - 1).cast("double")
+            if nearest else (F.col("_total") - 1) * F.col("probability"),
+        )
         .withColumn(
             "_index",
             F.least(F.floor("_pos") + F.col("_side"), F.col("_total") - 1).cast("long"),

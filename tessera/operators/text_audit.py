@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -91,15 +92,22 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             F.transform(F.slice("w", 1, F.col("length")), lambda x: x["token"]).alias("prefix"),
         )
     )
-    keyed = ordered.select("class_id", "size", "prefix", F.explode("prefix").alias("token"))
+    # sizes of a pair differ by at most the threshold, so they fall into the same or the next size
+    # band; joining on the band as well splits a token that very many sets share
+    low = threshold - 1e-6
+    band = F.floor(F.log(F.col("size").cast("double")) / -log(low))
+    keyed = ordered.select(
+        "class_id", "size", "prefix", band.alias("band"), F.explode("prefix").alias("token")
+    )
     left = keyed.select(
-        F.col("class_id").alias("class_a"), F.col("size").alias("size_a"), F.col("prefix").alias("prefix_a"), "token"
+        F.col("class_id").alias("class_a"), F.col("size").alias("size_a"), F.col("prefix").alias("prefix_a"),
+        "token", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
     )
     right = keyed.select(
-        F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("prefix").alias("prefix_b"), "token"
+        F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("prefix").alias("prefix_b"),
+        "token", "band",
     )
-    low = threshold - 1e-6
-    candidates = left.join(right, "token").filter(
+    candidates = left.join(right, ["token", "band"]).filter(
         (F.col("class_a") < F.col("class_b"))
         & (F.col("size_a") >= F.col("size_b") * low)
         & (F.col("size_b") >= F.col("size_a") * low)

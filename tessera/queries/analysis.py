@@ -331,8 +331,7 @@ def q_plan_scores(spark, sf):
     _, plans = _portfolio(spark, sf)
     return plans.select(
         "problem_id", "plan_index", F.array_join("quantities", "/").alias("quantities"),
-        F.round("total_cost", 4).alias("total_cost"), F.round("objective_value", 4).alias("objective_value"),
-        "feasible", F.array_join("violations.constraint_id", "|").alias("violated"),
+        "total_cost", "objective_value", "feasible", F.array_join("violations.constraint_id", "|").alias("violated"),
     )
 
 
@@ -356,8 +355,7 @@ def q_retained(spark, sf):
 def q_pareto(spark, sf):
     _, plans = _portfolio(spark, sf)
     return portfolio.pareto(plans, PORTFOLIO).select(
-        "problem_id", "plan_id", F.round("total_cost", 4).alias("total_cost"),
-        F.round("objective_value", 4).alias("objective_value"),
+        "problem_id", "plan_id", "total_cost", "objective_value"
     )
 
 
@@ -617,7 +615,7 @@ ORACLES = {
           'Paired uncertainty analysis requires aligned draw counts for every option.'""",
     "option_contract": "SELECT 'daily' AS run_id, CAST(0 AS BIGINT) AS issue_count",
     "plan_scores": f"""WITH {PLANS} SELECT problem_id, plan_index, array_to_string(q, '/') AS quantities,
-        round(total_cost, 4) AS total_cost, round(objective_value, 4) AS objective_value, feasible,
+        total_cost, objective_value, feasible,
         array_to_string(violated, '|') AS violated FROM ranked""",
     "portfolio_runs": f"""WITH {PLANS} SELECT problem_id,
           CASE WHEN count(*) FILTER (feasible) > 0 THEN 'optimal' ELSE 'infeasible' END AS status,
@@ -630,7 +628,7 @@ ORACLES = {
           round(max(objective_value) FILTER (feasible), 4) AS change_from_baseline FROM ranked GROUP BY 1""",
     "retained_plans": f"WITH {PLANS} SELECT problem_id, plan_id, plan_rank, feasible FROM ranked WHERE plan_rank <= 10",
     "pareto_frontier": f"""WITH {PLANS}, ok AS (SELECT problem_id, plan_id, total_cost AS c, objective_value AS o FROM ranked WHERE feasible)
-        SELECT problem_id, plan_id, round(c, 4) AS total_cost, round(o, 4) AS objective_value FROM ok a
+        SELECT problem_id, plan_id, c AS total_cost, o AS objective_value FROM ok a
         WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.problem_id = a.problem_id AND b.o >= a.o - 1e-9 AND b.c <= a.c + 1e-9
           AND (b.o > a.o + 1e-9 OR b.c < a.c - 1e-9))""",
     "violation_counts": f"""WITH {PLANS} SELECT problem_id, constraint_id, count(*) AS violating_plans FROM (

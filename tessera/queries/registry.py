@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.queries import analysis, forecast, requests
+from tessera.queries import analysis, forecast, requests, tables, tables_sql
 
-MODULES = (requests, forecast, analysis)
+QUERY_MODULES = (requests, forecast, analysis, tables)
+SQL_MODULES = (requests, forecast, analysis, tables_sql)
 
 
 def all_queries() -> dict:
-    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+    return {name: fn for module in QUERY_MODULES for name, fn in module.QUERIES.items()}
 
 
 def all_oracles() -> dict:
-    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    return {name: sql for module in SQL_MODULES for name, sql in module.ORACLES.items()}

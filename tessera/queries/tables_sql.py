@@ -223,8 +223,8 @@ ORACLES = {
         UNION ALL SELECT 'family', count(*), count(*), true FROM part""",
     "library_audit": f"""WITH {DESIGNS}, c AS (SELECT count(*) AS n FROM (SELECT 1 FROM designs GROUP BY family_id, suite, question HAVING count(*) > 1)),
         t AS (SELECT count(*) AS n FROM (SELECT 1 FROM designs GROUP BY lower(title) HAVING count(*) > 1))
-        SELECT CAST(3 AS BIGINT) AS failed_checks, false AS audit_passed,
-          'duplicate-title=' || t.n || ';signature-collisions=' || c.n AS failures FROM c, t""",
+        SELECT CAST(4 AS BIGINT) AS failed_checks, false AS audit_passed,
+          'duplicate-title=' || t.n || ';incomplete-rules=1;signature-collisions=' || c.n AS failures FROM c, t""",
     "artifact_set_hash": """WITH m AS (SELECT source, sha256(doc_id || '=' || md5(text)) AS m FROM documents),
         f AS (SELECT source, substr(m, 1, 2) AS b, count(*) AS n, sum(CAST('0x' || substr(m, 1, 12) AS HUGEINT)) AS w0,
           sum(CAST('0x' || substr(m, 13, 12) AS HUGEINT)) AS w1, sum(CAST('0x' || substr(m, 25, 12) AS HUGEINT)) AS w2,

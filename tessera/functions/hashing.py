@@ -21,7 +21,7 @@ def content_hash(names: Sequence[str]) -> Column:
 
 def set_hash(entries: Column) -> Column:
     """Hash over an array of (id, hash) structs, independent of their order."""
-    ordered = F.array_sort(entries)
+    ordered = F.sort_array(entries)
     return digest(F.array_join(F.transform(ordered, lambda e: F.concat(e[0], F.lit("="), e[1])), ","))
 
 
@@ -47,7 +47,7 @@ def artifact_set_hash(df: DataFrame, group: Sequence[str], ident: str, hashed: s
     # at most 256 lines per group
     return folded.groupBy(*group).agg(
         F.sum("_n").alias("artifacts"),
-        digest(F.array_join(F.array_sort(F.collect_list(line)), ",")).alias("set_hash"),
+        digest(F.array_join(F.sort_array(F.collect_list(line)), ",")).alias("set_hash"),
     )
 
 

@@ -68,7 +68,8 @@ def exact_quantiles(
     probability: ``probability, quantile``.
     """
     group = list(group)
-    counted = (
+    # read three times below, so whatever produces the values is computed once
+    counted = durable(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))

@@ -21,9 +21,8 @@ def portable(value: Column, digits: int = 12) -> Column:
     """Round to significant digits so that sums taken in any order rank and hash alike."""
     if not 10 <= digits <= 17:
         raise ValueError("digits must lie in 10..17")
-    rounded = F.format_string(f"%.{digits - 1}e", value.cast("double")).cast("double")
-    # adding 0.0 turns a negative zero into zero
-    return F.when(value.isNotNull(), rounded + F.lit(0.0))
+    # try_cast, because null formats as text; adding 0.0 turns a negative zero into zero
+    return F.format_string(f"%.{digits - 1}e", value.cast("double")).try_cast("double") + F.lit(0.0)
 
 
 def norm_dim(value: Column) -> Column:

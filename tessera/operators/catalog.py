@@ -108,7 +108,7 @@ def city_detail(cities: DataFrame, city_id: str, metrics: DataFrame, capabilitie
     def listed(table: DataFrame, name: str) -> DataFrame:
         fields = [c for c in table.columns if c != "city_id"]
         return table.filter(F.col("city_id") == city_id).groupBy("city_id").agg(
-            F.array_sort(F.collect_list(F.struct(*fields))).alias(name)
+            F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
         )
 
     rows = lookup(cities, "city_id", city_id)

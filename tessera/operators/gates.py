@@ -323,7 +323,7 @@ def capabilities(bound: DataFrame, rules: Mapping[str, tuple[str, Sequence[str]]
     references themselves stay in the bindings table.
     """
     held = bound.groupBy("city_id", "role").agg(F.count("*").alias("refs"))
-    roles = held.groupBy("city_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "refs")))).alias("have"))
+    roles = held.groupBy("city_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "refs")))).alias("have"))
     listed = F.explode(F.array(*[
         F.struct(F.lit(suite).alias("suite"), F.lit(status).alias("status"), F.array(*[F.lit(r) for r in need]).alias("required"))
         for suite, (status, need) in rules.items()
@@ -391,7 +391,7 @@ def design_readiness(designs: DataFrame, current: Sequence[str] = CURRENT_ROLES)
         .when(gap & causal, "blocked-multi").when(gap, "blocked-source").when(causal, "blocked-method")
         .otherwise("uncompiled-current-inputs")
     )
-    evidence = F.array_sort(F.array_compact(F.array(
+    evidence = F.sort_array(F.array_compact(F.array(
         F.lit("observed"), F.lit("estimated"), F.lit("proposed"), F.when(causal, F.lit("causal")),
         F.when(F.array_contains("analysis_modes", "simulation"), F.lit("simulated")),
         F.when(F.array_contains("analysis_modes", "optimization"), F.lit("optimized")),

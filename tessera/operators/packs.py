@@ -72,7 +72,7 @@ def screen_cities(metrics: DataFrame) -> DataFrame:
     cities = metrics.select("city_id").distinct().select("city_id", F.explode(wanted).alias("w")).select("city_id", "w.*")
     rows = cities.join(metrics.select("city_id", "metric_id", "value"), ["city_id", "metric_id"], "left")
     return rows.groupBy("city_id", "template_id", "status").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "metric_id", "value"))).alias("m"),
+        F.sort_array(F.collect_list(F.struct("ord", "metric_id", "value"))).alias("m"),
         F.count_if(F.col("value").isNull()).alias("missing_metrics"),
     ).select(
         F.concat_ws(".", "city_id", "template_id").alias("run_id"), "city_id", "template_id", "status",
@@ -191,9 +191,9 @@ def decision_packs(scenario_rows: DataFrame, options: DataFrame, tests: DataFram
     ``scenario_rows(scenario_id, city, template_id, negative_reason, observed_requests)``.
     """
     listed = options.groupBy(F.col("run_id").alias("scenario_id")).agg(
-        F.array_sort(F.collect_list(F.struct(*[c for c in options.columns if c != "run_id"]))).alias("options"))
+        F.sort_array(F.collect_list(F.struct(*[c for c in options.columns if c != "run_id"]))).alias("options"))
     tested = tests.groupBy(F.col("run_id").alias("scenario_id")).agg(
-        F.array_sort(F.collect_list(F.struct(*[c for c in tests.columns if c != "run_id"]))).alias("reversal_tests"))
+        F.sort_array(F.collect_list(F.struct(*[c for c in tests.columns if c != "run_id"]))).alias("reversal_tests"))
     chosen = decisions.select(
         F.col("run_id").alias("scenario_id"), "selected_option_id", F.col("status").alias("uncertainty_status"),
         F.col("failure_reason").alias("_uncertain"))
@@ -289,7 +289,7 @@ def registry(packs: DataFrame) -> DataFrame:
 
     A city has one pack per template, so its arrays are as short as the template list.
     """
-    entry = F.array_sort(F.collect_list(F.struct("scenario_id", "content_hash", "status")))
+    entry = F.sort_array(F.collect_list(F.struct("scenario_id", "content_hash", "status")))
     return packs.groupBy("city").agg(
         entry.alias("e"), F.count_if(F.col("status") == "completed").alias("completed"),
         F.count_if(F.col("status") != "completed").alias("negative"),
@@ -330,6 +330,6 @@ def expand_designs(families: DataFrame, settings: Mapping[str, Mapping[str, obje
         F.concat_ws(".", "family_id", "decision_type").alias("design_id"), "family_id", "suite", "decision_type",
         F.concat_ws(" ", F.initcap("mechanism"), F.lit("for"), F.col("decision_object")).alias("title"),
         F.concat(F.lit("Which "), "mechanism", F.lit(" changes "), "outcome", F.lit("?")).alias("question"),
-        F.array_sort(F.array_union("source_roles", "extra_roles")).alias("source_roles"),
+        F.sort_array(F.array_union("source_roles", "extra_roles")).alias("source_roles"),
         F.array(F.lit("descriptive"), F.col("mode")).alias("analysis_modes"),
     )

@@ -247,7 +247,7 @@ def focus_summary(views: DataFrame, rules: Mapping[str, Sequence[str]], top: int
         by_category.withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= top)
         .groupBy("city", "rule_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "category", "n"))).alias("_top"))
+        .agg(F.sort_array(F.collect_list(F.struct("_rank", "category", "n"))).alias("_top"))
         .select(
             "city", "rule_id",
             F.transform("_top", lambda t: F.struct(t["category"].alias("category"), t["n"].alias("request_count")))

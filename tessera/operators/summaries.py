@@ -154,7 +154,7 @@ def pack_ledger(packs: DataFrame) -> DataFrame:
     return packs.select(
         "pack_id", "city_id", "template_id", "status", "observed_requests",
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counters],
-        F.array_sort(F.array_distinct("source_refs")).alias("source_refs"), "content_hash",
+        F.sort_array(F.array_distinct("source_refs")).alias("source_refs"), "content_hash",
     )
 
 

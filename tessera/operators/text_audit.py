@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import digest
 from tessera.functions.scalar import collapse_space
+from tessera.session import durable
 
 # Words that carry no topic in a title or question.
 STOPWORDS = (
@@ -58,13 +59,16 @@ def token_classes(df: DataFrame, ident: str, texts: Sequence[str]) -> tuple[Data
     ``membership(id, class_id)``. All copies of a text share a class, so no later step pairs them.
     """
     keyed = df.select(
-        F.col(ident).alias("id"), F.array_sort(token_set(*[F.col(t) for t in texts])).alias("tokens")
+        F.col(ident).alias("id"), F.sort_array(token_set(*[F.col(t) for t in texts])).alias("tokens")
     ).withColumn("class_id", F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
-    classes = keyed.groupBy("class_id").agg(
-        F.any_value("tokens").alias("tokens"),
-        F.count("*").alias("members"),
-        F.min("id").alias("first_id"),
-    ).withColumn("size", F.size("tokens"))
+    # tokenising is the costly step and several branches need its result: it is done once
+    classes = durable(
+        keyed.groupBy("class_id").agg(
+            F.any_value("tokens").alias("tokens"),
+            F.count("*").alias("members"),
+            F.min("id").alias("first_id"),
+        ).withColumn("size", F.size("tokens"))
+    )
     return classes, keyed.select("id", "class_id")
 
 
@@ -72,8 +76,10 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of distinct token sets with Jaccard at or above the threshold, exactly.
 
     Two sets that similar must share a token among the rarest few of each (prefix filter) and have
-    close sizes, so candidates come from an equi-join on those tokens. A pair is kept only at the
-    first prefix token both share, which makes each pair appear once without a distinct.
+    close sizes, so candidates come from an equi-join on those tokens whose rows carry numbers only.
+    Before the token sets themselves are compared, two bounds drop pairs that cannot reach the needed
+    overlap: what can still follow the first shared token, and what the prefixes share plus the
+    longer rest.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the prefix filter needs a threshold in (0.5, 1]")
@@ -85,10 +91,10 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ordered = (
         exploded.join(weight, "token")
         .groupBy("class_id", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"))
         .withColumn("length", (F.col("size") - needed + 1).cast("int"))
         .select(
-            "class_id", "size",
+            "class_id", "size", "length",
             F.transform(F.slice("w", 1, F.col("length")), lambda x: x["token"]).alias("prefix"),
         )
     )
@@ -97,22 +103,31 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     low = threshold - 1e-6
     band = F.floor(F.log(F.col("size").cast("double")) / -log(low))
     keyed = ordered.select(
-        "class_id", "size", "prefix", band.alias("band"), F.explode("prefix").alias("token")
+        "class_id", "size", "length", band.alias("band"), F.posexplode("prefix").alias("at", "token")
     )
+    names = ("class_id", "size", "length", "at")
     left = keyed.select(
-        F.col("class_id").alias("class_a"), F.col("size").alias("size_a"), F.col("prefix").alias("prefix_a"),
-        "token", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
-    )
-    right = keyed.select(
-        F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("prefix").alias("prefix_b"),
-        "token", "band",
-    )
-    candidates = left.join(right, ["token", "band"]).filter(
-        (F.col("class_a") < F.col("class_b"))
-        & (F.col("size_a") >= F.col("size_b") * low)
-        & (F.col("size_b") >= F.col("size_a") * low)
-        & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("token"))
-    ).select("class_a", "class_b")
+        *[F.col(n).alias(f"{n}_a") for n in names], "token",
+        F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
+    )
+    right = keyed.select(*[F.col(n).alias(f"{n}_b") for n in names], "token", "band")
+    sizes = ("size_a", "size_b", "length_a", "length_b")
+    shared_prefix = (
+        left.join(right, ["token", "band"])
+        .filter(
+            (F.col("class_id_a") < F.col("class_id_b"))
+            & (F.col("size_a") >= F.col("size_b") * low)
+            & (F.col("size_b") >= F.col("size_a") * low)
+        )
+        .groupBy("class_id_a", "class_id_b", *sizes)
+        .agg(F.count("*").alias("common"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    )
+    overlap = F.ceil(F.lit(low / (1 + low)) * (F.col("size_a") + F.col("size_b")) - 1e-6)
+    following = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    rest = F.greatest(F.col("size_a") - F.col("length_a"), F.col("size_b") - F.col("length_b"))
+    candidates = shared_prefix.filter(
+        (following >= overlap) & (F.col("common") + rest >= overlap)
+    ).select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"))
     tokens_of = filled.select("class_id", "tokens")
     checked = (
         candidates.join(
@@ -136,7 +151,10 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def similar_pairs(df: DataFrame, ident: str, texts: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
     """High-similarity pairs between distinct token sets, with how many row pairs each stands for."""
-    classes, _ = token_classes(df, ident, texts)
+    return _described_pairs(token_classes(df, ident, texts)[0], threshold)
+
+
+def _described_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     pairs = class_pairs(classes, threshold)
     info = classes.select("class_id", "first_id", "members")
     both = pairs.join(
@@ -160,7 +178,7 @@ def similarity_totals(df: DataFrame, ident: str, texts: Sequence[str], threshold
     similarity zero to everything.
     """
     classes, _ = token_classes(df, ident, texts)
-    across = similar_pairs(df, ident, texts, threshold).agg(
+    across = _described_pairs(classes, threshold).agg(
         F.coalesce(F.sum("row_pairs"), F.lit(0)).alias("between"), F.max("similarity").alias("top")
     )
     copies = F.when(F.col("size") > 0, F.col("members") * (F.col("members") - 1) / 2).otherwise(0)
@@ -188,7 +206,7 @@ def closest_pairs(
     leading = membership.withColumn(
         "_r", F.row_number().over(W.partitionBy("class_id").orderBy("id"))
     ).filter(F.col("_r") <= k + 1)
-    listed = leading.groupBy("class_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    listed = leading.groupBy("class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     filled = classes.filter(F.col("size") > 0).select("class_id")
     within = (
         listed.join(filled, "class_id", "left_semi").filter(F.size("ids") > 1)

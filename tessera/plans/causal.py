@@ -233,8 +233,8 @@ def did(panel: DataFrame, config: DidConfig) -> DataFrame:
         F.max(F.when(F.col("kind") == "placebo", reach)).alias("placebo_reach"),
         F.max(F.when(F.col("kind") == "primary", effect)).alias("primary_effect"),
         # one entry per period of the study
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "event", effect))).alias("event_effects"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "placebo", effect))).alias("placebo_effects"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "event", effect))).alias("event_effects"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "placebo", effect))).alias("placebo_effects"),
     )
     rows = studies.join(by_study, "study_id", "left")
     checks = [

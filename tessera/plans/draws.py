@@ -116,7 +116,7 @@ def draw_prefix(draws: DataFrame, outcomes: DataFrame, count: int) -> DataFrame:
     """The first draws of each run with their parameters as one map, for replay inspection."""
     kept = draws.filter(F.col("draw") < count)
     parameters = kept.groupBy("run_id", "draw").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("parameter_id", "value"))))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("parameter_id", "value"))))
         .alias("parameters")
     )
     return parameters.join(outcomes, ["run_id", "draw"])
@@ -219,7 +219,7 @@ def _aligned(clean: DataFrame, gate: DataFrame) -> DataFrame:
     return (
         clean.join(usable, "run_id", "left_semi")
         .groupBy("run_id", "draw")
-        .agg(F.array_sort(F.collect_list(F.struct("option_id", "value"))).alias("o"))
+        .agg(F.sort_array(F.collect_list(F.struct("option_id", "value"))).alias("o"))
     )
 
 
@@ -393,7 +393,7 @@ def check_option_run(
     )
     paired = pairs.groupBy("run_id").agg(
         F.count("*").alias("_pairs"),
-        F.count_distinct(F.array_sort(F.array("option_a", "option_b"))).alias("_distinct_pairs"),
+        F.count_distinct(F.sort_array(F.array("option_a", "option_b"))).alias("_distinct_pairs"),
     )
     moved = reversed_.groupBy("run_id").agg(
         F.count("*").alias("_reversals"),

@@ -176,7 +176,7 @@ def coverage_signatures(spots: DataFrame, sites: DataFrame, km: float, radii: Se
         pairs.select("area_id", "latitude", "longitude", "site_id", "points", "need", "priority_need", within.alias("radius_km"))
         .groupBy("area_id", "radius_km", "latitude", "longitude")
         .agg(
-            F.array_sort(F.collect_set("site_id")).alias("signature"),
+            F.sort_array(F.collect_set("site_id")).alias("signature"),
             F.first("points").alias("points"),
             F.first("need").alias("need"),
             F.first("priority_need").alias("priority_need"),

@@ -105,7 +105,7 @@ def _tails(points: DataFrame, config: ForecastConfig) -> DataFrame:
         .withColumn("_r", F.row_number().over(newest))
         .filter(F.col("_r") <= config.tail)
         .groupBy("series_id")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("_p"))
         .select("series_id", F.transform("_p", lambda p: p["value"]).alias("tail"))
     )
 
@@ -226,7 +226,7 @@ def _candidates(series: DataFrame, config: ForecastConfig) -> DataFrame:
     size = F.size("_absolute")
     rank = F.least(size, F.ceil((size + 1) * F.lit(config.level)).cast("int"))
     rows = rows.withColumn(
-        "radius", portable(F.try_element_at(F.array_sort("_absolute"), rank))
+        "radius", portable(F.try_element_at(F.sort_array("_absolute"), rank))
     )
     scale = F.aggregate("_pairs", F.lit(0.0), lambda s, x: s + F.abs(x["a"]))
     covered = F.size(F.filter("_absolute", lambda e: e <= F.col("radius")))

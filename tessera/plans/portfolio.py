@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import portable
+from tessera.session import durable
 
 OPTIMAL, INFEASIBLE, LIMITED, REJECTED = "optimal", "infeasible", "search-limited", "rejected"
 NO_FEASIBLE = "Complete enumeration found no plan satisfying every hard constraint."
@@ -62,7 +63,7 @@ def problem_rows(
     if floors is None:
         floors = spark.createDataFrame([], "problem_id string, group_id string, minimum double")
     listed = actions.groupBy("problem_id").agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             "ord", "action_id", "max_units", "unit_cost", "unit_capacity", "unit_risk", "unit_benefit"
         ))).alias("a"),
     )
@@ -70,10 +71,10 @@ def problem_rows(
     def keyed(table: DataFrame, name: str, value: str) -> DataFrame:
         """Array of (name, map action -> value), sorted by name."""
         per = table.groupBy("problem_id", name).agg(
-            F.map_from_entries(F.array_sort(F.collect_set(F.struct("action_id", value)))).alias("m")
+            F.map_from_entries(F.sort_array(F.collect_set(F.struct("action_id", value)))).alias("m")
         )
         return per.groupBy("problem_id").agg(
-            F.array_sort(F.collect_list(F.struct(F.col(name).alias("id"), F.map_entries("m").alias("e")))).alias(name)
+            F.sort_array(F.collect_list(F.struct(F.col(name).alias("id"), F.map_entries("m").alias("e")))).alias(name)
         )
 
     rows = (
@@ -81,7 +82,7 @@ def problem_rows(
         .join(keyed(groups, "group_id", "benefit"), "problem_id", "left")
         .join(
             floors.groupBy("problem_id").agg(
-                F.array_sort(F.collect_list(F.struct("group_id", "minimum"))).alias("floors")
+                F.sort_array(F.collect_list(F.struct("group_id", "minimum"))).alias("floors")
             ),
             "problem_id", "left",
         )
@@ -142,9 +143,12 @@ def plan_grid(problems: DataFrame) -> DataFrame:
 
     Block numbers are expanded and spread before the plans are, so no task holds a whole grid.
     """
+    # the number is explicit, because block rows are few and small and would otherwise be merged into
+    # one task just before they grow
+    spread = int(problems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = problems.filter(F.col("rejection").isNull()).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.floor((F.col("evaluated") - 1) / BLOCK)))
-    ).repartition("problem_id", "block")
+    ).repartition(spread, "problem_id", "block")
     first = F.col("block") * BLOCK
     last = F.least(first + BLOCK, F.col("evaluated")) - 1
     plans = blocks.withColumn("plan_index", F.explode(F.sequence(first, last))).drop("block")
@@ -278,7 +282,10 @@ def pareto(plans: DataFrame, config: PortfolioConfig = PortfolioConfig()) -> Dat
     costs then decide, so the work is n log n and not quadratic.
     """
     t = config.tolerance
-    feasible = plans.filter("feasible")
+    # read by both sides of the join below, so the scoring runs once
+    feasible = durable(plans.filter("feasible").select(
+        "problem_id", "plan_id", "total_cost", "objective_value", "quantities", "selected_action_count"
+    ))
     levels = feasible.groupBy("problem_id", "total_cost").agg(F.max("objective_value").alias("_top"))
     frame = "max(_top) OVER (PARTITION BY problem_id ORDER BY total_cost RANGE BETWEEN UNBOUNDED PRECEDING AND {})"
     reach = levels.select(

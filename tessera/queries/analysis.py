@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans import causal, draws, facility, portfolio
-from tessera.session import table
+from tessera.session import durable, table
 
 # --- causal: users as units, 5-day periods, odd users as the treated group -----------------------
 
@@ -366,6 +366,7 @@ def q_violation_counts(spark, sf):
 
 def q_conservative(spark, sf):
     problems, plans = _portfolio(spark, sf)
+    plans = durable(plans)
     runs = portfolio.solve(problems, plans, PORTFOLIO)
     return portfolio.conservative_plan(plans, runs).select(
         "problem_id", F.col("conservative.plan_id").alias("plan_id"),

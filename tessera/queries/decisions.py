@@ -30,7 +30,7 @@ def option_draws(spark, sf):
         F.struct(F.lit("conservative-plan").alias("option_id"), (F.pmod("n", F.lit(5)) * 0.01 + 0.45).alias("value")),
         F.struct(F.lit("bounded-portfolio").alias("option_id"), (F.lit(1.0) - F.pmod("n", F.lit(4)) * 0.02).alias("value"))))
     order = F.explode(F.sequence(F.lit(1), F.lit(len(TEMPLATES))))
-    return daily.select("city", draw.alias("draw"), listed.alias("o"), order.alias("t")).select(
+    return daily.select("city", draw.alias("draw"), listed.alias("o")).select("city", "draw", "o", order.alias("t")).select(
         F.format_string("tierd.%s.%02d", F.lower("city"), F.col("t")).alias("run_id"), "o.option_id", "draw", "o.value",
         F.lit("simulated").alias("evidence_type"))
 
@@ -89,7 +89,8 @@ def q_quality_standard(spark, sf):
     users = table(spark, sf, "events").groupBy(F.col("user_id").alias("city_id")).agg(F.count("*").alias("record_count"))
     cities = users.select("city_id", (F.col("city_id") / 2).alias("latitude"), (F.col("city_id") * 1.0).alias("longitude"))
     manifests = users.select("city_id", "record_count", (F.col("city_id") / 2).alias("query_latitude"), (F.col("city_id") * 1.0).alias("query_longitude"))
-    return gates.quality_standard(series, cities, manifests, "2024-01-01", 30, ["click", "error", "purchase", "signup", "view"])
+    checks = gates.quality_standard(series, cities, manifests, "2024-01-01", 30, ["click", "error", "purchase", "signup", "view"])
+    return checks.select("city_id", "check_id", "status")
 
 
 def q_quality_report(spark, sf):
@@ -323,6 +324,21 @@ ORACLES = {
         FROM part, (VALUES ('invest', 'Capital Plan', 'capital plan', 'asset-registry|climate-hazard', 'descriptive|optimization'), ('rule', 'Standard', 'standard', 'climate-hazard', 'descriptive|causal')) s(t, title, m, roles, modes)""",
     "all_executions": """SELECT CAST(o_orderkey AS VARCHAR) AS execution_id, 'deep' AS kind, CAST(o_custkey AS VARCHAR) AS city_id, o_orderpriority AS suite, o_orderstatus AS status, 'deep run' AS title FROM orders WHERE o_orderstatus = 'F'
         UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'standard', CAST(c_nationkey AS VARCHAR), c_mktsegment, 'screened', c_name FROM customer""",
+    "quality_standard": """WITH c AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2, 3),
+        s AS (SELECT user_id, count(*) AS parsed, CAST(sum(n) AS BIGINT) AS rec, count(*) FILTER (n > 3) AS fills FROM c GROUP BY 1)
+        SELECT user_id AS city_id, x.id AS check_id, CASE WHEN x.ok THEN 'pass' ELSE 'fail' END AS status FROM (SELECT user_id, unnest([
+          {'id': 'parsed-value-count', 'ok': parsed = 150}, {'id': 'source-manifest-record-count', 'ok': rec = parsed}, {'id': 'aligned-daily-keys', 'ok': parsed = 150},
+          {'id': 'fill-value-count', 'ok': fills = 0}, {'id': 'coordinate-rounding', 'ok': true}, {'id': 'query-city-point', 'ok': true}]) AS x FROM s)""",
+    "city_screens": """WITH u AS (SELECT user_id AS id, count(*) FILTER (event_type = 'view') AS t, count(*) FILTER (event_type = 'click') AS m,
+          count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'signup') AS w, count(*) FILTER (event_type = 'error') AS r FROM events GROUP BY 1),
+        c AS (SELECT s_nationkey AS id, avg(s_acctbal) > 4000 AS gdp, count(*) > 3 AS urb FROM supplier GROUP BY 1),
+        x AS (SELECT coalesce(u.id, c.id) AS id, u.id IS NULL AS nou, coalesce(t, 0) = 0 AS t, coalesce(m, 0) = 0 AS m, coalesce(p, 0) = 0 AS p, coalesce(w, 0) = 0 AS w,
+          coalesce(r, 0) = 0 AS r, c.id IS NULL AS pop, NOT coalesce(gdp, false) AS gdp, NOT coalesce(urb, false) AS urb FROM u FULL JOIN c ON u.id = c.id),
+        y AS (SELECT id, unnest([{'t': 'standard.heat-screen.v1', 's': 'screened', 'k': 5, 'x': t::INT + m::INT + nou::INT + r::INT + urb::INT},
+          {'t': 'standard.precipitation-screen.v1', 's': 'screened', 'k': 4, 'x': p::INT + nou::INT + w::INT + pop::INT},
+          {'t': 'standard.policy-readiness.v1', 's': 'insufficient-evidence', 'k': 2, 'x': m::INT + gdp::INT}]) AS e FROM x)
+        SELECT id || '.' || e.t AS run_id, id AS city_id, e.t AS template_id, e.s AS status, CAST(e.x AS BIGINT) AS missing_metrics, CAST(e.k AS BIGINT) AS metric_count,
+          false AS recommendation_issued FROM y""",
     "quality_report": """WITH c AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2, 3),
         s AS (SELECT user_id, count(*) AS parsed, CAST(sum(n) AS BIGINT) AS rec, count(*) FILTER (n > 3) AS fills FROM c GROUP BY 1),
         r AS (SELECT user_id, list_sort(list_filter([CASE WHEN parsed <> 150 THEN 'parsed-value-count' END, CASE WHEN rec <> parsed THEN 'source-manifest-record-count' END,

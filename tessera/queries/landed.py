@@ -20,8 +20,8 @@ def climate_documents(spark, sf):
     cell = table(spark, sf, "events").groupBy("user_id", "event_type", day.alias("d")).agg(
         F.round(F.avg("value"), 4).alias("v"), F.count("*").alias("n"))
     shown = F.when(F.col("n") > 3, F.lit(-999.0)).otherwise(F.col("v"))
-    per = cell.groupBy("user_id", "event_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("d", shown.alias("v"))))).alias("m"))
-    doc = per.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+    per = cell.groupBy("user_id", "event_type").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", shown.alias("v"))))).alias("m"))
+    doc = per.groupBy("user_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
         F.col("event_type"), F.map_entries("m").alias("e"))))).alias("p"))
     parameter = F.transform_values("p", lambda _k, e: F.map_from_entries(e))
     return doc.select(
@@ -48,7 +48,7 @@ def q_indicators(spark, sf):
         F.struct(F.concat(F.lit("C"), "c_nationkey").alias("id")).alias("country"),
         F.lit("2023").alias("date"), F.when(F.col("bal") > 0, F.col("bal")).alias("value"))
     per = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.round(F.max("c_acctbal"), 2).alias("bal"))
-    pages = per.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(row)).alias("r")).select(
+    pages = per.groupBy("c_mktsegment").agg(F.sort_array(F.collect_list(row)).alias("r")).select(
         F.col("c_mktsegment").alias("artifact"),
         F.concat(F.lit('[{"page":1},'), F.to_json("r"), F.lit("]")).alias("content"))
     return readers.parse_indicator_pages(pages)
@@ -78,23 +78,23 @@ def q_tracts(spark, sf):
     docs = table(spark, sf, "customer").select(F.concat(F.lit("t"), key).alias("artifact"), F.to_json(F.array(F.struct(
         F.lit("ma").alias("stateabbr"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("countyfips"),
         F.lpad(key.cast("string"), 11, "0").alias("tractfips"), (key * 10).cast("string").alias("totalpopulation"),
-        *[F.round(F.col("c_acctbal") / 80 + i, 2).alias(p) for i, p in enumerate(readers.PREVALENCE)],
+        *[F.round(F.col("c_acctbal") / 100 + i, 4).alias(p) for i, p in enumerate(readers.PREVALENCE)],
         F.struct(F.lit("Point").alias("type"), F.array(key * 0.1, F.lit(1.5)).alias("coordinates")).alias("geolocation")))).alias("content"))
     return readers.parse_tracts(docs).select(
-        "tractfips", "population", F.round("lacktrpt_crudeprev", 2).alias("rate"), F.round("longitude", 3).alias("longitude"),
+        "tractfips", "population", F.round("lacktrpt_crudeprev", 4).alias("rate"), F.round("longitude", 3).alias("longitude"),
         F.size("issues").cast("long").alias("issue_count"))
 
 
 def q_quakes(spark, sf):
     feature = F.struct(
         F.concat(F.lit("e"), "event_id").alias("id"),
-        F.struct(F.round(F.col("value") / 20, 3).alias("mag"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time")).alias("properties"),
+        F.struct(F.round(F.col("value") / 10, 3).alias("mag"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time")).alias("properties"),
         F.struct(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("coordinates")).alias("geometry"))
     docs = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 50).alias("b")).agg(F.collect_list(feature).alias("f")).select(
         F.concat(F.lit("b"), "b").alias("artifact"), F.to_json(F.struct(
             F.when(F.pmod("b", F.lit(10)) == 9, "Other").otherwise("FeatureCollection").alias("type"), F.col("f").alias("features"))).alias("content"))
     good, _ = readers.split_issues(readers.parse_geojson_features(docs))
-    return readers.select_quakes(good, "2024-01-05", "2024-01-25", 3.5).select(
+    return readers.select_quakes(good, "2024-01-05", "2024-01-25", 7.0).select(
         "event_id", "magnitude", F.col("occurred").cast("date").alias("day"))
 
 
@@ -114,7 +114,7 @@ def q_declarations(spark, sf):
 def q_jsonstat(spark, sf):
     flat = (F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2) * 7 + F.col("l_linenumber") - 1).cast("string")
     cell = table(spark, sf, "lineitem").groupBy("l_suppkey", flat.alias("i")).agg(F.round(F.sum("l_quantity"), 1).alias("v"))
-    docs = cell.groupBy("l_suppkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("i", "v")))).alias("value")).select(
+    docs = cell.groupBy("l_suppkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("i", "v")))).alias("value")).select(
         F.concat(F.lit("s"), "l_suppkey").alias("artifact"), F.to_json(F.struct(
             F.lit("dataset").alias("class"), F.array(F.lit("flag"), F.lit("line")).alias("id"), F.array(F.lit(3), F.lit(7)).alias("size"), "value")).alias("content"))
     return readers.parse_jsonstat(docs).select(
@@ -251,10 +251,10 @@ ORACLES = {
     "request_page": """SELECT CAST(o_orderkey AS VARCHAR) AS unique_key, CAST(o_orderdate AS DATE) AS created, upper(o_orderpriority) AS agency FROM orders
         WHERE o_orderstatus <> 'P' AND o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01' AND o_orderpriority = '1-URGENT'
         ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR) LIMIT 50 OFFSET 25""",
-    "health_tracts": """SELECT lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS tractfips, c_custkey * 10 AS population, round(c_acctbal / 80, 2) AS rate,
-        round(c_custkey * 0.1, 3) AS longitude, CAST(len(list_filter(range(0, 7), lambda i: NOT (round(c_acctbal / 80 + i, 2) BETWEEN 0 AND 100))) AS BIGINT) AS issue_count FROM customer""",
-    "earthquake_features": """SELECT 'e' || event_id AS event_id, round(value / 20, 3) AS magnitude, CAST(ts AS DATE) AS day FROM events
-        WHERE (event_id // 50) % 10 <> 9 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' AND round(value / 20, 3) >= 3.5""",
+    "health_tracts": """SELECT lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS tractfips, c_custkey * 10 AS population, round(c_acctbal / 100, 4) AS rate,
+        round(c_custkey * 0.1::DOUBLE, 3) AS longitude, CAST(len(list_filter(range(0, 7), lambda i: NOT (round(c_acctbal / 100 + i, 4) BETWEEN 0 AND 100))) AS BIGINT) AS issue_count FROM customer""",
+    "earthquake_features": """SELECT 'e' || event_id AS event_id, round(value / 10, 3) AS magnitude, CAST(ts AS DATE) AS day FROM events
+        WHERE (event_id // 50) % 10 <> 9 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' AND round(value / 10, 3) >= 7.0""",
     "disaster_declarations": """SELECT o_orderkey AS disaster_number, upper(substr(o_orderpriority, 3, 2)) AS state, o_orderstatus AS incident_type, CAST(o_orderdate AS DATE) AS day
         FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1999-01-01' AND upper(substr(o_orderpriority, 3, 2)) = 'HI'""",
     "jsonstat_cells": """SELECT 's' || l_suppkey AS artifact, CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS flag,
@@ -269,7 +269,7 @@ ORACLES = {
           CASE WHEN m = -555555555 THEN 'controlled' ELSE 'available' END AS margin_status,
           CASE WHEN n IS NULL THEN 'requested place has no row' WHEN n > 1 THEN 'requested place repeats' WHEN m < 0 AND m <> -555555555 THEN 'unsupported special margin' END AS issue
         FROM (SELECT lpad(CAST(s_suppkey * 20 AS VARCHAR), 7, '0') AS geoid FROM supplier) w LEFT JOIN p ON w.geoid = p.geoid""",
-    "boundary_polygons": """SELECT CAST(s_suppkey AS VARCHAR) AS geoid, 4 AS vertices, round(s_suppkey * 0.5, 3) AS west, round(s_suppkey * 0.5 + 1, 3) AS east,
+    "boundary_polygons": """SELECT CAST(s_suppkey AS VARCHAR) AS geoid, 4 AS vertices, round(s_suppkey * 0.5::DOUBLE, 3) AS west, round(s_suppkey * 0.5::DOUBLE + 1, 3) AS east,
         CASE WHEN s_nationkey = 7 THEN 'feature id does not match' WHEN s_suppkey * 0.5 + 1 > 180 THEN 'vertex is not a valid coordinate' END AS issue FROM supplier""",
     "platform_envelopes": """WITH b AS (SELECT o_orderkey // 50 AS b, count(*) AS n FROM orders GROUP BY 1)
         SELECT CASE b % 4 WHEN 0 THEN 'socrata' WHEN 3 THEN 'carto' ELSE 'ckan' END AS platform, CASE WHEN b % 4 = 2 THEN 'response did not report success' END AS issue,

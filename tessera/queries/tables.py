@@ -175,7 +175,7 @@ def q_check_registry(spark, sf):
     entries = packs.withColumn(
         "declared", F.when(F.col("o_orderstatus") == "P", F.md5("pack_id")).otherwise(F.col("content_hash"))
     ).groupBy(F.floor(F.col("o_orderkey") / 100).cast("string").alias("city_id")).agg(
-        F.array_sort(F.collect_list(F.struct("pack_id", "declared"))).alias("e")
+        F.sort_array(F.collect_list(F.struct("pack_id", "declared"))).alias("e")
     ).select("city_id", F.col("e.pack_id").alias("pack_ids"), F.col("e.declared").alias("pack_hashes"))
     return joins.check_registry(entries, packs.select("pack_id", "content_hash"))
 

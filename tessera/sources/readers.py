@@ -451,8 +451,8 @@ def schema_fingerprint(records: DataFrame, group: Sequence[str], column: str) ->
     pairs = parsed.select(*group, F.explode("m").alias("field", "v")).select(
         *group, "field", F.coalesce(F.schema_of_variant("v"), F.lit("VOID")).alias("kind")
     ).distinct()
-    fields = pairs.groupBy(*group, "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    fields = pairs.groupBy(*group, "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
     line = F.concat_ws(":", "field", F.array_join("kinds", "|"))
     return fields.groupBy(*group).agg(
-        F.count("*").alias("fields"), F.array_join(F.array_sort(F.collect_list(line)), ",").alias("shape")
+        F.count("*").alias("fields"), F.array_join(F.sort_array(F.collect_list(line)), ",").alias("shape")
     ).withColumn("fingerprint", digest(F.col("shape")))

@@ -249,6 +249,7 @@ def compile_scenarios(
         F.when(~F.coalesce("reconciled", F.lit(True)), "Daily and category focus totals do not reconcile.")
         .otherwise(F.col("negative_reason")),
     )
+    gated = durable(gated)
     alive = gated.filter(F.col("negative_reason").isNull()).select(*keys, "scenario_id")
     points = daily.join(alive, keys).select(
         F.col("scenario_id").alias("series_id"), F.col("service_day").cast("timestamp").alias("ts"),
@@ -261,8 +262,8 @@ def compile_scenarios(
     scored = durable(portfolio.score_plans(portfolio.plan_grid(problems), PORTFOLIO))
     plans = portfolio.retain_plans(scored, PORTFOLIO.retained)
     solved = portfolio.solve(problems, scored, PORTFOLIO)
-    drawn = option_draws.join(
-        alive.select(F.col("scenario_id").alias("run_id")), "run_id", "left_semi"
+    drawn = durable(
+        option_draws.join(alive.select(F.col("scenario_id").alias("run_id")), "run_id", "left_semi")
     )
     summary = draws.option_summary(drawn, UNCERTAINTY)
     decided = draws.option_decision(drawn, UNCERTAINTY, BASELINE)

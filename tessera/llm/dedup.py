@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.tables import quoted, small
 from tessera.session import durable
 
 #: Longs of a parity sketch; its 1024 bits separate pairs at the threshold up to some thousand shingles.
@@ -151,7 +152,7 @@ def _possible(left: str, right: str, percent: int):
 def _confirmed(pairs: DataFrame, documents: DataFrame, config: DedupConfig) -> DataFrame:
     """The pairs (a, b) of row keys whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct()
-    texts = documents.join(wanted, "row_key", "left_semi")
+    texts = documents.join(small(durable(wanted)), "row_key", "left_semi")
     sets = _full_sets(texts, config).dropDuplicates(["row_key"])
     rows = pairs.join(sets.select(F.col("row_key").alias("a"), F.col("set").alias("set_a")), "a").join(
         sets.select(F.col("row_key").alias("b"), F.col("set").alias("set_b")), "b"
@@ -211,7 +212,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, config: DedupConfig = DedupConfig(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``documents``.
+    """(doc_id, n_shingles, component_id, kept, row_key) of every row of ``documents``.
 
     1. Rows of equal sets fold into classes, whose number of copies never matters again.
     2. Half keys that only one class has are dropped, and the others are tensored into table keys.
@@ -293,8 +294,30 @@ def near_duplicates(
     )
     keys = ["set_a", "set_b", "n_shingles"]
     return (
-        sketch.select("doc_id", *keys)
+        sketch.select("doc_id", "row_key", *keys)
         .join(by_class.withColumn("found", F.lit(True)), keys, "left")
         .withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                "row_key")
     )
+
+
+def representatives(documents: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
+    """The rows of ``documents``, all columns, of which one of each group of near-duplicates stays.
+
+    Of identical rows one stays; rows that share an id but not their text stay both, unless their group has a
+    smaller id. A row without an id stays if its group has no id.
+    """
+    found = durable(near_duplicates(documents, config))
+    gone = durable(found.where(~F.col("kept")).select(F.col("row_key").alias("_gone")).distinct())
+    kept = documents.withColumn("_key", F.xxhash64("doc_id", "text")).join(
+        small(gone), F.col("_key") == F.col("_gone"), "left_anti"
+    )
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not again.isEmpty():
+        extra = again.select(F.col("doc_id").alias("_id"))
+        repeated = kept.join(extra, F.col("doc_id") == F.col("_id"), "left_semi")
+        kept = kept.join(extra, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(
+            repeated.dropDuplicates(["doc_id", "_key"])
+        )
+    return kept.select(*quoted(documents.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import dedup, rules
+from tessera.llm import decontam, dedup, mixing, rules, sharding
 from tessera.session import table
 
 
@@ -26,9 +26,33 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    return decontam.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_sharding": op9_sharding,
+    "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_sharding": sharding.place_sql(),
+}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.tables import quoted
 
 
 @dataclass(frozen=True)
@@ -120,14 +121,10 @@ def measure(documents: DataFrame, config: RuleConfig = RuleConfig(), text: str =
             yield pa.RecordBatch.from_arrays([*columns, struct], names=[*kept, "rules"])
 
     fields = ", ".join(f"{n}: bigint" for n in names)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*_quoted(kept)).schema)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*quoted(kept)).schema)
     return documents.mapInArrow(run, f"{own}, rules struct<{fields}>")
 
 
-def _quoted(names: list[str]) -> list[str]:
-    return [f"`{n}`" for n in names]
-
-
 def judge(measured: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to measured rows (replacing columns of these names)."""
     rule = F.col("rules")

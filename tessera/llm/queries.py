@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, dedup, mixing, rules, sharding
+from tessera.llm import decontam, dedup, mixing, pii, rules, sharding
 from tessera.session import table
 
 
@@ -33,6 +33,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     ).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base, all spans."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
@@ -49,6 +54,7 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_personal_data": op8_personal_data,
     "op9_sharding": op9_sharding,
     "op10_source_mixing": op10_source_mixing,
 }

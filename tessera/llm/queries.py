@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, dedup, mixing, pii, rules, sharding
+from tessera.llm import decontam, dedup, language, mixing, pii, quality, rules, sharding, toxicity
 from tessera.session import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a source is a host, and a language in it a path."""
+    return quality.hierarchical_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang")
+    )
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the documents labelled good and not toxic are the target."""
+    labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return language.cross_entropy_difference(table(spark, sf_dir, "documents"), labels)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -51,7 +70,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_personal_data": op8_personal_data,

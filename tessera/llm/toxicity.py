@@ -30,7 +30,7 @@ class ToxicityConfig:
     beginnings: tuple[int, ...] = (3, 4, 5)
     sample_per_class: int = 6000
     terms: int = 4096
-    least_z: float = 3.5
+    least_z: float = 2.5
     factors: int = 4
     shards: int = 4
     rounds: int = 6

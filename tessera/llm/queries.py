@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, dedup, language, mixing, pii, quality, rules, sharding, toxicity
+from tessera.llm import decontam, dedup, html, labelled, language, mixing, pii, quality, rules, sharding, toxicity
 from tessera.session import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    model = html.fit(labelled.labelled_pages(spark))
+    return html.extract(table(spark, sf_dir, "pages"), model)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -70,6 +76,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,

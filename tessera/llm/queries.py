@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, dedup, html, labelled, language, mixing, pii, quality, rules, sharding, toxicity
+from tessera.llm import decontam, dedup, html, labelled, language, mixing, oracles, pii, quality, rules, sharding, toxicity
 from tessera.session import table
 
 
@@ -36,7 +36,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
-    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,4 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES = {
-    "op9_sharding": sharding.place_sql(),
-}
+ORACLES = oracles.ORACLES

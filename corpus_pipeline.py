@@ -13,13 +13,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, dedup, mixing, rules, sharding
-from tessera.llm.tables import quoted
 from tessera.session import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the repetition coverage keep."""
-    return rules.quality_rules(docs).where("kept").select(*quoted(docs.columns))
+    return rules.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import quoted, small
+from tessera.llm.tables import free_names, quoted, small
 from tessera.session import durable
 
 #: Not a word, once A-Z are a-z.
@@ -164,28 +164,30 @@ def clean_documents(
 ) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no benchmark window."""
     found, _ = find_windows(documents, benchmark, config)
-    hit = found.select(F.col("row_key").alias("_hit")).distinct()
-    return documents.withColumn("_key", F.xxhash64("doc_id", "text")).join(
-        small(durable(hit), config.broadcast_rows), F.col("_key") == F.col("_hit"), "left_anti"
-    ).drop("_key")
+    key, hit = free_names(documents.columns, "_key", "_hit")
+    hits = durable(found.select(F.col("row_key").alias(hit)).distinct())
+    return documents.withColumn(key, F.xxhash64("doc_id", "text")).join(
+        small(hits, config.broadcast_rows), F.col(key) == F.col(hit), "left_anti"
+    ).select(*quoted(documents.columns))
 
 
 def without_spans(
     documents: DataFrame, benchmark: DataFrame, config: DecontamConfig = DecontamConfig()
 ) -> DataFrame:
     """The rows of ``documents`` with every hit word cut out of ``text``, with the separators before it."""
+    key, hit, places = free_names(documents.columns, "_key", "_hit", "_places")
     hits = contamination(documents, benchmark, config).where("contaminated").select(
-        F.col("row_key").alias("_hit"), "hits"
-    ).dropDuplicates(["_hit"])
+        F.col("row_key").alias(hit), F.col("hits").alias(places)
+    ).dropDuplicates([hit])
     pieces = F.regexp_extract_all("text", F.lit(f"{BREAK_AS_IS}*[^{BREAK_AS_IS[1:]}+"), F.lit(0))
     kept = F.filter(
-        F.transform(pieces, lambda x, i: F.when(~F.array_contains("hits", i), x)), lambda x: x.isNotNull()
+        F.transform(pieces, lambda x, i: F.when(~F.array_contains(places, i), x)), lambda x: x.isNotNull()
     )
     tail = F.regexp_extract("text", f"{BREAK_AS_IS}*$", 0)
-    cut = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
+    cut = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
     return (
-        documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-        .join(hits, F.col("_key") == F.col("_hit"), "left")
+        documents.withColumn(key, F.xxhash64("doc_id", "text"))
+        .join(hits, F.col(key) == F.col(hit), "left")
         .withColumn("text", cut)
         .select(*quoted(documents.columns))
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.tables import quoted, small
+from tessera.llm.tables import free_names, quoted, small
 from tessera.session import durable
 
 #: Longs of a parity sketch; its 1024 bits separate pairs at the threshold up to some thousand shingles.
@@ -309,15 +309,16 @@ def representatives(documents: DataFrame, config: DedupConfig = DedupConfig()) -
     smaller id. A row without an id stays if its group has no id.
     """
     found = durable(near_duplicates(documents, config))
-    gone = durable(found.where(~F.col("kept")).select(F.col("row_key").alias("_gone")).distinct())
-    kept = documents.withColumn("_key", F.xxhash64("doc_id", "text")).join(
-        small(gone), F.col("_key") == F.col("_gone"), "left_anti"
+    key, gone, again = free_names(documents.columns, "_key", "_gone", "_again")
+    dropped = durable(found.where(~F.col("kept")).select(F.col("row_key").alias(gone)).distinct())
+    kept = documents.withColumn(key, F.xxhash64("doc_id", "text")).join(
+        small(dropped), F.col(key) == F.col(gone), "left_anti"
     )
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():
-        extra = again.select(F.col("doc_id").alias("_id"))
-        repeated = kept.join(extra, F.col("doc_id") == F.col("_id"), "left_semi")
-        kept = kept.join(extra, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(
-            repeated.dropDuplicates(["doc_id", "_key"])
+    repeated = found.where("kept and doc_id is not null").groupBy("row_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        extra = small(durable(repeated.select(F.col("row_key").alias(again))))
+        same = F.col(key) == F.col(again)
+        kept = kept.join(extra, same, "left_anti").unionByName(
+            kept.join(extra, same, "left_semi").dropDuplicates([key])
         )
     return kept.select(*quoted(documents.columns))

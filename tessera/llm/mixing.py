@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ranking import global_rank
-from tessera.llm.tables import quoted, small
+from tessera.llm.tables import free_names, quoted, small
 from tessera.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -175,10 +175,13 @@ def mix(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
 def mixed_documents(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The rows of ``documents``, all columns, each as often as the mix takes it."""
-    copies = mix(documents, config).groupBy("row_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    key, row, copies, copy = free_names(documents.columns, "_key", "_row", "_copies", "_copy")
+    taken = mix(documents, config).groupBy(F.col("row_key").alias(row)).agg(F.max("copies").alias(copies)).where(
+        F.col(copies) > 0
+    )
     return (
-        documents.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
-        .join(copies.hint("shuffle_hash"), F.col("_key") == F.col("row_key"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        documents.withColumn(key, F.xxhash64("doc_id", "text", "source"))
+        .join(taken.hint("shuffle_hash"), F.col(key) == F.col(row))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
         .select(*quoted(documents.columns))
     )

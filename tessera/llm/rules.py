@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.tables import quoted
+from tessera.llm.tables import free_names, quoted
 
 
 @dataclass(frozen=True)
@@ -98,36 +98,37 @@ def measure_chunk(chunk: W.Chunk, sizes: tuple[int, ...]) -> dict[str, np.ndarra
     return out
 
 
-def measure(documents: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
+def measure(
+    documents: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text", name: str = "rules"
+) -> DataFrame:
     """The rows of ``documents`` with their measures, in one pass over the whole texts, without a shuffle.
 
-    Adds a struct column ``rules``. Null and empty texts have no words: all counts are zero. Repeated rows are
-    measured each. Clashing names cannot occur, as only the struct is added (an own column ``rules``
-    is replaced).
+    Adds a struct column ``name`` (in place of one so named). Null and empty texts have no words: all counts are zero.
+    Repeated rows are measured each.
     """
-    kept = [c for c in documents.columns if c != "rules"]
+    kept = [c for c in documents.columns if c != name]
     sizes = tuple(sorted({config.repeat_size, *(n for n, _ in config.coverage)}))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "dup_line_chars",
-             *(f"n{n}_{what}" for n in sizes for what in ("words", "chars"))]
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "dup_line_chars",
+              *(f"n{n}_{what}" for n in sizes for what in ("words", "chars"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [measure_chunk(c, sizes) for c in W.chunks(batch.column(batch.schema.get_field_index(text)))]
             values = [
-                pa.array(np.concatenate([p[n] for p in parts]) if parts else np.zeros(0), pa.int64()) for n in names
+                pa.array(np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64())
+                for n in counts
             ]
-            struct = pa.StructArray.from_arrays(values, names)
-            columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "rules"]
-            yield pa.RecordBatch.from_arrays([*columns, struct], names=[*kept, "rules"])
+            columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != name]
+            yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(values, counts)], names=[*kept, name])
 
-    fields = ", ".join(f"{n}: bigint" for n in names)
+    fields = ", ".join(f"{n}: bigint" for n in counts)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*quoted(kept)).schema)
-    return documents.mapInArrow(run, f"{own}, rules struct<{fields}>")
+    return documents.mapInArrow(run, f"{own}, `{name}` struct<{fields}>")
 
 
-def judge(measured: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
-    """Adds ``base_failed`` and ``kept`` to measured rows (replacing columns of these names)."""
-    rule = F.col("rules")
+def verdicts(config: RuleConfig = RuleConfig(), name: str = "rules") -> tuple[Column, Column]:
+    """(base_failed, kept) from the measures."""
+    rule = F.col(name)
     words = rule["n_words"]
     base = (words < config.least_words) | (
         100 * rule[f"n{config.repeat_size}_words"] > config.repeat_percent * words
@@ -136,12 +137,20 @@ def judge(measured: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     covered = rule["dup_line_chars"] > config.line_coverage * letters
     for size, share in config.coverage:
         covered = covered | (rule[f"n{size}_chars"] > share * letters)
-    return measured.withColumns({"base_failed": base, "kept": ~base & ~covered})
+    return base, ~base & ~covered
 
 
 def quality_rules(documents: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
     """Measures and verdict of each document: the rows given, with ``rules``, ``base_failed`` and ``kept``.
 
-    An empty table gives an empty result. See :func:`measure` for nulls, repeated rows and names.
+    These three replace columns so named. An empty table gives an empty result. See :func:`measure` for nulls and
+    repeated rows.
     """
-    return judge(measure(documents, config, text), config)
+    base, kept = verdicts(config)
+    return measure(documents, config, text).withColumns({"base_failed": base, "kept": kept})
+
+
+def kept_documents(documents: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that the rules keep."""
+    (name,) = free_names(documents.columns, "rules")
+    return measure(documents, config, text, name).where(verdicts(config, name)[1]).select(*quoted(documents.columns))

@@ -16,3 +16,15 @@ def small(df: DataFrame, limit: int = KEY_ROWS) -> DataFrame:
 
 def quoted(names: list[str]) -> list[str]:
     return [f"`{n}`" for n in names]
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

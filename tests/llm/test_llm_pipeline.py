@@ -60,7 +60,7 @@ def test_run_agrees_with_plain_stages(spark, folder):
 def test_stages_pass_empty_tables_and_extra_columns(spark, folder):
     path, rows, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    odd = docs.selectExpr("*", "1 AS kept", "'x' AS row_key", "2 AS size", "3 AS hits")
+    odd = docs.selectExpr("*", "1 AS kept", "'x' AS row_key", "2 AS size", "3 AS hits", "'r' AS rules", "5L AS _key", "6L AS _row", "7L AS _hit")
     for table in (docs.limit(0), odd):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, table, path)
@@ -68,7 +68,8 @@ def test_stages_pass_empty_tables_and_extra_columns(spark, folder):
             if not table.take(1):
                 assert out.collect() == []
             else:
-                assert out.count() > 0
+                found = out.select("kept", "row_key", "size", "hits", "rules", "_key", "_row", "_hit").distinct().collect()
+                assert [tuple(r) for r in found] == [(1, "x", 2, 3, "r", 5, 6, 7)]
 
 
 def test_registered():

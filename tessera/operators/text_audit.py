@@ -21,6 +21,8 @@ STOPWORDS = (
 # Token pattern and similarity level of the audit.
 TOKEN_PATTERN = "([a-z0-9]+(?:-[a-z0-9]+)*)"
 THRESHOLD = 0.90
+# Longs of a token set's parity sketch.
+SKETCH = 4
 
 
 def token_set(*texts: Column) -> Column:
@@ -72,14 +74,32 @@ def token_classes(df: DataFrame, ident: str, texts: Sequence[str]) -> tuple[Data
     return classes, keyed.select("id", "class_id")
 
 
+def _parity() -> list[Column]:
+    """Aggregates over a set's tokens: each bit tells whether an odd number of tokens falls on it."""
+    place = F.pmod(F.xxhash64("token"), F.lit(64 * SKETCH))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return [
+        F.bit_xor(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"parity_{k}")
+        for k in range(SKETCH)
+    ]
+
+
+def _differing() -> Column:
+    """A lower bound of how many tokens only one of the two sets has: each odd bit of the sketches' xor needs one."""
+    total = F.lit(0)
+    for k in range(SKETCH):
+        total = total + F.bit_count(F.col(f"parity_{k}_a").bitwiseXOR(F.col(f"parity_{k}_b")))
+    return total
+
+
 def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of distinct token sets with Jaccard at or above the threshold, exactly.
 
     Two sets that similar must share a token among the rarest few of each (prefix filter) and have
     close sizes, so candidates come from an equi-join on those tokens whose rows carry numbers only.
-    Before the token sets themselves are compared, two bounds drop pairs that cannot reach the needed
-    overlap: what can still follow the first shared token, and what the prefixes share plus the
-    longer rest.
+    Parity sketches drop, inside that join, pairs that differ in too many tokens. Before the token sets
+    themselves are compared, two bounds drop pairs that cannot reach the needed overlap: what can
+    still follow the first shared token, and what the prefixes share plus the longer rest.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the prefix filter needs a threshold in (0.5, 1]")
@@ -88,13 +108,14 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weight = exploded.groupBy("token").agg(F.count("*").alias("df"))
     # rounding to six digits lifts a similarity by at most 5e-7, and the guard covers float error
     needed = F.ceil(F.col("size") * F.lit(threshold - 1e-6))
+    sketch = tuple(f"parity_{k}" for k in range(SKETCH))
     ordered = (
         exploded.join(weight, "token")
         .groupBy("class_id", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"), *_parity())
         .withColumn("length", (F.col("size") - needed + 1).cast("int"))
         .select(
-            "class_id", "size", "length",
+            "class_id", "size", "length", *sketch,
             F.transform(F.slice("w", 1, F.col("length")), lambda x: x["token"]).alias("prefix"),
         )
     )
@@ -103,9 +124,9 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     low = threshold - 1e-6
     band = F.floor(F.log(F.col("size").cast("double")) / -log(low))
     keyed = ordered.select(
-        "class_id", "size", "length", band.alias("band"), F.posexplode("prefix").alias("at", "token")
+        "class_id", "size", "length", *sketch, band.alias("band"), F.posexplode("prefix").alias("at", "token")
     )
-    names = ("class_id", "size", "length", "at")
+    names = ("class_id", "size", "length", "at", *sketch)
     left = keyed.select(
         *[F.col(n).alias(f"{n}_a") for n in names], "token",
         F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
@@ -118,6 +139,7 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             (F.col("class_id_a") < F.col("class_id_b"))
             & (F.col("size_a") >= F.col("size_b") * low)
             & (F.col("size_b") >= F.col("size_a") * low)
+            & (_differing() * (1 + low) <= (F.col("size_a") + F.col("size_b")) * (1 - low) + 1e-6)
         )
         .groupBy("class_id_a", "class_id_b", *sizes)
         .agg(F.count("*").alias("common"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))

@@ -179,7 +179,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b), by alternating stars.
 
     The large star hangs every larger neighbour under a node's smallest one, the small star every
-    smaller one; both repeat until nothing moves, which takes a number of rounds logarithmic in the
+    smaller one; both repeat until each tree is a star, which takes a number of rounds logarithmic in the
     longest path. Edges are kept as a table in the checkpoint folder, none reaches the driver.
     """
     edges = durable(links.select(*_ordered(F.col("a"), F.col("b"))).where("a <> b").distinct())
@@ -193,20 +193,21 @@ def components(links: DataFrame) -> DataFrame:
             moved = moved.where("v > u").select("m", F.col("v").alias("x"))
         else:
             moved = moved.select("m", F.col("v").alias("x")).union(low.select("m", F.col("u").alias("x")))
-        return moved.where("m <> x").select(*_ordered(F.col("m"), F.col("x"))).distinct()
-
-    def state(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
-
-    before = state(edges)
-    while before[0]:
-        edges = durable(star(star(edges, True), False))
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    roots = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        return moved.where("m <> x").select(*_ordered(F.col("m"), F.col("x")))
+
+    def all_stars(edges: DataFrame) -> bool:
+        """No node has two roots, or a root that hangs under another."""
+        ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("under"), F.lit(0).alias("over")).union(
+            edges.select("a", F.lit(0), F.lit(1))
+        )
+        mixed = ends.groupBy("node").agg(F.sum("under").alias("under"), F.max("over").alias("over"))
+        return mixed.where("under > 1 or (under > 0 and over > 0)").isEmpty()
+
+    while not all_stars(edges):
+        edges = durable(star(star(edges, True), False).distinct())
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
+        edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    )
 
 
 def near_duplicates(

@@ -121,7 +121,7 @@ def _settled(groups: DataFrame, config: MixConfig) -> DataFrame:
         taken = F.sum(F.col("weight") * (F.col("units") * F.col("base") + F.col("extra"))).over(by_source)
         out = out.withColumn("left", F.col("target") - taken)
         room = F.when(F.col("left") > 0, F.when(F.col("base") < config.cap, F.col("units") - F.col("extra")).otherwise(0)).otherwise(F.col("extra"))
-        whole = F.floor((F.abs("left") + F.col("weight") / 2) / F.greatest(F.col("weight"), F.lit(1)))
+        whole = F.floor(F.abs("left") / F.greatest(F.col("weight"), F.lit(1)))
         out = out.withColumn("room", F.least(room, whole))
         chosen = F.max(F.when((F.col("room") > 0) & (F.col("weight") > 0), F.col("weight"))).over(by_source)
         out = out.withColumn("chosen", chosen).withColumn(

@@ -13,6 +13,7 @@ import html as entities
 import math
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,11 +40,13 @@ SIBLINGS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "thead"), "tbody": ("tbody", "thead"),
 }
+#: An inline end tag looks for its start tag among so many open elements.
+NEAR = 256
 SCOPES = frozenset("ul ol dl table select body article section div".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -77,6 +80,7 @@ def parse(page: str) -> list[Node]:
     """
     nodes = [Node(-1, "root")]
     stack: list[tuple[str, int]] = [("root", 0)]  # open elements, and the node text in them belongs to
+    opened: Counter[str] = Counter()  # how many elements of each name are open
     links = block = position = 0
     run = -1
 
@@ -99,6 +103,7 @@ def parse(page: str) -> list[Node]:
     def close(depth: int) -> None:
         nonlocal links, block, run
         for tag, _ in stack[depth:]:
+            opened[tag] -= 1
             links -= tag == "a"
             if tag not in INLINE:
                 block += 1
@@ -110,16 +115,18 @@ def parse(page: str) -> list[Node]:
         position = match.end()
         if match[1]:
             tag = match[1].lower()
-            for depth in range(len(stack) - 1, 0, -1):
+            if not opened[tag]:
+                if tag in ("p", "br"):
+                    block += 1
+                    run = -1
+                continue
+            low = max(0, len(stack) - 1 - NEAR) if tag in INLINE else 0
+            for depth in range(len(stack) - 1, low, -1):
                 if stack[depth][0] == tag:
                     close(depth)
                     break
                 if tag in INLINE and stack[depth][0] not in INLINE:
                     break
-            else:
-                if tag in ("p", "br"):
-                    block += 1
-                    run = -1
             continue
         tag = (match[2] or match[4] or "").lower()
         if not tag:
@@ -138,14 +145,14 @@ def parse(page: str) -> list[Node]:
                 block += 1
                 run = -1
             continue
-        if tag in CLOSES_PARAGRAPH:
+        if tag in CLOSES_PARAGRAPH and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
                     close(depth)
                     break
                 if stack[depth][0] not in INLINE:
                     break
-        elif tag in SIBLINGS:
+        elif tag in SIBLINGS and any(opened[other] for other in SIBLINGS[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in SIBLINGS[tag]:
                     close(depth)
@@ -160,6 +167,7 @@ def parse(page: str) -> list[Node]:
         if not inline:
             block += 1
             run = -1
+        opened[tag] += 1
         if inline and not names and "role" not in found and "data-label" not in found:
             links += tag == "a"
             stack.append((tag, stack[-1][1]))

@@ -44,6 +44,8 @@ def test_main_text(model):
 
 @pytest.mark.parametrize("text", [
     "<", "<p", "<!--", "</", "<a href=\"x>y", "&am", "<p>" * 3000, "<div>" * 5000 + "deep", "</p></div>", "<script>never closed",
+    "<b>" * 20_000 + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i><li></li>" * 20_000, "<div>" * 20_000 + "</p>" * 20_000,
+    "<a>" * 20_000 + "</b><p></p>" * 20_000, "<a '\"x>" * 30_000, "<!-- x -->" * 20_000,
     "<table><tr><td>a<td>b<tr><td>c", "\x00<p>퟿</p>", "<p class=>x</p>", "<svg/><p>x</p>", "a < b and c > d",
 ])
 def test_broken_pages_do_not_fail(model, text):

@@ -24,6 +24,8 @@ PARTS = {
     "share": ("share", "social", "share-buttons", "follow", "social-links"),
     "comments": ("comments", "comment-list", "discussion", "responses", "comment", "replies", "reply", "reader-comments", "feedback", "disqus"),
 }
+SUFFIXES = ("content", "text", "body", "inner", "box", "list", "area", "item", "wrapper", "block", "main", "section")
+PREFIXES = ("user", "site", "page", "main", "my", "top", "left", "right", "post", "article", "content")
 SYLLABLES = "an ber co del en fi go har in jo ka lu ma ne or pe qui ra si ta un ve wo xi yo zu st ch th ing".split()
 
 
@@ -56,6 +58,8 @@ class _Writer:
         if self.maybe(bare):
             return ""
         name = self.random.choice(names)
+        if self.maybe(0.25):
+            name = f"{name}-{self.random.choice(SUFFIXES)}" if self.maybe(0.7) else f"{self.random.choice(PREFIXES)}-{name}"
         if self.maybe(0.2):
             name = f"{name} {self.random.choice(('x', 'js', 'clearfix', 'block', 'section'))}"
         return f' {self.random.choice(("class", "class", "id"))}="{name}"'
@@ -79,7 +83,7 @@ class _Writer:
         if kind == "header":
             inside = pick((
                 f"<div>{self.words(1, 4)}</div><p>{self.words(3, 8)}</p>", f"<h2>{self.words(1, 3)}</h2>{self.links(2, 5)}",
-                f"<h1>{self.words(1, 4)}</h1>", f"<h1>{self.words(1, 4)}</h1><p>{self.sentence()}</p>", self.words(1, 4),
+                f"<h1>{self.words(1, 4)}</h1>", f"<h2>{self.words(1, 5)}</h2>", f"<h1>{self.words(1, 4)}</h1><p>{self.sentence()}</p>", self.words(1, 4),
                 f'<h1><a href="/">{self.words(1, 3)}</a></h1>',
             ))
             tag = pick(("header", "header", "div"))
@@ -111,6 +115,9 @@ class _Writer:
             return self.element("form", inside, names if self.maybe(0.6) else "", "boilerplate")
         if kind == "share":
             return self.element(pick(("div", "ul", "p")), " ".join(f'<a href="#">{self.word()}</a>' for _ in range(self.random.randint(2, 5))), names, "boilerplate")
+        if self.maybe(0.3):
+            inside = "".join(f"<p>{self.prose(1, 5)}</p>" for _ in range(self.random.randint(1, 5)))
+            return self.element(pick(("section", "div", "div", "aside")), inside, names, "boilerplate")
         items = "".join(
             self.element(pick(("div", "li", "article")), f"<p>{self.words(1, 2)}</p><p>{self.prose(1, 4)}</p>", self.named(("comment", "reply", "response", "comment-body"), 0.2))
             for _ in range(self.random.randint(1, 5))
@@ -141,8 +148,8 @@ class _Writer:
                 parts.append(self.words(2, 6) + ".")
             else:
                 parts.append(f"<p>{self.words(1, 2)}.</p>")
-        for kind in ("ad", "share", "form", "notice", "sidebar", "menu"):
-            if self.maybe(0.15):
+        for kind in ("ad", "share", "form", "notice", "sidebar", "menu", "header", "footer", "comments"):
+            if self.maybe(0.15 if kind not in ("header", "footer", "comments") else 0.06):
                 parts.insert(self.random.randint(1, len(parts)), self.boilerplate(kind))
         if self.maybe(0.2):
             parts.append(self.boilerplate("comments"))

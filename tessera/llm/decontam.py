@@ -98,7 +98,9 @@ def find_windows(
         places = F.when(count >= size, F.sequence(F.lit(1), count - gram + 1, F.lit(gram)))
         return F.transform(
             F.coalesce(places, F.array().cast("array<int>")),
-            lambda p: F.struct(F.lit(size).alias("size"), p.alias("place"), _gram_hash(size, F.col("words"), p, gram).alias("gram")),
+            lambda p: F.struct(
+                F.lit(size).alias("size"), p.alias("place"), _gram_hash(size, F.col("words"), p, gram).alias("gram")
+            ),
         )
 
     grams = keyed.select("row_key", folded_words(F.col("text")).alias("words")).select(

@@ -105,7 +105,8 @@ def sketches(documents: DataFrame, config: DedupConfig) -> DataFrame:
                         out[name][full] = values
                 own = batch.slice(chunk.first, chunk.count)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("row_key"), own.column("doc_id"), *(pa.array(out[n]) for n in ("n_shingles", "set_a", "set_b")),
+                    [own.column("row_key"), own.column("doc_id"),
+                     *(pa.array(out[n]) for n in ("n_shingles", "set_a", "set_b")),
                      _lists(out["halves"]), _lists(out["parity"])],
                     names=["row_key", "doc_id", "n_shingles", "set_a", "set_b", "halves", "parity"],
                 )

@@ -59,8 +59,9 @@ def targets(totals: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """
     ranked = global_rank(totals, [], [F.col("source").isNull(), F.col("source")], "place")
     weights = F.array(*[F.lit(float(w)) for w in config.weights])
+    turn = ((F.col("place") - 1) % len(config.weights)).cast("int") + 1
     table = durable(ranked.select(
-        "source", "source_size", F.element_at(weights, ((F.col("place") - 1) % len(config.weights)).cast("int") + 1).alias("weight"),
+        "source", "source_size", F.element_at(weights, turn).alias("weight"),
         (F.col("source_size") * config.cap).cast("double").alias("most"),
     ))
     whole = table.agg(F.sum("source_size")).first()[0] or 0
@@ -95,9 +96,10 @@ def multipliers(groups: DataFrame, aims: DataFrame, config: MixConfig = MixConfi
             .groupBy("source", "target", "multiplier")
             .agg(F.sum(F.col("weight") * F.col("units") * tilt).alias("tilted"))
         )
+        step = (F.col("target") - F.col("tilted")) / F.col("tilted")
         state = durable(sums.select(
             "source", "target", F.abs(F.col("tilted") / F.col("target") - 1).alias("gap"),
-            (F.col("multiplier") + F.greatest(F.lit(-1.0), (F.col("target") - F.col("tilted")) / F.col("tilted"))).alias("multiplier"),
+            (F.col("multiplier") + F.greatest(F.lit(-1.0), step)).alias("multiplier"),
         ))
         gap = state.agg(F.max("gap")).first()[0]
         state = state.drop("gap")
@@ -120,13 +122,13 @@ def _settled(groups: DataFrame, config: MixConfig) -> DataFrame:
     for _ in range(config.settle):
         taken = F.sum(F.col("weight") * (F.col("units") * F.col("base") + F.col("extra"))).over(by_source)
         out = out.withColumn("left", F.col("target") - taken)
-        room = F.when(F.col("left") > 0, F.when(F.col("base") < config.cap, F.col("units") - F.col("extra")).otherwise(0)).otherwise(F.col("extra"))
+        more = F.when(F.col("base") < config.cap, F.col("units") - F.col("extra")).otherwise(0)
+        room = F.when(F.col("left") > 0, more).otherwise(F.col("extra"))
         whole = F.floor(F.abs("left") / F.greatest(F.col("weight"), F.lit(1)))
         out = out.withColumn("room", F.least(room, whole))
         chosen = F.max(F.when((F.col("room") > 0) & (F.col("weight") > 0), F.col("weight"))).over(by_source)
-        out = out.withColumn("chosen", chosen).withColumn(
-            "extra", F.col("extra") + F.when(F.col("weight") == F.col("chosen"), F.signum("left").cast("long") * F.col("room")).otherwise(0)
-        )
+        moved = F.when(F.col("weight") == F.col("chosen"), F.signum("left").cast("long") * F.col("room")).otherwise(0)
+        out = out.withColumn("chosen", chosen).withColumn("extra", F.col("extra") + moved)
     return out.select("source", "weight", "units", "base", "extra")
 
 
@@ -145,7 +147,8 @@ def mix(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         "weight", F.col("size") * F.col("rows")
     )
     groups = durable(units.groupBy("source", "weight").agg(F.count("*").alias("units")))
-    aims = durable(targets(groups.groupBy("source").agg(F.sum(F.col("weight") * F.col("units")).alias("source_size")), config))
+    words = F.sum(F.col("weight") * F.col("units")).alias("source_size")
+    aims = durable(targets(groups.groupBy("source").agg(words), config))
     tilts = multipliers(groups, aims, config)
 
     rate = F.least(F.lit(float(config.cap)), F.exp(F.coalesce(F.col("multiplier"), F.lit(0.0))))

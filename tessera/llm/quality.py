@@ -116,7 +116,8 @@ class Classifier:
         """Log-odds of a good document by its features, less those of the labelled rows."""
         out = F.lit(float(self.weights[0]) - self.base)
         for k in range(len(self.centre)):
-            out = out + F.lit(float(self.weights[k + 1])) * (F.col("features")[k] - float(self.centre[k])) / float(self.scale[k])
+            value = (F.col("features")[k] - float(self.centre[k])) / float(self.scale[k])
+            out = out + F.lit(float(self.weights[k + 1])) * value
         return F.greatest(F.lit(-20.0), F.least(F.lit(20.0), out))
 
 
@@ -142,7 +143,10 @@ def fit(features: DataFrame, labels: DataFrame, config: QualityConfig = QualityC
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy(
         F.col("doc_id").alias("_id")
     ).agg(F.min("quality").alias("good"))
-    rows = durable(features.join(small(durable(known)), F.col("doc_id") == F.col("_id")).select("features", F.col("good").cast("int").alias("good")))
+    rows = durable(
+        features.join(small(durable(known)), F.col("doc_id") == F.col("_id"))
+        .select("features", F.col("good").cast("int").alias("good"))
+    )
     width = len(FEATURES)
     moments = _sums(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * width)
     n, good = moments[0], moments[1]
@@ -204,8 +208,10 @@ def hierarchical_quality(
     """
     table = durable(shapes(documents, host, path))
     model = fit(table, labels, config)
-    scored = table.withColumn("evidence", model.evidence()).withColumn("own", 1 / (1 + F.exp(-(F.col("evidence") + model.base))))
-    scored = scored.select("doc_id", "host", "path", "evidence", "own")
+    own = 1 / (1 + F.exp(-(F.col("evidence") + model.base)))
+    scored = table.withColumn("evidence", model.evidence()).select(
+        "doc_id", "host", "path", "evidence", own.alias("own")
+    )
 
     paths = durable(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("own").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
@@ -213,7 +219,8 @@ def hierarchical_quality(
     share = min(1 - 1e-6, max(1e-6, (whole[1] or 0.5) / (whole[0] or 1)))
     strong = _concentration(hosts, "host_n", "host_good", F.lit(share), config)
     hosts = durable(hosts.withColumn("host_share", (F.col("host_good") + strong * share) / (F.col("host_n") + strong)))
-    below = paths.join(hosts.select(F.col("host").alias("_host"), "host_share"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    shares = hosts.select(F.col("host").alias("_host"), "host_share")
+    below = paths.join(shares, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     near = _concentration(below, "n", "good", F.col("host_share"), config)
     below = durable(below).withColumnsRenamed({"host": "_host", "path": "_path"})
 
@@ -221,8 +228,9 @@ def hierarchical_quality(
     path_share = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), without))
     logit = lambda p: F.log(p / (1 - p))
     prior = logit(F.lit(share)) + config.weight * (logit(F.col("path_share")) - logit(F.lit(share)))
+    same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     return (
-        scored.join(small(below, 100_000), F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+        scored.join(small(below, 100_000), same)
         .withColumn("path_share", path_share)
         .withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + prior))))
         .select(

@@ -235,7 +235,8 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
 
         parts = table.mapInArrow(train, "n long, state binary").collect()  # one row of fixed size per shard
         total = sum(p["n"] for p in parts)
-        flat = sum(np.frombuffer(bytes(p["state"])) * (p["n"] / total) for p in sorted(parts, key=lambda p: bytes(p["state"])))
+        parts.sort(key=lambda p: bytes(p["state"]))  # one order of summing, so reruns agree
+        flat = sum(np.frombuffer(bytes(p["state"])) * (p["n"] / total) for p in parts)
         state = (float(flat[0]), flat[1:1 + len(chosen)], flat[1 + len(chosen):].reshape(len(chosen), config.factors))
     return Machine(slots, *state)
 

@@ -103,7 +103,8 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the prefix filter needs a threshold in (0.5, 1]")
-    filled = classes.filter(F.col("size") > 0).select("class_id", "tokens", "size")
+    # the digest travels as bytes, half as wide as its text
+    filled = classes.filter(F.col("size") > 0).select(F.unhex("class_id").alias("class_id"), "tokens", "size")
     exploded = filled.select("class_id", "size", F.explode("tokens").alias("token"))
     weight = exploded.groupBy("token").agg(F.count("*").alias("df"))
     # rounding to six digits lifts a similarity by at most 5e-7, and the guard covers float error
@@ -165,7 +166,7 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .withColumn("similarity", F.round(F.col("shared") / union, 6))
         .filter(F.col("similarity") >= threshold)
         .select(
-            "class_a", "class_b", "similarity",
+            F.lower(F.hex("class_a")).alias("class_a"), F.lower(F.hex("class_b")).alias("class_b"), "similarity",
             F.array_intersect("tokens_a", "tokens_b").alias("shared_terms"),
         )
     )

@@ -94,3 +94,20 @@ def test_nulls_empty_and_repeats(spark):
     assert all(r["difference"] == 0 and r["n_tokens"] == 0 for r in got if r["doc_id"] in (None, 3))
     assert L.cross_entropy_difference(frame, ids.limit(0)).count() == 5
     assert L.cross_entropy_difference(frame.limit(0), ids).collect() == []
+
+
+def test_every_word_and_pair_counts(spark):
+    rnd = random.Random(5)
+    docs = corpus() + [(200 + k, " ".join(f"x{int(80_000 * rnd.random() ** 1.5)}" for _ in range(400))) for k in range(300)]
+    docs.append((500, "alone"))
+    target = {*range(0, 200, 4), *range(200, 260)}
+    vocabulary = {w for _, t in docs for w in t.lower().split()}
+    assert len(vocabulary) > 32_768
+    frame, ids = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame([(k,) for k in target], "doc_id long")
+    expected = plain(docs, target, L.LanguageConfig(), vocabulary)
+    for config in (L.LanguageConfig(), L.LanguageConfig(block=5_000, glance=50_000)):
+        got = {r["doc_id"]: r for r in L.cross_entropy_difference(frame, ids, config).collect()}
+        assert got.keys() == expected.keys()
+        for doc, (a, b) in expected.items():
+            assert got[doc]["target_loss"] == pytest.approx(a) and got[doc]["background_loss"] == pytest.approx(b)
+            assert got[doc]["difference"] == pytest.approx(a - b)

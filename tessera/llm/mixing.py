@@ -26,7 +26,7 @@ class MixConfig:
     """Sources in order weigh ``weights``, repeating, and share ``share`` times all words.
 
     No document is taken more than ``cap`` times. ``group_rows``: documents of equal size are ranked in
-    parts of about that many. ``settle``: rounds in which the remainder is settled.
+    parts of about that many. ``settle``: rounds of settling from one look at whether a group can still move to the next.
     """
 
     weights: tuple[int, ...] = (5, 2, 1)
@@ -111,7 +111,9 @@ def multipliers(groups: DataFrame, aims: DataFrame, config: MixConfig = MixConfi
 def _settled(groups: DataFrame, config: MixConfig) -> DataFrame:
     """Adds ``extra``: how many units of each group are taken once more than ``base``.
 
-    A window over a source's groups has a row for each distinct size, not for each document.
+    A window over a source's groups has a row for each distinct size, not for each document. A round walks down the
+    sizes that fit into the remainder and takes each whole until one does not fit any more; that leaves less than half
+    of the remainder. Rounds go on until no group can move.
     """
     by_source = Window.partitionBy("source")
     down = by_source.orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, 0)
@@ -119,16 +121,27 @@ def _settled(groups: DataFrame, config: MixConfig) -> DataFrame:
     out = groups.withColumn("due", F.floor(due + 0.5)).withColumn(
         "extra", (F.col("due") - F.coalesce(F.lag("due").over(by_source.orderBy(F.desc("weight"))), F.lit(0))).cast("long")
     )
-    for _ in range(config.settle):
+    above = by_source.orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def looked(table: DataFrame) -> DataFrame:
+        """Adds ``left``, what a source misses, and ``room``, how many units of a group may move and fit into it."""
         taken = F.sum(F.col("weight") * (F.col("units") * F.col("base") + F.col("extra"))).over(by_source)
-        out = out.withColumn("left", F.col("target") - taken)
+        table = table.withColumn("left", F.col("target") - taken)
         more = F.when(F.col("base") < config.cap, F.col("units") - F.col("extra")).otherwise(0)
-        room = F.when(F.col("left") > 0, more).otherwise(F.col("extra"))
-        whole = F.floor(F.abs("left") / F.greatest(F.col("weight"), F.lit(1)))
-        out = out.withColumn("room", F.least(room, whole))
-        chosen = F.max(F.when((F.col("room") > 0) & (F.col("weight") > 0), F.col("weight"))).over(by_source)
-        moved = F.when(F.col("weight") == F.col("chosen"), F.signum("left").cast("long") * F.col("room")).otherwise(0)
-        out = out.withColumn("chosen", chosen).withColumn("extra", F.col("extra") + moved)
+        fits = (F.col("weight") > 0) & (F.col("weight") <= F.abs("left"))
+        return table.withColumn("room", F.when(fits, F.when(F.col("left") > 0, more).otherwise(F.col("extra"))).otherwise(0))
+
+    while True:
+        for _ in range(config.settle):
+            out = looked(out)
+            used = F.coalesce(F.sum(F.col("weight") * F.col("room")).over(above), F.lit(0))
+            whole = F.floor(F.greatest(F.abs("left") - used, F.lit(0)) / F.greatest(F.col("weight"), F.lit(1)))
+            out = out.withColumn("moved", F.least(F.col("room"), whole)).withColumn(
+                "extra", F.col("extra") + F.signum("left").cast("long") * F.col("moved")
+            )
+        out = durable(out.select("source", "weight", "units", "base", "target", "extra"))
+        if looked(out).where("room > 0").isEmpty():
+            break
     return out.select("source", "weight", "units", "base", "extra")
 
 

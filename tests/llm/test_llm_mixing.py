@@ -72,3 +72,11 @@ def test_newton_finds_the_rates(spark):
     import math
     got = {r["source"]: math.exp(r["multiplier"]) for r in mixing.multipliers(groups, aims).collect()}
     assert got["a"] == pytest.approx(0.1) and got["b"] == pytest.approx(1390 / 700)
+
+
+@pytest.mark.parametrize("long, first, last, share", [(20_000, 50, 349, 0.5), (20_000, 50, 349, 1.5), (100_000, 100, 1099, 0.5)])
+def test_remainder_of_distinct_sizes_is_settled(spark, long, first, last, share):
+    rows = [(k, "w " * size, "s") for k, size in enumerate([long, *range(first, last + 1)])]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), mixing.MixConfig(share=share)).collect()
+    assert {r["copies"] for r in got} <= {0, 1, 2}
+    assert abs(sum(r["copies"] * r["size"] for r in got) - got[0]["target"]) <= 5

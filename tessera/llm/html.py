@@ -161,7 +161,7 @@ def parse(page: str) -> list[Node]:
                     break
         found = _attributes(raw)
         names = tuple(dict.fromkeys(
-            part.lower() for key in ("class", "id") for part in NAME_PART.findall(found.get(key, ""))[:8]
+            part.lower() for key in ("class", "id") for part in NAME_PART.findall(found.get(key, ""))
         ))
         inline = tag in INLINE
         if not inline:

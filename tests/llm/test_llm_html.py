@@ -79,3 +79,11 @@ def test_operator(spark, model):
     assert by_id[1] == "Head Some text that is long enough. Really so." and by_id[None] == by_id[4] == ""
     assert len(by_id[5]) > 900_000
     assert H.extract(frame.limit(0), model).collect() == []
+
+
+def test_all_names_of_an_attribute_are_features():
+    from tessera.llm.html import features, parse
+
+    nodes = parse('<div class="col-xs-12 col-sm-4 col-md-3 hidden-print clearfix sidebar" id="aa-bb-cc-dd-ee-ff-gg-hh-comments">x</div>')
+    assert {"name sidebar", "name clearfix", "name comments"} <= set(features(nodes[1], nodes))
+    assert len(nodes[1].names) == len(set(nodes[1].names))

@@ -36,9 +36,10 @@ KEY_PREFIXES = ("AKIA", "ASIA")
 ACCOUNT_VALUE = re.compile(
     r"(?:[ _-]?(?:no|nr|number|num|id))?\.?[ ]{0,2}[:=#]?[ ]{0,2}([A-Z]{0,3}[0-9](?:[ -]?[0-9A-Z]){5,33})(?![0-9A-Za-z])"
 )
-SECRET_VALUE = re.compile(r"[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?([A-Za-z0-9+/_=.~-]{8,256})")
+SECRET_LEAD = re.compile(r"[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?")
+SECRET_VALUE = re.compile(r"[A-Za-z0-9+/_=.~-]*")
 KEY_VALUE = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
-CREDENTIALS = re.compile(r"[^\s/@:]{1,64}:[^\s/@]{1,256}@[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[^\s\"'<>]*)?")
+CREDENTIALS = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]{1,5})?(?:/[^\s\"'<>]*)?")
 
 
 @lru_cache(maxsize=1)
@@ -99,6 +100,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     base: dict[str, list[tuple[int, int]]] = {kind: [] for kind in BASE}
     more: list[tuple[str, int, int]] = []
     free = dict.fromkeys(BASE, 0)  # where the next match of each kind may begin
+    run, digit = 0, -1  # end of the last run of a secret's characters, and its last digit
     for last, (kind, length) in _anchors().iter(text):
         at = last - length + 1
         if kind == "digit":
@@ -135,8 +137,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if (match := ACCOUNT_VALUE.match(text, last + 1)) and _valid_account(match[1]):
                 more.append(("account", *match.span(1)))
         elif kind == "secret":
-            if (match := SECRET_VALUE.match(text, last + 1)) and any(c.isdigit() for c in match[1]):
-                more.append(("secret", *match.span(1)))
+            if lead := SECRET_LEAD.match(text, last + 1):
+                begin = lead.end()
+                if begin >= run:  # else a cue within the run, whose end is known
+                    run = SECRET_VALUE.match(text, begin).end()
+                    digit = next((k for k in range(run - 1, begin - 1, -1) if text[k].isdigit()), -1)
+                if run - begin >= 8 and digit >= begin:
+                    more.append(("secret", begin, run))
         elif match := KEY_VALUE.match(text, last + 1):
             more.append(("secret", at, match.end()))
     spans = [(kind, *span) for kind in BASE for span in base[kind]]

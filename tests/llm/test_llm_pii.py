@@ -74,3 +74,18 @@ def test_operator(spark):
         else:
             assert r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert pii.personal_data(frame.limit(0)).collect() == []
+
+
+def test_long_secrets_and_credentials_are_whole():
+    from tessera.llm import pii
+
+    value = "aB3-_./+" * 500 + "=="
+    for text in (f"token={value} end", f'api_key: "{value}" end'):
+        begin = text.index(value)
+        assert pii.find(text) == [("secret", begin, begin + len(value))]
+        assert pii.redacted(text, pii.find(text)) == text.replace(value, "<secret>")
+    url = f"https://{'u' * 500}:{'p' * 3000}!@host.example/path"
+    assert pii.find(f"see {url} end") == [("url", 4, 4 + len(url))]
+    assert pii.find("token=10.0.0.1/token=abcd1234")[-1] == ("secret", 21, 29)
+    cues = "token=" * 50_000
+    assert pii.find(cues) == [] and pii.find(cues + "1")[-1] == ("secret", 6, len(cues) + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import dedup, rules, sharding
+from tessera.llm import dedup, infill, rules, sharding
 from tessera.llm.decontam import LOWER, UPPER, DecontamConfig
 
 _SPACE = r"\x20\x09-\x0D"
@@ -117,9 +117,42 @@ def decontam_sql(config: DecontamConfig = DecontamConfig()) -> str:
     """
 
 
+def infill_sql(config: infill.InfillConfig = infill.InfillConfig()) -> str:
+    p, s, m = config.prefix, config.suffix, config.middle
+    return rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{config.seed}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+        u AS (
+            SELECT *, regexp_extract_all(text, '[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+') AS units, len(units) AS n,
+                ('0x' || key[1:8])::BIGINT AS h1, ('0x' || key[9:16])::BIGINT AS h2,
+                ('0x' || key[17:24])::BIGINT AS h3, ('0x' || key[25:32])::BIGINT AS h4
+            FROM t
+        ),
+        c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+                CASE WHEN text = '' OR contains(text, '{p}') OR contains(text, '{s}') OR contains(text, '{m}')
+                    OR h3 % 100 >= {config.percent} THEN 'plain'
+                    WHEN h4 % 100 < {config.suffix_first_percent} THEN 'spm' ELSE 'psm' END AS form
+            FROM u
+        ),
+        x AS (
+            SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix,
+                coalesce(array_to_string(units[low + 1:high], ''), '') AS middle,
+                coalesce(array_to_string(units[high + 1:], ''), '') AS suffix
+            FROM c
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle
+                ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM x
+    """
+
+
 ORACLES = {
     "op4_minhash_near_dedup": dedup_sql(),
     "op6_quality_rules": rules_sql(),
     "op7_benchmark_decontamination": decontam_sql(),
     "op9_sharding": sharding.place_sql(),
+    "op11_fill_in_middle": infill_sql(),
 }

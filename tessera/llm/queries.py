@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, dedup, html, labelled, language, mixing, oracles, pii, quality, rules, sharding, toxicity
+from tessera.llm import (
+    decontam, dedup, html, infill, labelled, language, mixing, oracles, pii, quality, rules, sharding, toxicity,
+)
 from tessera.session import table
 
 
@@ -77,6 +79,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and rearranged; digests of the output and of the text rebuilt from it."""
+    infilled = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.col("infill")
+    return infilled.select(
+        "doc_id", cut["n"].alias("n"), cut["form"].alias("form"), cut["prefix_chars"].alias("prefix_chars"),
+        cut["middle_chars"].alias("middle_chars"), F.sha2(cut["output"], 256).alias("output_sha256"),
+        F.sha2(infill.restored(cut["output"], cut["form"]), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +101,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_sharding": op9_sharding,
     "op10_source_mixing": op10_source_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES = oracles.ORACLES

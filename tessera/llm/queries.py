@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    decontam, dedup, html, infill, labelled, language, mixing, oracles, pii, quality, rules, sharding, toxicity,
+    decontam, dedup, html, infill, labelled, language, mixing, oracles, pii, quality, rules, sharding, simhash,
+    toxicity,
 )
 from tessera.session import table
 
@@ -90,6 +91,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-duplicates of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +109,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_source_mixing": op10_source_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 ORACLES = oracles.ORACLES

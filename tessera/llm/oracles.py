@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import dedup, infill, rules, sharding
+from tessera.llm import dedup, infill, negatives, rules, sharding
 from tessera.llm.decontam import LOWER, UPPER, DecontamConfig
 
 _SPACE = r"\x20\x09-\x0D"
@@ -149,10 +149,36 @@ def infill_sql(config: infill.InfillConfig = infill.InfillConfig()) -> str:
     """
 
 
+def negatives_sql(config: negatives.NegativeConfig = negatives.NegativeConfig()) -> str:
+    return f"""
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor({config.scale} * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+        ),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {config.positives}
+        )
+        SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND {config.percent} * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= {config.negatives}
+    """
+
+
 ORACLES = {
     "op4_minhash_near_dedup": dedup_sql(),
     "op6_quality_rules": rules_sql(),
     "op7_benchmark_decontamination": decontam_sql(),
     "op9_sharding": sharding.place_sql(),
     "op11_fill_in_middle": infill_sql(),
+    "op12_hard_negatives": negatives_sql(),
 }

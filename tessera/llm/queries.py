@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    decontam, dedup, html, infill, labelled, language, mixing, oracles, pii, quality, rules, sharding, simhash,
-    toxicity,
+    decontam, dedup, html, infill, labelled, language, mixing, negatives, oracles, pii, quality, rules, sharding,
+    simhash, toxicity,
 )
 from tessera.session import table
 
@@ -97,6 +97,14 @@ def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has its label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0
+    )
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -109,6 +117,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_source_mixing": op10_source_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 

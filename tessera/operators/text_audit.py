@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +25,19 @@ STOPWORDS = (
 TOKEN_PATTERN = "([a-z0-9]+(?:-[a-z0-9]+)*)"
 THRESHOLD = 0.90
 # Longs of a token set's parity sketch.
-SKETCH = 4
+PARITY = 4
+PARITIES = tuple(f"parity_{k}" for k in range(PARITY))
+# The frequency sketch, 1 MB: rows of counters, and bits of a token's hash that choose one.
+SKETCH_ROWS = 2
+COUNTER_BITS = 16
+COUNTERS = 1 << COUNTER_BITS
+# Rounding to six digits lifts a similarity by at most 5e-7; the rest guards against float error.
+SLACK = 1e-6
+# Class digests that may be broadcast, some 20 MB.
+BROADCAST_ROWS = 500_000
+# Rare tokens of a set, and pairs of sets, that give the search for the closest pairs its first bound.
+SEED_TOKENS = 4
+SEED_PAIRS = 4096
 
 
 def token_set(*texts: Column) -> Column:
@@ -54,90 +69,123 @@ def duplicate_members(df: DataFrame, ident: str, text: str) -> DataFrame:
     return keyed.join(groups, "group_hash").select("first_id", ident, "members")
 
 
-def token_classes(df: DataFrame, ident: str, texts: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows folded by equal token sets.
+def token_rows(df: DataFrame, ident: str, texts: Sequence[str]) -> DataFrame:
+    """(id, class_id, size, tokens): each row's distinct tokens in order, and a 128-bit digest of them."""
+    keyed = df.select(F.col(ident).alias("id"), F.sort_array(token_set(*[F.col(t) for t in texts])).alias("tokens"))
+    whole = F.unhex(F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
+    return keyed.select("id", F.substring(whole, 1, 16).alias("class_id"), F.size("tokens").alias("size"), "tokens")
 
-    Returns ``classes(class_id, tokens, size, members)`` with one row per distinct set and
-    ``membership(id, class_id)``. All copies of a text share a class, so no later step pairs them.
+
+def token_classes(rows: DataFrame) -> DataFrame:
+    """(class_id, size, members, first_id): rows folded by equal token sets. No token travels."""
+    return rows.groupBy("class_id").agg(
+        F.any_value("size").alias("size"), F.count("*").alias("members"), F.min("id").alias("first_id")
+    )
+
+
+# --- prefixes ---------------------------------------------------------------------------------
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("class_id", "size", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+
+
+def _counters(hashes: np.ndarray) -> list[np.ndarray]:
+    """The counter of each row of the sketch that a token's hash falls on."""
+    raw = hashes.view(np.uint64)
+    return [((raw >> np.uint64(COUNTER_BITS * r)) & np.uint64(COUNTERS - 1)).astype(np.int64) for r in range(SKETCH_ROWS)]
+
+
+def frequency_sketch(rows: DataFrame) -> np.ndarray:
+    """Count-min sketch of how many rows hold a token: ``SKETCH_ROWS`` x ``COUNTERS`` sums, built in one pass.
+
+    A task adds up its own counters first, so as many rows as the sketch has counters leave it at most.
     """
-    keyed = df.select(
-        F.col(ident).alias("id"), F.sort_array(token_set(*[F.col(t) for t in texts])).alias("tokens")
-    ).withColumn("class_id", F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
-    # tokenising is the costly step and several branches need its result: it is done once
-    classes = durable(
-        keyed.groupBy("class_id").agg(
-            F.any_value("tokens").alias("tokens"),
-            F.count("*").alias("members"),
-            F.min("id").alias("first_id"),
-        ).withColumn("size", F.size("tokens"))
-    )
-    return classes, keyed.select("id", "class_id")
-
-
-def _parity() -> list[Column]:
-    """Aggregates over a set's tokens: each bit tells whether an odd number of tokens falls on it."""
-    place = F.pmod(F.xxhash64("token"), F.lit(64 * SKETCH))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    return [
-        F.bit_xor(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"parity_{k}")
-        for k in range(SKETCH)
-    ]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((SKETCH_ROWS, COUNTERS), np.int64)
+        for batch in batches:
+            hashes = batch.column("hashes").flatten().to_numpy()
+            for line, at in zip(own, _counters(hashes), strict=True):
+                line += np.bincount(at, minlength=COUNTERS)
+        used = np.flatnonzero(own.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own.ravel()[used])], names=["counter", "n"])
 
-def _differing() -> Column:
-    """A lower bound of how many tokens only one of the two sets has: each odd bit of the sketches' xor needs one."""
-    total = F.lit(0)
-    for k in range(SKETCH):
-        total = total + F.bit_count(F.col(f"parity_{k}_a").bitwiseXOR(F.col(f"parity_{k}_b")))
-    return total
+    counted = _hashed(rows).select("hashes").mapInArrow(run, "counter long, n long")
+    summed = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SKETCH_ROWS * COUNTERS, np.int64)
+    out[summed.column("counter").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(SKETCH_ROWS, COUNTERS)
 
 
-def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of distinct token sets with Jaccard at or above the threshold, exactly.
+def prefixes(rows: DataFrame, sketch: np.ndarray, threshold: float) -> DataFrame:
+    """(class_id, size, length, parity_*, prefix) of each distinct non-empty set.
 
-    Two sets that similar must share a token among the rarest few of each (prefix filter) and have
-    close sizes, so candidates come from an equi-join on those tokens whose rows carry numbers only.
-    Parity sketches drop, inside that join, pairs that differ in too many tokens. Before the token sets
-    themselves are compared, two bounds drop pairs that cannot reach the needed overlap: what can
-    still follow the first shared token, and what the prefixes share plus the longer rest.
+    ``prefix`` holds the hashes of the ``length`` tokens that the sketch counts as rarest, ties by hash. Any order of
+    all tokens makes the filter exact, a good one makes it sharp; equal hashes of two tokens only add candidates. A
+    set is ordered where its row lies, so what travels to fold the copies is prefixes and a parity sketch.
     """
-    if not 0.5 < threshold <= 1:
-        raise ValueError("the prefix filter needs a threshold in (0.5, 1]")
-    # the digest travels as bytes, half as wide as its text
-    filled = classes.filter(F.col("size") > 0).select(F.unhex("class_id").alias("class_id"), "tokens", "size")
-    exploded = filled.select("class_id", "size", F.explode("tokens").alias("token"))
-    weight = exploded.groupBy("token").agg(F.count("*").alias("df"))
-    # rounding to six digits lifts a similarity by at most 5e-7, and the guard covers float error
-    needed = F.ceil(F.col("size") * F.lit(threshold - 1e-6))
-    sketch = tuple(f"parity_{k}" for k in range(SKETCH))
-    ordered = (
-        exploded.join(weight, "token")
-        .groupBy("class_id", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"), *_parity())
-        .withColumn("length", (F.col("size") - needed + 1).cast("int"))
-        .select(
-            "class_id", "size", "length", *sketch,
-            F.transform(F.slice("w", 1, F.col("length")), lambda x: x["token"]).alias("prefix"),
-        )
-    )
-    # sizes of a pair differ by at most the threshold, so they fall into the same or the next size
-    # band; joining on the band as well splits a token that very many sets share
-    low = threshold - 1e-6
-    band = F.floor(F.log(F.col("size").cast("double")) / -log(low))
-    keyed = ordered.select(
-        "class_id", "size", "length", *sketch, band.alias("band"), F.posexplode("prefix").alias("at", "token")
+    low = threshold - SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy().astype(np.int64)
+            hashes = batch.column("hashes").flatten().to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            estimate = reduce(np.minimum, (line[at] for line, at in zip(sketch, _counters(hashes), strict=True)))
+            order = np.lexsort((hashes, estimate, owner))
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # a needed overlap one too small by rounding makes a prefix one longer, which loses nothing
+            length = sizes - np.maximum(np.ceil(sizes * low - 1e-9).astype(np.int64), 1) + 1
+            taken = hashes[order[place < length[owner]]]
+            bit = (hashes.view(np.uint64) >> np.uint64(64 - 6)).astype(np.int64)
+            word = (hashes.view(np.uint64) >> np.uint64(52)).astype(np.int64) & (PARITY - 1)
+            odd = np.bincount((owner * PARITY + word) * 64 + bit, minlength=len(sizes) * PARITY * 64) & 1
+            packed = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), PARITY)
+            edges = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class_id"), batch.column("size"), pa.array(length, pa.int32()),
+                 *(pa.array(packed[:, k]) for k in range(PARITY)), pa.ListArray.from_arrays(edges, pa.array(taken))],
+                names=["class_id", "size", "length", *PARITIES, "prefix"],
+            )
+
+    longs = ", ".join(f"{n} long" for n in PARITIES)
+    found = _hashed(rows.filter("size > 0")).mapInArrow(
+        run, f"class_id binary, size int, length int, {longs}, prefix array<long>"
+    )
+    return found.groupBy("class_id").agg(*[F.any_value(n).alias(n) for n in ("size", "length", *PARITIES, "prefix")])
+
+
+def _differing() -> Column:
+    """A lower bound of how many tokens only one of the two sets has: each odd bit of the sketches' xor needs one."""
+    return reduce(
+        lambda x, y: x + y, [F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in PARITIES]
     )
-    names = ("class_id", "size", "length", "at", *sketch)
-    left = keyed.select(
-        *[F.col(n).alias(f"{n}_a") for n in names], "token",
-        F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
+
+
+# --- pairs ------------------------------------------------------------------------------------
+
+
+def _candidates(ordered: DataFrame, threshold: float) -> DataFrame:
+    """(class_a, class_b) of the pairs that prefixes, sizes and parity sketches allow to reach the threshold."""
+    low = threshold - SLACK
+    # sizes of a pair differ by at most the threshold, so they fall into the same or the next size band; joining on the
+    # band as well splits a token that very many sets share. A set calls at its own band and visits the next.
+    band = F.floor(F.log(F.col("size").cast("double")) / -log(low)).cast("int")
+    rows = ordered.select(
+        "class_id", "size", "length", *PARITIES, F.posexplode("prefix").alias("at", "token"), band.alias("own"),
+    ).select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"))
+    names = ("class_id", "size", "length", "at", "own", *PARITIES)
+    left, right = (
+        rows.select("token", "band", *[F.col(n).alias(f"{n}_{side}") for n in names]) for side in ("a", "b")
     )
-    right = keyed.select(*[F.col(n).alias(f"{n}_b") for n in names], "token", "band")
     sizes = ("size_a", "size_b", "length_a", "length_b")
+    home = F.col("own_a") == F.col("band")
+    ordered_once = (F.col("own_b") < F.col("own_a")) | (F.col("class_id_a") < F.col("class_id_b"))
     shared_prefix = (
         left.join(right, ["token", "band"])
         .filter(
-            (F.col("class_id_a") < F.col("class_id_b"))
+            home & ordered_once & (F.col("class_id_a") != F.col("class_id_b"))
             & (F.col("size_a") >= F.col("size_b") * low)
             & (F.col("size_b") >= F.col("size_a") * low)
             & (_differing() * (1 + low) <= (F.col("size_a") + F.col("size_b")) * (1 - low) + 1e-6)
@@ -148,37 +196,55 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     overlap = F.ceil(F.lit(low / (1 + low)) * (F.col("size_a") + F.col("size_b")) - 1e-6)
     following = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     rest = F.greatest(F.col("size_a") - F.col("length_a"), F.col("size_b") - F.col("length_b"))
-    candidates = shared_prefix.filter(
-        (following >= overlap) & (F.col("common") + rest >= overlap)
-    ).select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"))
-    tokens_of = filled.select("class_id", "tokens")
-    checked = (
-        candidates.join(
-            tokens_of.select(F.col("class_id").alias("class_a"), F.col("tokens").alias("tokens_a")), "class_a"
-        ).join(
-            tokens_of.select(F.col("class_id").alias("class_b"), F.col("tokens").alias("tokens_b")), "class_b"
-        )
+    return shared_prefix.filter((following >= overlap) & (F.col("common") + rest >= overlap)).select(
+        F.least("class_id_a", "class_id_b").alias("class_a"), F.greatest("class_id_a", "class_id_b").alias("class_b")
     )
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - F.col("shared")
-    return (
-        checked.withColumn("shared", shared)
-        .withColumn("similarity", F.round(F.col("shared") / union, 6))
-        .filter(F.col("similarity") >= threshold)
-        .select(
-            F.lower(F.hex("class_a")).alias("class_a"), F.lower(F.hex("class_b")).alias("class_b"), "similarity",
-            F.array_intersect("tokens_a", "tokens_b").alias("shared_terms"),
-        )
+
+
+def _measured(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class_a, class_b, similarity, shared_terms) of pairs, from their whole token sets.
+
+    Only rows of classes in some pair are tokenised again and travel.
+    """
+    pairs = durable(pairs)
+    wanted = durable(pairs.select(F.col("class_a").alias("class_id")).union(pairs.select("class_b")).distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    own = rows.join(F.broadcast(wanted) if few else wanted, "class_id", "left_semi")
+    tokens_of = own.groupBy("class_id").agg(F.any_value("tokens").alias("tokens"))
+    checked = pairs.join(
+        tokens_of.select(F.col("class_id").alias("class_a"), F.col("tokens").alias("tokens_a")), "class_a"
+    ).join(tokens_of.select(F.col("class_id").alias("class_b"), F.col("tokens").alias("tokens_b")), "class_b")
+    terms = F.array_intersect("tokens_a", "tokens_b")
+    shared = F.size("shared_terms")
+    union = F.size("tokens_a") + F.size("tokens_b") - shared
+    return checked.withColumn("shared_terms", terms).select(
+        "class_a", "class_b", F.round(shared / union, 6).alias("similarity"), "shared_terms"
     )
 
 
+def class_pairs(rows: DataFrame, threshold: float = THRESHOLD, sketch: np.ndarray | None = None) -> DataFrame:
+    """All pairs of distinct token sets of :func:`token_rows` with Jaccard at or above the threshold, exactly.
+
+    Two sets that similar must share a token among the rarest few of each (prefix filter) and have
+    close sizes, so candidates come from an equi-join on those tokens whose rows carry numbers only. A frequency
+    sketch, not a count of all tokens, tells the rare ones. Parity sketches drop, inside that join, pairs that
+    differ in too many tokens. Before the token sets themselves are compared, two bounds drop pairs that cannot reach
+    the needed overlap: what can still follow the first shared token, and what the prefixes share plus the longer rest.
+    """
+    if not SLACK < threshold <= 1:
+        raise ValueError("the threshold must be in (0, 1]")
+    sketch = frequency_sketch(rows) if sketch is None else sketch
+    ordered = durable(prefixes(rows, sketch, threshold))
+    return _measured(_candidates(ordered, threshold), rows).filter(F.col("similarity") >= threshold)
+
+
 def similar_pairs(df: DataFrame, ident: str, texts: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
     """High-similarity pairs between distinct token sets, with how many row pairs each stands for."""
-    return _described_pairs(token_classes(df, ident, texts)[0], threshold)
+    rows = token_rows(df, ident, texts)
+    return _described_pairs(durable(token_classes(rows)), class_pairs(rows, threshold))
 
 
-def _described_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    pairs = class_pairs(classes, threshold)
+def _described_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     info = classes.select("class_id", "first_id", "members")
     both = pairs.join(
         info.select(F.col("class_id").alias("class_a"), F.col("first_id").alias("id_a"), F.col("members").alias("members_a")),
@@ -195,13 +261,16 @@ def _described_pairs(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def similarity_totals(df: DataFrame, ident: str, texts: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
-    """Counts behind the audit: distinct sets, row pairs at the threshold, highest similarity.
+    """Counts behind the audit: distinct sets, row pairs at the threshold, highest similarity of any pair.
 
     Pairs inside a class are counted by formula, never enumerated. Sets without tokens have
-    similarity zero to everything.
+    similarity zero to everything. Where no pair reaches the threshold, the highest similarity comes from the search
+    for the closest pair; it is zero where there is no pair.
     """
-    classes, _ = token_classes(df, ident, texts)
-    across = _described_pairs(classes, threshold).agg(
+    rows = token_rows(df, ident, texts)
+    classes = durable(token_classes(rows))
+    sketch = frequency_sketch(rows)
+    across = durable(_described_pairs(classes, class_pairs(rows, threshold, sketch))).agg(
         F.coalesce(F.sum("row_pairs"), F.lit(0)).alias("between"), F.max("similarity").alias("top")
     )
     copies = F.when(F.col("size") > 0, F.col("members") * (F.col("members") - 1) / 2).otherwise(0)
@@ -209,54 +278,139 @@ def similarity_totals(df: DataFrame, ident: str, texts: Sequence[str], threshold
         F.count("*").alias("token_sets"), F.sum("members").alias("rows"),
         F.sum(copies).cast("long").alias("within"),
     )
-    best = F.when(F.col("within") > 0, 1.0).otherwise(F.col("top"))
-    joined = inside.withColumn("_k", F.lit(1)).join(F.broadcast(across.withColumn("_k", F.lit(1))), "_k")
+    joined = durable(inside.withColumn("_k", F.lit(1)).join(F.broadcast(across.withColumn("_k", F.lit(1))), "_k"))
+    known = joined.first()
+    if known["within"]:
+        best = 1.0
+    elif known["top"] is not None:
+        best = known["top"]
+    else:
+        nearest = _search(rows, classes, sketch, 1).agg(F.max("similarity")).first()[0]
+        best = 0.0 if nearest is None else nearest
     return joined.select(
         "rows", "token_sets", (F.col("within") + F.col("between")).alias("high_similarity_pairs"),
-        best.alias("maximum_similarity"),
+        F.lit(best).alias("maximum_similarity"),
     )
 
 
-def closest_pairs(
-    df: DataFrame, ident: str, texts: Sequence[str], k: int = 20, floor: float = THRESHOLD
-) -> DataFrame:
-    """The ``k`` closest row pairs by similarity and ids, among pairs at or above ``floor``.
+# --- the closest pairs ------------------------------------------------------------------------
+
+
+def _first_bound(rows: DataFrame, sketch: np.ndarray, k: int) -> float | None:
+    """A similarity that at least ``k`` pairs of classes reach, or None where the look was too short.
+
+    Sets that share one of their ``SEED_TOKENS`` rarest tokens are paired with the first set that has it; the most
+    promising of these pairs by sizes and parity sketches are compared, and the k-th best is the bound. It only
+    says where the exact search begins, so looking at no more than ``SEED_PAIRS`` of them costs no result.
+    """
+    ordered = durable(prefixes(rows, sketch, 0.5))
+    rare = ordered.select("class_id", "size", *PARITIES, F.explode(F.slice("prefix", 1, SEED_TOKENS)).alias("token"))
+    heads = rare.groupBy("token").agg(
+        F.min(F.struct("class_id", "size", *PARITIES)).alias("head"), F.count("*").alias("n")
+    ).filter("n > 1")
+    met = rare.select("token", *[F.col(n).alias(f"{n}_b") for n in ("class_id", "size", *PARITIES)]).join(heads, "token")
+    met = met.select("*", *[F.col("head")[n].alias(f"{n}_a") for n in ("class_id", "size", *PARITIES)])
+    total = F.col("size_a") + F.col("size_b")
+    apart = F.greatest(_differing(), F.abs(F.col("size_a") - F.col("size_b")))
+    promise = (total - apart) / (total + apart)
+    pairs = met.filter("class_id_a <> class_id_b").groupBy("class_id_a", "class_id_b").agg(F.max(promise).alias("promise"))
+    best = pairs.orderBy(F.desc("promise"), "class_id_a", "class_id_b").limit(max(SEED_PAIRS, 4 * k))
+    seeds = _measured(best.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b")), rows)
+    top = seeds.select("similarity").filter("similarity > 0").orderBy(F.desc("similarity")).limit(k)
+    row = top.agg(F.count("*").alias("n"), F.min("similarity").alias("least")).first()
+    return row["least"] if row["n"] >= k else None
+
+
+def _search(rows: DataFrame, classes: DataFrame, sketch: np.ndarray, k: int, enough: Callable | None = None) -> DataFrame:
+    """All class pairs down to some similarity that at least ``k`` of them reach (or all that share a token).
+
+    The first threshold is the k-th best of the seeds, which proves that no pair below it can be among the first k.
+    Where the seeds are too few it falls by halves until ``enough`` pairs, k by default, are found, or until it lies
+    below the least similarity that two sets with a common token can have.
+    """
+    threshold = _first_bound(rows, sketch, k)
+    if threshold is not None:
+        return durable(class_pairs(rows, threshold, sketch))
+    largest = classes.agg(F.max("size")).first()[0] or 0
+    least = max(1 / (2 * largest + 1), 2 * SLACK)
+    threshold = 0.5
+    while True:
+        threshold = max(threshold, least)
+        found = durable(class_pairs(rows, threshold, sketch))
+        if threshold <= least or (found.count() >= k if enough is None else enough(found)):
+            return found
+        threshold /= 2
+
+
+def closest_sets(df: DataFrame, ident: str, texts: Sequence[str], k: int = 20) -> DataFrame:
+    """The ``k`` closest pairs of distinct token sets that share a token, by similarity and first ids: no floor.
+
+    Columns: first_a, first_b, similarity, shared_terms (their number), row_pairs (that have these two sets).
+    """
+    rows = token_rows(df, ident, texts)
+    classes = durable(token_classes(rows))
+    found = _described_pairs(classes, _search(rows, classes, frequency_sketch(rows), k))
+    return found.orderBy(F.desc("similarity"), "first_a", "first_b").limit(k)
+
+
+def closest_pairs(df: DataFrame, ident: str, texts: Sequence[str], k: int = 20) -> DataFrame:
+    """The ``k`` closest row pairs by similarity and ids, over all pairs of rows: no floor.
 
     Only the first members of a class can appear in the first ``k`` pairs, so every class passes on
-    ``k + 1`` of its ids at most and copies are paired within those.
+    ``k + 1`` of its ids at most and copies are paired within those. Where fewer than ``k`` pairs have a common
+    token, pairs without one follow by their ids; the first of these lie among the least 2k + 2 ids.
     """
-    classes, membership = token_classes(df, ident, texts)
-    leading = membership.withColumn(
+    rows = token_rows(df, ident, texts)
+    classes = durable(token_classes(rows))
+    sketch = frequency_sketch(rows)
+    leading = rows.select("id", "class_id").withColumn(
         "_r", F.row_number().over(W.partitionBy("class_id").orderBy("id"))
     ).filter(F.col("_r") <= k + 1)
-    listed = leading.groupBy("class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    listed = durable(leading.groupBy("class_id").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     filled = classes.filter(F.col("size") > 0).select("class_id")
     within = (
         listed.join(filled, "class_id", "left_semi").filter(F.size("ids") > 1)
         .select(F.lit(1.0).alias("similarity"), F.explode(F.flatten(F.transform(
-            "ids",
-            lambda a: F.transform(
-                F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))
+            F.sequence(F.lit(1), F.size("ids") - 1),
+            lambda i: F.transform(
+                F.slice("ids", i + 1, F.size("ids")), lambda b: F.struct(F.element_at("ids", i).alias("a"), b.alias("b"))
             ),
         ))).alias("p"))
     )
-    pairs = class_pairs(classes, floor)
-    across = (
-        pairs.join(listed.select(F.col("class_id").alias("class_a"), F.col("ids").alias("ids_a")), "class_a")
-        .join(listed.select(F.col("class_id").alias("class_b"), F.col("ids").alias("ids_b")), "class_b")
-        .select("similarity", F.explode(F.flatten(F.transform(
-            "ids_a",
-            lambda a: F.transform(
-                F.col("ids_b"), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-            ),
-        ))).alias("p"))
-    )
-    return (
-        within.unionByName(across)
+
+    def row_pairs(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(listed.select(F.col("class_id").alias("class_a"), F.col("ids").alias("ids_a")), "class_a")
+            .join(listed.select(F.col("class_id").alias("class_b"), F.col("ids").alias("ids_b")), "class_b")
+            .select("similarity", F.explode(F.flatten(F.transform(
+                "ids_a",
+                lambda a: F.transform(
+                    F.col("ids_b"), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+                ),
+            ))).alias("p"))
+        )
+
+    copies = within.count()
+    if copies >= k:
+        across = row_pairs(class_pairs(rows, 1.0, sketch))
+    else:
+        found = _search(rows, classes, sketch, k - copies, lambda p: row_pairs(p).count() + copies >= k)
+        across = row_pairs(found)
+    ranked = durable(
+        within.unionByName(across).orderBy(F.desc("similarity"), "p.a", "p.b").limit(k)
         .select(F.col("p.a").alias("id_a"), F.col("p.b").alias("id_b"), "similarity")
-        .orderBy(F.desc("similarity"), "id_a", "id_b")
-        .limit(k)
     )
+    if ranked.count() < k:
+        first = rows.select("id").orderBy("id").limit(2 * k + 2).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        apart = first.select(F.explode(F.flatten(F.transform(
+            F.sequence(F.lit(1), F.size("ids")),
+            lambda i: F.transform(
+                F.slice("ids", i + 1, F.size("ids")), lambda b: F.struct(F.element_at("ids", i).alias("a"), b.alias("b"))
+            ),
+        ))).alias("p")).select(F.col("p.a").alias("id_a"), F.col("p.b").alias("id_b"), F.lit(0.0).alias("similarity"))
+        others = apart.join(F.broadcast(ranked.select("id_a", "id_b")), ["id_a", "id_b"], "left_anti")
+        ranked = ranked.unionByName(others)
+    return ranked.orderBy(F.desc("similarity"), "id_a", "id_b").limit(k)
 
 
 def signature(axes: Sequence[str]) -> Column:

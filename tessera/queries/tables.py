@@ -461,6 +461,11 @@ def q_similarity_totals(spark, sf):
     return ta.similarity_totals(table(spark, sf, "documents"), "doc_id", ["text"])
 
 
+def q_closest_sets(spark, sf):
+    return ta.closest_sets(table(spark, sf, "documents"), "doc_id", ["text"], 2000).withColumn(
+        "shared_terms", F.col("shared_terms").cast("long"))
+
+
 def q_closest_pairs(spark, sf):
     return ta.closest_pairs(table(spark, sf, "documents"), "doc_id", ["text"])
 
@@ -585,6 +590,7 @@ QUERIES = {
     "bundle_violations": q_bundle_violations, "observation_violations": q_observation_violations,
     "token_sets": q_token_sets, "duplicate_groups": q_duplicate_groups, "duplicate_members": q_duplicate_members,
     "similar_pairs": q_similar_pairs, "similarity_totals": q_similarity_totals, "closest_pairs": q_closest_pairs,
+    "closest_sets": q_closest_sets,
     "signature_collisions": q_signature_collisions, "library_audit": q_audit_library, "completeness": q_completeness,
     "forbidden_literals": q_scan_forbidden, "required_phrases": q_scan_required, "claim_values": q_claims,
     "claim_renderings": q_renderings, "audit_summary": q_audit_summary,

@@ -35,9 +35,9 @@ pairs AS (
   SELECT a.first_id AS first_a, b.first_id AS first_b, count(*) AS shared_terms,
     round(count(*) / (any_value(a.size) + any_value(b.size) - count(*)), 6) AS similarity,
     any_value(a.members) * any_value(b.members) AS row_pairs
-  FROM item a JOIN item b ON a.token = b.token AND a.first_id < b.first_id
-    AND a.size >= b.size * 0.899 AND b.size >= a.size * 0.899 GROUP BY 1, 2),
+  FROM item a JOIN item b ON a.token = b.token AND a.first_id < b.first_id AND a.size >= b.size * 0.899 AND b.size >= a.size * 0.899 GROUP BY 1, 2),
 high AS (SELECT * FROM pairs WHERE similarity >= 0.9)"""
+ALL_PAIRS = CLASSES.replace(" AND a.size >= b.size * 0.899 AND b.size >= a.size * 0.899", "")
 NORM = "trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
@@ -210,13 +210,15 @@ ORACLES = {
     "duplicate_members": f"""SELECT first_id, doc_id, members FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {NORM}) AS first_id,
         count(*) OVER (PARTITION BY {NORM}) AS members FROM documents) WHERE members > 1""",
     "similar_pairs": f"WITH {CLASSES} SELECT first_a, first_b, similarity, shared_terms, row_pairs FROM high",
-    "similarity_totals": f"""WITH {CLASSES} SELECT (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM classes) AS token_sets,
+    "similarity_totals": f"""WITH {ALL_PAIRS} SELECT (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM classes) AS token_sets,
         CAST((SELECT sum(CASE WHEN size > 0 THEN members * (members - 1) / 2 ELSE 0 END) FROM classes) + coalesce((SELECT sum(row_pairs) FROM high), 0) AS BIGINT) AS high_similarity_pairs,
-        CASE WHEN (SELECT max(members) FROM classes WHERE size > 0) > 1 THEN 1.0 ELSE (SELECT max(similarity) FROM high) END AS maximum_similarity""",
-    "closest_pairs": f"""WITH {CLASSES}, m AS (SELECT doc_id, first_id, size FROM tok JOIN classes USING (tokens)),
+        CASE WHEN (SELECT max(members) FROM classes WHERE size > 0) > 1 THEN 1.0 ELSE coalesce((SELECT max(similarity) FROM pairs), 0) END AS maximum_similarity""",
+    "closest_pairs": f"""WITH {ALL_PAIRS}, m AS (SELECT doc_id, first_id, size FROM tok JOIN classes USING (tokens)),
         every AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, CAST(1.0 AS DOUBLE) AS similarity FROM m a JOIN m b ON a.first_id = b.first_id AND a.doc_id < b.doc_id AND a.size > 0
-          UNION ALL SELECT least(a.doc_id, b.doc_id), greatest(a.doc_id, b.doc_id), similarity FROM high JOIN m a ON a.first_id = first_a JOIN m b ON b.first_id = first_b)
+          UNION ALL SELECT least(a.doc_id, b.doc_id), greatest(a.doc_id, b.doc_id), similarity FROM pairs JOIN m a ON a.first_id = first_a JOIN m b ON b.first_id = first_b)
         SELECT id_a, id_b, similarity FROM every ORDER BY similarity DESC, id_a, id_b LIMIT 20""",
+    "closest_sets": f"""WITH {ALL_PAIRS} SELECT first_a, first_b, similarity, shared_terms, row_pairs FROM pairs
+        ORDER BY similarity DESC, first_a, first_b LIMIT 2000""",
     "signature_collisions": "SELECT min(p_partkey) AS first_id, count(*) AS members FROM part GROUP BY p_brand, p_type, p_size HAVING count(*) > 1",
     "completeness": """SELECT 'question' AS rule, count(*) FILTER (len(p_type || '-' || p_size) > 8) AS satisfied, count(*) AS rows,
           count(*) FILTER (len(p_type || '-' || p_size) > 8) = count(*) AS complete FROM part

@@ -3,6 +3,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,12 +47,62 @@ def test_pairs_match_brute_force(spark, docs, threshold):
     total = t.similarity_totals(docs, "id", ["text"], threshold).collect()[0]
     assert total.high_similarity_pairs == len(high) and total.maximum_similarity == max(expected.values())
     best = sorted(expected.items(), key=lambda kv: (-kv[1], kv[0]))[:20]
-    got = [((r.id_a, r.id_b), r.similarity) for r in t.closest_pairs(docs, "id", ["text"], 20, threshold).collect()]
+    got = [((r.id_a, r.id_b), r.similarity) for r in t.closest_pairs(docs, "id", ["text"], 20).collect()]
     assert got == best
     pairs = t.similar_pairs(docs, "id", ["text"], threshold).collect()
     assert sum(p.row_pairs for p in pairs) == sum(1 for k, v in high.items() if tokens(data[k[0]][1]) != tokens(data[k[1]][1]))
 
 
+@pytest.mark.parametrize("k", [400])
+def test_closest_pairs_have_no_floor(spark, docs, k):
+    data = corpus()
+    expected = {(a[0], b[0]): jaccard(a[1], b[1]) for a, b in itertools.combinations(data, 2)}
+    best = sorted(expected.items(), key=lambda kv: (-kv[1], kv[0]))[:k]
+    assert best[-1][1] < 0.4
+    got = [((r.id_a, r.id_b), r.similarity) for r in t.closest_pairs(docs, "id", ["text"], k).collect()]
+    assert got == best
+    firsts = {}
+    for i, text in data:
+        firsts.setdefault(frozenset(tokens(text)), i)
+    sets = {(a, b): jaccard(data[a][1], data[b][1]) for a, b in itertools.combinations(sorted(firsts.values()), 2)}
+    best = sorted((-v, a, b) for (a, b), v in sets.items() if v)[:k]
+    assert [(-r.similarity, r.first_a, r.first_b) for r in t.closest_sets(docs, "id", ["text"], k).collect()] == best
+
+
+def test_closest_pairs_of_few_and_unlike_texts(spark):
+    def run(texts, k):
+        frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        total = t.similarity_totals(frame, "id", ["text"]).collect()[0]
+        return [tuple(r) for r in t.closest_pairs(frame, "id", ["text"], k).collect()], total.maximum_similarity
+
+    texts = ["red green", "blue", None, "green black white grey", "", "teal", "teal pink grey"]
+    data = list(enumerate(x or "" for x in texts))
+    ranked = sorted((-jaccard(a[1], b[1]), a[0], b[0]) for a, b in itertools.combinations(data, 2))
+    for k in (5, 99):
+        assert run(texts, k) == ([(a, b, -s) for s, a, b in ranked[:k]], -ranked[0][0])
+    assert run(["x1", "x2"], 5) == ([(0, 1, 0.0)], 0.0)
+    assert run([], 5) == ([], 0.0)
+
+
+def test_frequency_sketch_never_counts_too_low(spark, docs):
+    rows = t.token_rows(docs, "id", ["text"])
+    sketch = t.frequency_sketch(rows)
+    true = {r.h: r.n for r in rows.select(F.explode("tokens").alias("t")).groupBy(F.xxhash64("t").alias("h")).agg(F.count("*").alias("n")).collect()}
+    keys = np.array(list(true), np.int64)
+    estimate = np.min([line[at] for line, at in zip(sketch, t._counters(keys))], axis=0)
+    assert (estimate >= list(true.values())).all() and sketch.sum(axis=1).tolist() == [sum(true.values())] * 2
+
+
+def test_pairs_do_not_depend_on_the_sketch(spark, docs):
+    rows = t.token_rows(docs, "id", ["text"])
+    rng = np.random.default_rng(1)
+    found = [
+        sorted((bytes(r.class_a), bytes(r.class_b), r.similarity) for r in t.class_pairs(rows, 0.6, sketch).collect())
+        for sketch in (None, rng.integers(0, 9, (2, t.COUNTERS)))
+    ]
+    assert found[0] == found[1] and found[0]
+
+
 def test_duplicates(spark, docs):
     group = [g for g in t.duplicate_groups(docs, "id", "text").collect() if g.first_id == 0][0]
     assert group.members == 16

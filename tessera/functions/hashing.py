@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import merkle
+
 PREFIX = "sha256:"
 
 
@@ -19,35 +22,41 @@ def content_hash(names: Sequence[str]) -> Column:
     return digest(F.to_json(F.struct(*[F.col(name) for name in sorted(names)])))
 
 
-def set_hash(entries: Column) -> Column:
-    """Hash over an array of (id, hash) structs, independent of their order."""
+def set_hash(entries: Column, ident: str = "id", hashed: str = "hash") -> Column:
+    """Hash over a short array of structs with an id and a hash, independent of their order."""
     ordered = F.sort_array(entries)
-    return digest(F.array_join(F.transform(ordered, lambda e: F.concat(e[0], F.lit("="), e[1])), ","))
+    return digest(F.array_join(F.transform(ordered, lambda e: F.concat(e[ident], F.lit("="), e[hashed])), ","))
 
 
 def artifact_set_hash(df: DataFrame, group: Sequence[str], ident: str, hashed: str) -> DataFrame:
-    """Order-free hash of the artifacts of each group, in constant memory per group.
+    """(group, artifacts, set_hash): order-free hash of the artifacts of each group, the root of a Merkle tree.
 
-    Sorting all members of a group inside one aggregate would not survive a group of any size, so
-    members are hashed, folded into 256 sub-digests by the first byte of their own digest, and the
-    256 sub-digests are hashed. Each fold is a 64-bit sum taken over four independent digest words,
-    which partial aggregation can do before the shuffle.
+    No aggregate holds more than a leaf's lines or a node's children, so a group may have any size. A repeated
+    artifact counts with its number.
     """
-    member = F.sha2(F.concat_ws("=", F.col(ident), F.col(hashed)).cast("binary"), 256)
-    words = [
-        F.conv(F.substring("_m", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(4)
-    ]
-    folded = (
-        df.select(*group, member.alias("_m"))
-        .withColumn("_b", F.substring("_m", 1, 2))
-        .groupBy(*group, "_b")
-        .agg(F.count("*").alias("_n"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)])
+    line = F.concat(F.coalesce(F.col(ident).cast("string"), F.lit("")), F.lit("="), F.coalesce(F.col(hashed), F.lit("")))
+    found = merkle.roots(merkle.set_leaves(df, group, line), group)
+    return found.select(
+        *group, F.col("rows").alias("artifacts"), F.concat(F.lit(PREFIX), "hash").alias("set_hash")
     )
-    line = F.concat_ws(":", "_b", "_n", *[f"_w{i}" for i in range(4)])
-    # at most 256 lines per group
-    return folded.groupBy(*group).agg(
-        F.sum("_n").alias("artifacts"),
-        digest(F.array_join(F.sort_array(F.collect_list(line)), ",")).alias("set_hash"),
+
+
+def fingerprint(inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """One row: hash over named inputs, each the root of the tree of its rows, and their number of rows.
+
+    Rows count as JSON with sorted keys, without nulls; an empty input has the hash of nothing.
+    """
+    parts = []
+    for name in sorted(inputs):
+        df = inputs[name]
+        line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+        root = merkle.roots(merkle.set_leaves(df, [], line), [])
+        parts.append(root.agg(
+            F.coalesce(F.first("hash"), F.lit("")).alias("_h"), F.coalesce(F.first("rows"), F.lit(0)).alias("_n")
+        ).withColumn("_name", F.lit(name)))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.agg(
+        F.count("*").alias("inputs"), F.sum("_n").alias("rows"), set_hash(F.collect_list(F.struct("_name", "_h")), "_name", "_h").alias("fingerprint")
     )
 
 

@@ -55,6 +55,28 @@ def global_rank(
     )
 
 
+def running_max(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str = "running") -> DataFrame:
+    """Adds the greatest ``value`` of the group's rows up to and including each row in the total order, split over ranges.
+
+    Each range takes the maxima of the ranges in front from a table with one row for each of its groups, so a
+    group may have any number of rows. Nulls of ``value`` count for nothing.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(
+        df.repartitionByRange(partitions, *group, *order).withColumn("_slice", F.spark_partition_id())
+    )
+    by_slice = [*group, "_slice"]
+    before = (W.partitionBy(*group) if group else W.partitionBy(F.lit(0))).orderBy("_slice").rowsBetween(
+        W.unboundedPreceding, -1
+    )
+    tops = ranged.groupBy(*by_slice).agg(F.max(value).alias("_top")).select(*by_slice, F.max("_top").over(before).alias("_front"))
+    local = F.max(value).over(W.partitionBy(*by_slice).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (
+        ranged.withColumn("_local", local).join(tops, by_slice)
+        .withColumn(name, F.greatest("_local", "_front")).drop("_local", "_front", "_slice")
+    )
+
+
 def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float],
     nearest: bool = False,

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import artifact_set_hash
+from tessera.functions import merkle
+from tessera.functions.hashing import PREFIX
 from tessera.functions.ranking import exact_quantiles
 from tessera.functions.scalar import clamp, portable
 
@@ -122,20 +123,29 @@ def draw_prefix(draws: DataFrame, outcomes: DataFrame, count: int) -> DataFrame:
     return parameters.join(outcomes, ["run_id", "draw"])
 
 
+#: Positions of draws in a leaf of the stream's hash tree.
+DRAWS_PER_LEAF = 64
+
+
 def draws_hash(draws: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Hash of a run's whole stream; every record carries its draw number, so order is part of it."""
-    records = draws.select(
-        "run_id", F.concat_ws("/", F.col("draw"), F.col("parameter_id")).alias("key"),
-        portable(F.col("value")).cast("string").alias("text"),
-    ).unionByName(
-        outcomes.select(
-            "run_id", F.concat_ws("/", F.col("draw"), F.lit("=outcome")).alias("key"),
-            portable(F.col("outcome")).cast("string").alias("text"),
-        )
+    """(run_id, draw_stream_hash): hash of a run's records in the order of their draws and parameters.
+
+    A leaf of the tree holds ``DRAWS_PER_LEAF`` consecutive draws, so a run may have any length. Values count with
+    twelve digits.
+    """
+    return merkle.roots(draw_leaves(draws, outcomes), ["run_id"], merkle.ORDERED_LEVELS).select(
+        "run_id", F.concat(F.lit(PREFIX), "hash").alias("draw_stream_hash")
     )
-    return artifact_set_hash(records, ["run_id"], "key", "text").select(
-        "run_id", F.col("set_hash").alias("draw_stream_hash")
+
+
+def draw_leaves(draws: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Leaves of the hash tree of each run, for :func:`tessera.functions.merkle.differing_slots` too."""
+    text = lambda c: F.format_string("%.11e", portable(F.col(c)))
+    records = draws.select("run_id", "draw", F.col("parameter_id").alias("key"), text("value").alias("text")).unionByName(
+        outcomes.select("run_id", "draw", F.lit("=outcome").alias("key"), text("outcome").alias("text"))
     )
+    line = F.concat_ws("/", "draw", "key", "text")
+    return merkle.ordered_leaves(records, ["run_id"], F.col("draw"), ["draw", "key"], line, DRAWS_PER_LEAF)
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.ranking import running_max
 from tessera.functions.scalar import portable
 from tessera.session import durable
 
@@ -275,29 +276,42 @@ def retain_plans(plans: DataFrame, retained: int) -> DataFrame:
     )
 
 
-def pareto(plans: DataFrame, config: PortfolioConfig = PortfolioConfig()) -> DataFrame:
+def pareto(plans: DataFrame, config: PortfolioConfig = PortfolioConfig(), retained: int | None = None) -> DataFrame:
     """Feasible plans no other feasible plan beats on objective or cost beyond the tolerance.
 
-    Plans are reduced to the best objective per distinct cost first; two range frames over those
-    costs then decide, so the work is n log n and not quadratic.
+    Plans are reduced to the best objective per distinct cost. Each cost then asks twice for the best objective up
+    to some cost: one tolerance below its own, and one above. Costs and questions lie in one order, split over ranges with
+    prefix maxima, so a problem of any number of plans is spread over all tasks. With ``retained`` the frontier of all plans
+    is listed as far as its plans are among the first so many of their problem (:func:`retain_plans`).
     """
     t = config.tolerance
     # read by both sides of the join below, so the scoring runs once
     feasible = durable(plans.filter("feasible").select(
-        "problem_id", "plan_id", "total_cost", "objective_value", "quantities", "selected_action_count"
+        "problem_id", "plan_id", "total_cost", "objective_value", "quantities", "selected_action_count", "plan_index", "feasible"
     ))
     levels = feasible.groupBy("problem_id", "total_cost").agg(F.max("objective_value").alias("_top"))
-    frame = "max(_top) OVER (PARTITION BY problem_id ORDER BY total_cost RANGE BETWEEN UNBOUNDED PRECEDING AND {})"
-    reach = levels.select(
-        "problem_id", "total_cost",
-        F.expr(frame.format(f"{t!r}D FOLLOWING")).alias("_at_cost"),
-        F.expr(frame.format(f"{t!r}D PRECEDING")).alias("_cheaper"),
+    # at an equal place costs come before questions, as a cost exactly a tolerance away counts
+    asked = levels.select("problem_id", "_top", F.col("total_cost").alias("_of"), F.explode(F.array(
+        F.struct(F.col("total_cost").alias("_at"), F.lit(0).alias("_kind")),
+        F.struct((F.col("total_cost") - t).alias("_at"), F.lit(1).alias("_kind")),
+        F.struct((F.col("total_cost") + t).alias("_at"), F.lit(2).alias("_kind")),
+    )).alias("_e")).select(
+        "problem_id", "_e._at", "_e._kind", "_of", F.when(F.col("_e._kind") == 0, F.col("_top")).alias("_value")
+    )
+    answered = running_max(asked, ["problem_id"], ["_at", "_kind", "_of"], "_value", "_best")
+    reach = answered.filter("_kind > 0").groupBy("problem_id", F.col("_of").alias("total_cost")).agg(
+        F.max(F.when(F.col("_kind") == 1, F.col("_best"))).alias("_cheaper"),
+        F.max(F.when(F.col("_kind") == 2, F.col("_best"))).alias("_at_cost"),
     )
     objective = F.col("objective_value")
     beaten = (F.col("_at_cost") > objective + t) | F.coalesce(
         F.col("_cheaper") >= objective - t, F.lit(False)
     )
-    return feasible.join(reach, ["problem_id", "total_cost"]).filter(~beaten).drop("_at_cost", "_cheaper")
+    frontier = feasible.join(reach, ["problem_id", "total_cost"]).filter(~beaten).drop("_at_cost", "_cheaper")
+    if retained is not None:
+        leading = retain_plans(feasible, retained).select("problem_id", "plan_id")
+        frontier = frontier.join(leading, ["problem_id", "plan_id"], "left_semi")
+    return frontier.drop("plan_index", "feasible")
 
 
 def violation_counts(plans: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans import causal, draws, facility, portfolio
+from tessera.queries.tables_sql import levels
 from tessera.session import durable, table
 
 # --- causal: users as units, 5-day periods, odd users as the treated group -----------------------
@@ -354,7 +355,7 @@ def q_retained(spark, sf):
 
 def q_pareto(spark, sf):
     _, plans = _portfolio(spark, sf)
-    return portfolio.pareto(plans, PORTFOLIO).select(
+    return portfolio.pareto(plans, PORTFOLIO, retained=10).select(
         "problem_id", "plan_id", "total_cost", "objective_value"
     )
 
@@ -580,6 +581,13 @@ ORACLES = {
         round(stddev_samp(outcome), 6) AS standard_deviation, round(min(outcome), 6) AS minimum,
         round(max(outcome), 6) AS maximum,
         round(avg(CASE WHEN outcome >= 50 THEN 1.0 ELSE 0 END), 6) AS threshold_probability FROM outcomes GROUP BY 1""",
+    "draw_stream_hash": f"""WITH {DRAWS}, r AS (
+          SELECT run_id, draw, '=outcome' AS key, outcome AS v FROM outcomes UNION ALL SELECT run_id, draw, 'quantity', quantity FROM draws
+          UNION ALL SELECT run_id, draw, 'discount', discount FROM draws UNION ALL SELECT run_id, draw, 'tax', tax FROM draws),
+        leaves AS (SELECT run_id AS g, draw >> 6 AS slot, count(*) AS n,
+            sha256(string_agg(sha256(draw || '/' || key || '/' || printf('%.11e', v + 0.0)), ',' ORDER BY draw, key)) AS hash FROM r GROUP BY 1, 2),
+        {levels("", 6)[2:]}
+        SELECT g AS run_id, 'sha256:' || hash AS draw_stream_hash FROM root""",
     "draw_quantiles": f"""WITH {DRAWS} SELECT run_id, probability, round(CASE probability
           WHEN 0.05 THEN quantile_cont(outcome, 0.05) WHEN 0.5 THEN quantile_cont(outcome, 0.5)
           ELSE quantile_cont(outcome, 0.95) END, 6) AS quantile
@@ -628,9 +636,9 @@ ORACLES = {
           max(plan_id) FILTER (feasible AND plan_rank = 1) AS selected_plan_id,
           round(max(objective_value) FILTER (feasible), 4) AS change_from_baseline FROM ranked GROUP BY 1""",
     "retained_plans": f"WITH {PLANS} SELECT problem_id, plan_id, plan_rank, feasible FROM ranked WHERE plan_rank <= 10",
-    "pareto_frontier": f"""WITH {PLANS}, ok AS (SELECT problem_id, plan_id, total_cost AS c, objective_value AS o FROM ranked WHERE feasible)
+    "pareto_frontier": f"""WITH {PLANS}, ok AS (SELECT problem_id, plan_id, plan_rank, total_cost AS c, objective_value AS o FROM ranked WHERE feasible)
         SELECT problem_id, plan_id, c AS total_cost, o AS objective_value FROM ok a
-        WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.problem_id = a.problem_id AND b.o >= a.o - 1e-9 AND b.c <= a.c + 1e-9
+        WHERE plan_rank <= 10 AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.problem_id = a.problem_id AND b.o >= a.o - 1e-9 AND b.c <= a.c + 1e-9
           AND (b.o > a.o + 1e-9 OR b.c < a.c - 1e-9))""",
     "violation_counts": f"""WITH {PLANS} SELECT problem_id, constraint_id, count(*) AS violating_plans FROM (
         SELECT problem_id, unnest(violated) AS constraint_id FROM ranked) GROUP BY 1, 2""",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.queries import analysis, decisions, forecast, landed, requests, tables, tables_sql
+from tessera.queries import analysis, decisions, forecast, landed, requests, streams, tables, tables_sql
 
-QUERY_MODULES = (requests, forecast, analysis, tables, landed, decisions)
-SQL_MODULES = (requests, forecast, analysis, tables_sql, landed, decisions)
+QUERY_MODULES = (requests, forecast, analysis, tables, landed, decisions, streams)
+SQL_MODULES = (requests, forecast, analysis, tables_sql, landed, decisions, streams)
 
 
 def all_queries() -> dict:

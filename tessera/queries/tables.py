@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing, scalar
+from tessera.functions import hashing, merkle, scalar
 from tessera.operators import catalog, graph, joins, select, summaries
 from tessera.operators import text_audit as ta
 from tessera.session import table
@@ -548,6 +548,25 @@ def q_artifact_set_hash(spark, sf):
     return hashing.artifact_set_hash(rows, ["source"], "doc_id", "h")
 
 
+def q_fingerprint(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    return hashing.fingerprint({
+        "nations": n.select("n_nationkey", "n_name", "n_regionkey"), "regions": r.select("r_regionkey", "r_name"),
+        "orders": table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "none": r.select("r_name").limit(0),
+    })
+
+
+def q_differing_ranges(spark, sf):
+    """Slots of order keys at which two versions of the orders differ."""
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus")
+    key = F.col("o_orderkey")
+    later = orders.filter(key % 1999 != 7).withColumn(
+        "o_orderstatus", F.when(key % 997 == 5, F.lit("X")).otherwise(F.col("o_orderstatus")))
+    line = F.concat_ws("=", "o_orderkey", "o_orderstatus")
+    a, b = (merkle.ordered_leaves(v, ["o_orderpriority"], key, ["o_orderkey"], line, 64) for v in (orders, later))
+    return merkle.differing_slots(a, b, ["o_orderpriority"], merkle.ORDERED_LEVELS)
+
+
 def q_scalars(spark, sf):
     c = table(spark, sf, "customer")
     box = scalar.bbox(F.col("c_acctbal") / 120, F.col("c_acctbal") / 50, 0.5)
@@ -595,5 +614,6 @@ QUERIES = {
     "forbidden_literals": q_scan_forbidden, "required_phrases": q_scan_required, "claim_values": q_claims,
     "claim_renderings": q_renderings, "audit_summary": q_audit_summary,
     "content_hash": q_content_hash, "artifact_set_hash": q_artifact_set_hash, "scalar_rules": q_scalars,
+    "catalog_fingerprint": q_fingerprint, "differing_ranges": q_differing_ranges,
     "local_time": q_local_time,
 }

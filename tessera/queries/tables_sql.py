@@ -41,6 +41,24 @@ ALL_PAIRS = CLASSES.replace(" AND a.size >= b.size * 0.899 AND b.size >= a.size
 NORM = "trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
+def levels(leaves: str, count: int = 4) -> str:
+    """Levels of the hash trees of groups g above a table ``leaves`` of (g, slot, hash, n); the last is ``root``."""
+    out, below = leaves, "leaves"
+    for level in [*(f"up{k}" for k in range(1, count)), "top"]:
+        out += f""", {level} AS (SELECT g, slot >> 6 AS slot, sha256(string_agg(slot || ':' || hash, ',' ORDER BY slot)) AS hash,
+          CAST(sum(n) AS BIGINT) AS n FROM {below} GROUP BY 1, 2)"""
+        below = level
+    return out + ", root AS (SELECT g, hash, n AS artifacts FROM top)"
+
+
+def set_tree(lines: str) -> str:
+    """Hash trees of the multisets of lines of a query of (g, line)."""
+    return levels(f"""leaves AS (
+          SELECT g, CAST('0x' || substr(sha256(line), 1, 6) AS BIGINT) AS slot, sum(n) AS n,
+            sha256(string_agg(line || ' x' || n, chr(10) ORDER BY line || ' x' || n)) AS hash
+          FROM (SELECT g, line, count(*) AS n FROM ({lines}) GROUP BY 1, 2) GROUP BY 1, 2)""")
+
+
 def page(source: str, columns: str, order: str, limit: int, offset: int = 0, following: bool = True) -> str:
     """Rows of one page with position, total and next offset."""
     extra = f", CASE WHEN total > {offset + limit} THEN CAST({offset + limit} AS BIGINT) END AS next_offset" if following else ""
@@ -227,12 +245,18 @@ ORACLES = {
         t AS (SELECT count(*) AS n FROM (SELECT 1 FROM designs GROUP BY lower(title) HAVING count(*) > 1))
         SELECT CAST(4 AS BIGINT) AS failed_checks, false AS audit_passed,
           'duplicate-title=' || t.n || ';incomplete-rules=1;signature-collisions=' || c.n AS failures FROM c, t""",
-    "artifact_set_hash": """WITH m AS (SELECT source, sha256(doc_id || '=' || md5(text)) AS m FROM documents),
-        f AS (SELECT source, substr(m, 1, 2) AS b, count(*) AS n, sum(CAST('0x' || substr(m, 1, 12) AS HUGEINT)) AS w0,
-          sum(CAST('0x' || substr(m, 13, 12) AS HUGEINT)) AS w1, sum(CAST('0x' || substr(m, 25, 12) AS HUGEINT)) AS w2,
-          sum(CAST('0x' || substr(m, 37, 12) AS HUGEINT)) AS w3 FROM m GROUP BY 1, 2)
-        SELECT source, CAST(sum(n) AS BIGINT) AS artifacts,
-          'sha256:' || sha256(string_agg(b || ':' || n || ':' || w0 || ':' || w1 || ':' || w2 || ':' || w3, ',' ORDER BY b)) AS set_hash FROM f GROUP BY 1""",
+    "artifact_set_hash": f"""WITH {set_tree("SELECT source AS g, doc_id || '=' || md5(text) AS line FROM documents")}
+        SELECT g AS source, artifacts, 'sha256:' || hash AS set_hash FROM root""",
+    "catalog_fingerprint": f"""WITH {set_tree("""
+          SELECT 'nations' AS g, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS line FROM nation
+          UNION ALL SELECT 'regions', '{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}' FROM region
+          UNION ALL SELECT 'orders', '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' FROM orders""")},
+        parts AS (SELECT g, hash, artifacts FROM root UNION ALL SELECT 'none', '', 0)
+        SELECT count(*) AS inputs, CAST(sum(artifacts) AS BIGINT) AS rows,
+          'sha256:' || sha256(string_agg(g || '=' || hash, ',' ORDER BY g)) AS fingerprint FROM parts""",
+    "differing_ranges": """WITH o AS (SELECT o_orderpriority, o_orderkey >> 6 AS slot, o_orderkey % 1999 = 7 AS gone, o_orderkey % 997 = 5 AND o_orderstatus <> 'X' AS changed FROM orders)
+        SELECT o_orderpriority, slot, count(*) AS left_rows, count(*) FILTER (NOT gone) AS right_rows
+        FROM o GROUP BY 1, 2 HAVING bool_or(gone OR changed)""",
     "forbidden_literals": """WITH r(rule_id, literal) AS (VALUES ('html-tag', '<'), ('license', 'Licensed under'), ('guarantee', 'guaranteed impact'), ('the-word', ' the '))
         SELECT rule_id, count(doc_id) AS documents, min(doc_id) AS first_document, count(doc_id) = 0 AS passed
         FROM r LEFT JOIN documents ON contains(text, literal) GROUP BY 1""",

@@ -18,15 +18,26 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder comes from ``spark.checkpoint.dir``; only where the session names none (a local
-    test) is a temporary one set.
+    Where none is set a temporary one is, for local masters alone: elsewhere executors would write to their own disks.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = context.getCheckpointDir()
+    if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        if folder is None:
+            master = context.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,6 +1,9 @@
 import itertools
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import portfolio as p
 
@@ -105,6 +108,31 @@ def test_frontier_matches_brute_force(spark):
     assert {r.plan_id for r in p.pareto(plans).collect()} == expected
 
 
+def test_frontier_of_a_large_problem_with_tolerance(spark):
+    rng = np.random.default_rng(3)
+    n, t = 200_000, 1e-3
+    cost, value = np.round(rng.random(n) * 100, 3), np.round(rng.random(n) * 50 + np.sqrt(rng.random(n)), 3)
+    cost[:50], value[:50] = 7.0, 12.0
+    frame = spark.createDataFrame(pd.DataFrame({"total_cost": cost, "objective_value": value, "plan_index": np.arange(n)}))
+    plans = frame.select(
+        F.lit("p").alias("problem_id"), F.concat(F.lit("plan-"), "plan_index").alias("plan_id"), "total_cost", "objective_value",
+        F.array("plan_index").alias("quantities"), F.lit(1).alias("selected_action_count"), "plan_index", F.lit(True).alias("feasible"),
+    )
+    order = np.lexsort((-value, cost))
+    best = np.maximum.accumulate(value[order])
+    sorted_cost = cost[order]
+    at = best[np.searchsorted(sorted_cost, cost + t, side="right") - 1]
+    before = np.searchsorted(sorted_cost, cost - t, side="right")
+    cheaper = np.where(before > 0, best[np.maximum(before - 1, 0)], -np.inf)
+    keep = ~((at > value + t) | (cheaper >= value - t))
+    config = p.PortfolioConfig(tolerance=t)
+    got = {r.plan_id for r in p.pareto(plans, config).select("plan_id").collect()}
+    assert got == {f"plan-{i}" for i in np.flatnonzero(keep)} and len(got) > 5
+    leading = np.lexsort((np.arange(n), cost, -value))[:40]
+    few = {r.plan_id for r in p.pareto(plans, config, retained=40).select("plan_id").collect()}
+    assert few == got & {f"plan-{i}" for i in leading} and few
+
+
 def test_conservative_alternative(spark):
     _, plans, runs = run(spark)
     row = p.conservative_plan(plans, runs).collect()[0].conservative

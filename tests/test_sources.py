@@ -176,6 +176,35 @@ def test_streaming_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted(x.name for x in spark.read.parquet(out).collect()) == ["a.json", "c.json"]
 
 
+def test_a_killed_batch_is_neither_lost_nor_repeated(spark, tmp_path):
+    land, out, chk = (str(tmp_path / n) for n in ("land", "out", "chk"))
+    hexed = lambda s: "sha256:" + hashlib.sha256(s.encode()).hexdigest()
+    rows = [(f"d{k}", f"text {k}") for k in range(40)] + [("bad", "forged"), ("none", None), ("d1", "text 1")]
+    manifests = spark.createDataFrame([(n, n, hexed(t or "")) for n, t in rows[:-1] if n != "bad"] + [("bad", "bad", hexed("true"))],
+                                      "artifact_id string, artifact_path string, content_hash string")
+    schema = "name string, content string"
+    spark.createDataFrame(rows[:20], schema).write.mode("append").parquet(land)
+    done = []
+
+    def run(written):
+        ingest.ingest_stream(ingest.landed_records(spark, land), manifests, out, chk, written).awaitTermination(120)
+
+    def killed(number):
+        raise RuntimeError("lost after the write, before the commit")
+
+    with pytest.raises(Exception, match="lost after the write"):
+        run(killed)
+    assert spark.read.parquet(out).count() == 20  # written, not committed
+    run(done.append)
+    spark.createDataFrame(rows[20:], schema).write.mode("append").parquet(land)
+    with pytest.raises(Exception, match="lost after the write"):
+        run(killed)
+    run(done.append)
+    run(done.append)
+    names = sorted(x.name for x in spark.read.parquet(out).collect())
+    assert names == sorted([f"d{k}" for k in range(40)] + ["d1"]) and done == [0, 1]
+
+
 def test_streamed_days_equal_batch(spark, tmp_path):
     src = str(tmp_path / "req")
     rows = [("x", datetime(2024, 1, d, h), " Pothole " if h % 2 else "") for d in range(1, 8) for h in range(24)]

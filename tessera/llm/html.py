@@ -13,9 +13,10 @@ import html as entities
 import math
 import pickle
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +28,13 @@ MIXED, CONTENT, BOILERPLATE = range(3)
 
 # Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math xmp noembed noframes title".split())
+#: Not shown as text up to their end tag; where there is none, scripts and styles reach to the page's end and the others
+#: are no more than a tag.
+RAW = frozenset("script style noscript template iframe svg noembed noframes title".split())
+RAW_TO_END = frozenset("script style".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math object q rp rt ruby s samp small span "
+    "strike strong sub sup time tt u var mi mn mo ms mtext mrow msup msub mfrac msqrt semantics".split()
 )
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -40,8 +44,6 @@ SIBLINGS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "thead"), "tbody": ("tbody", "thead"),
 }
-#: An inline end tag looks for its start tag among so many open elements.
-NEAR = 256
 SCOPES = frozenset("ul ol dl table select body article section div".split())
 
 TOKEN = re.compile(
@@ -80,7 +82,9 @@ def parse(page: str) -> list[Node]:
     """
     nodes = [Node(-1, "root")]
     stack: list[tuple[str, int]] = [("root", 0)]  # open elements, and the node text in them belongs to
-    opened: Counter[str] = Counter()  # how many elements of each name are open
+    opened: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of each name are
+    blocks, scopes = [0], [0]  # where block elements and scopes are
+    endless: set[str] = set()  # raw elements without an end tag in what is left
     links = block = position = 0
     run = -1
 
@@ -102,14 +106,25 @@ def parse(page: str) -> list[Node]:
 
     def close(depth: int) -> None:
         nonlocal links, block, run
-        for tag, _ in stack[depth:]:
-            opened[tag] -= 1
+        for tag, _ in reversed(stack[depth:]):
+            opened[tag].pop()
             links -= tag == "a"
             if tag not in INLINE:
                 block += 1
                 run = -1
+                blocks.pop()
+                if tag in SCOPES:
+                    scopes.pop()
         del stack[depth:]
 
+    def push(tag: str, node: int) -> None:
+        opened[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+        stack.append((tag, node))
+
     while match := TOKEN.search(page, position):
         text(page[position:match.start()])
         position = match.end()
@@ -120,22 +135,22 @@ def parse(page: str) -> list[Node]:
                     block += 1
                     run = -1
                 continue
-            low = max(0, len(stack) - 1 - NEAR) if tag in INLINE else 0
-            for depth in range(len(stack) - 1, low, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
+            if tag not in INLINE or opened[tag][-1] > blocks[-1]:
+                close(opened[tag][-1])
             continue
         tag = (match[2] or match[4] or "").lower()
         if not tag:
             continue
         raw = match[3] if match[2] else match[5]
         if tag in RAW:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, position)
-            if not raw.endswith("/"):
-                position = end.end() if end else (position if tag == "svg" else len(page))
+            if not raw.endswith("/") and tag not in endless:
+                end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, position)
+                if end:
+                    position = end.end()
+                elif tag in RAW_TO_END:
+                    position = len(page)
+                else:
+                    endless.add(tag)
             continue
         if tag == "br":
             text(" ")
@@ -146,19 +161,12 @@ def parse(page: str) -> list[Node]:
                 run = -1
             continue
         if tag in CLOSES_PARAGRAPH and opened["p"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
-        elif tag in SIBLINGS and any(opened[other] for other in SIBLINGS[tag]):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in SIBLINGS[tag]:
-                    close(depth)
-                    break
-                if stack[depth][0] in SCOPES:
-                    break
+            if opened["p"][-1] == blocks[-1]:
+                close(blocks[-1])
+        elif tag in SIBLINGS:
+            depth = max((opened[other][-1] for other in SIBLINGS[tag] if opened[other]), default=0)
+            if depth > scopes[-1]:
+                close(depth)
         found = _attributes(raw)
         names = tuple(dict.fromkeys(
             part.lower() for key in ("class", "id") for part in NAME_PART.findall(found.get(key, ""))
@@ -167,16 +175,15 @@ def parse(page: str) -> list[Node]:
         if not inline:
             block += 1
             run = -1
-        opened[tag] += 1
         if inline and not names and "role" not in found and "data-label" not in found:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         style = found.get("style", "").replace(" ", "").lower()
         hidden = "hidden" in found or "display:none" in style or found.get("aria-hidden") == "true"
         nodes.append(Node(stack[-1][1], tag, names, found.get("role", "").lower(), hidden, found.get("data-label", "")))
         links += tag == "a"
-        stack.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     text(page[position:])
     for index in range(len(nodes) - 1, 0, -1):
         nodes[nodes[index].parent].chars += nodes[index].chars
@@ -194,10 +201,10 @@ def features(node: Node, nodes: list[Node]) -> list[str]:
     above = nodes[node.parent]
     if node.leaf:
         shown = "".join(p for _, p in node.pieces).strip()
-        ends = len(SENTENCE_END.findall(shown[-400:] if len(shown) > 400 else shown))
+        ends = sum(1 for _ in islice(SENTENCE_END.finditer(shown), 3))
         return [
-            f"in {above.tag}", f"length {_bucket(node.chars)}", f"links {density}", f"ends {min(3, ends)}",
-            f"stop {shown[-1:] in '.!?…”'}", *(["copyright"] if "©" in shown[:300] else []),
+            f"in {above.tag}", f"length {_bucket(node.chars)}", f"links {density}", f"ends {ends}",
+            f"stop {shown[-1:] in '.!?…”'}", *(["copyright"] if "©" in shown else []),
         ]
     out = [f"tag {node.tag}", f"tags {above.tag} {node.tag}", f"links {density}", f"length {_bucket(node.chars)}"]
     out += [f"name {n}" for n in node.names]

@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ranking import global_rank
+from tessera.llm.graph import spread_join
 from tessera.llm.tables import free_names, quoted, small
 from tessera.session import durable
 
@@ -145,21 +146,19 @@ def _settled(groups: DataFrame, config: MixConfig) -> DataFrame:
     return out.select("source", "weight", "units", "base", "extra")
 
 
-def mix(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """(row_key, doc_id, size, source, source_size, target, copies) of every document row.
+#: Copies of one row that are listed at once.
+COPY_BLOCK = 4096
 
-    ``copies`` is a whole number from 0 to ``cap``; words taken are ``copies * size``. Documents of equal size
-    are taken in the order of a hash, so reruns agree. A null text has no words; a document without words is
-    taken as often as its source's rate rounds down to. A null source is a source, the last. Repeated rows are taken
-    together. Other columns are ignored. An empty table gives an empty result.
+
+def _plan(light: DataFrame, config: MixConfig) -> tuple[DataFrame, DataFrame]:
+    """(aims, copies by key) of durable rows (row_key, source, size).
+
+    Rows of an equal key are ``rows`` units of their own: ``base`` copies go to each of them, one more to ``extra`` of
+    them. Keys of a group of equal size take what the group is due in the order of their hash, so at most one key
+    of a group is taken in part.
     """
-    light = durable(documents.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row_key")
-    ))
-    units = light.groupBy("row_key", "source", "size").agg(F.count("*").alias("rows")).withColumn(
-        "weight", F.col("size") * F.col("rows")
-    )
-    groups = durable(units.groupBy("source", "weight").agg(F.count("*").alias("units")))
+    units = durable(light.groupBy("row_key", "source", F.col("size").alias("weight")).agg(F.count("*").alias("rows")))
+    groups = durable(units.groupBy("source", "weight").agg(F.sum("rows").alias("units")))
     words = F.sum(F.col("weight") * F.col("units")).alias("source_size")
     aims = durable(targets(groups.groupBy("source").agg(words), config))
     tilts = multipliers(groups, aims, config)
@@ -172,32 +171,75 @@ def mix(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     plan = _settled(_attach(groups, rates), config)
     plan = plan.withColumn("parts", F.ceil(F.col("units") / config.group_rows).cast("long")).drop("units")
     dealt = _attach(units, plan, ("source", "weight")).select(
-        "row_key", "source", "weight", "base", "extra", F.pmod(F.xxhash64("row_key"), F.col("parts")).alias("part")
+        "row_key", "source", "weight", "rows", "base", "extra",
+        F.pmod(F.xxhash64("row_key"), F.col("parts")).alias("part"),
     )
     keys = ["source", "weight", "part"]
-    counted = dealt.groupBy(*keys, "extra").agg(F.count("*").alias("n"))
+    counted = dealt.groupBy(*keys, "extra").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy("source", "weight").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     quota = counted.select(
         *keys, F.greatest(F.lit(0), F.col("extra") - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("quota")
     )
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("row_key")))
-    copies = _attach(ranked, quota, tuple(keys)).select(
-        "row_key", (F.col("base") + (F.col("rank") <= F.col("quota")).cast("long")).alias("copies")
+    ahead = Window.partitionBy(*keys).orderBy("row_key").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.drop("extra").withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
+    taken = F.least(F.col("rows"), F.greatest(F.lit(0), F.col("quota") - F.col("ahead")))
+    by_key = _attach(ranked, quota, tuple(keys)).groupBy("row_key").agg(
+        F.sum("rows").alias("rows"), F.max("base").cast("long").alias("base"), F.sum(taken).cast("long").alias("extra")
     )
-    return _attach(light.join(copies, "row_key"), small(aims, 10_000)).select(
+    return aims, durable(by_key)
+
+
+def mix(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """(row_key, doc_id, size, source, source_size, target, copies) of every document row.
+
+    ``copies`` is a whole number from 0 to ``cap``; words taken are ``copies * size``. Documents of equal size
+    are taken in the order of a hash, so reruns agree. A null text has no words; a document without words is
+    taken as often as its source's rate rounds down to. A null source is a source, the last. Repeated rows count each:
+    as many of them get one copy more as their size is due, whichever they are. Other columns are ignored. An empty
+    table gives an empty result.
+    """
+    light = durable(documents.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row_key"),
+        F.monotonically_increasing_id().alias("row"),
+    ))
+    aims, by_key = _plan(light, config)
+    joined = spread_join(light, by_key, "row_key")
+    part = (F.col("extra") > 0) & (F.col("extra") < F.col("rows"))
+    whole = joined.where(~part).withColumn("copies", F.col("base") + (F.col("extra") > 0).cast("long"))
+    split = joined.where(part)
+    if not split.isEmpty():
+        split = global_rank(split, ["row_key"], [F.col("row")], "place")
+        split = split.withColumn("copies", F.col("base") + (F.col("place") <= F.col("extra")).cast("long"))
+        whole = whole.unionByName(split.drop("place"))
+    return _attach(whole, small(aims, 10_000)).select(
         "row_key", "doc_id", "size", "source", "source_size", "target", "copies"
     )
 
 
 def mixed_documents(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The rows of ``documents``, all columns, each as often as the mix takes it."""
-    key, row, copies, copy = free_names(documents.columns, "_key", "_row", "_copies", "_copy")
-    taken = mix(documents, config).groupBy(F.col("row_key").alias(row)).agg(F.max("copies").alias(copies)).where(
-        F.col(copies) > 0
-    )
-    return (
-        documents.withColumn(key, F.xxhash64("doc_id", "text", "source"))
-        .join(taken.hint("shuffle_hash"), F.col(key) == F.col(row))
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-        .select(*quoted(documents.columns))
-    )
+    """The rows of ``documents``, all columns, each as often as the mix takes it.
+
+    Rows are told apart by all columns but maps. Rows equal in these are one row with the copies of all of them.
+    """
+    comparable = [c for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind]
+    identity = F.xxhash64(*quoted(comparable))
+    light = durable(documents.select("source", word_count(F.col("text")).alias("size"), identity.alias("row_key")))
+    by_key = _plan(light, config)[1].select(
+        "row_key", (F.col("rows") > 1).alias("again"), (F.col("rows") * F.col("base") + F.col("extra")).alias("copies")
+    ).where("copies > 0")
+    key, own, again, copies, copy = free_names(documents.columns, "_key", "_own", "_again", "_copies", "_copy")
+    by_key = by_key.select(F.col("row_key").alias(own), F.col("again").alias(again), F.col("copies").alias(copies))
+    keyed = documents.withColumn(key, identity)
+    once = keyed.join(by_key.where(~F.col(again)).hint("shuffle_hash"), F.col(key) == F.col(own))
+    once = once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*quoted(documents.columns))
+    repeated = by_key.where(F.col(again))
+    if repeated.isEmpty():
+        return once
+    # equal rows fold before they travel, and many copies of one are listed in blocks over all tasks
+    some = keyed.join(small(repeated), F.col(key) == F.col(own), "left_semi").dropDuplicates([key])
+    some = some.join(repeated, F.col(key) == F.col(own))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / COPY_BLOCK))
+    in_block = F.least(F.lit(COPY_BLOCK), F.col(copies) - F.col(copy) * COPY_BLOCK).cast("int")
+    listed = some.withColumn(copy, F.explode(blocks)).repartition(F.col(key), F.col(copy))
+    listed = listed.withColumn(copy, F.explode(F.sequence(F.lit(1), in_block)))
+    return once.unionByName(listed.select(*quoted(documents.columns)))

@@ -87,3 +87,30 @@ def test_all_names_of_an_attribute_are_features():
     nodes = parse('<div class="col-xs-12 col-sm-4 col-md-3 hidden-print clearfix sidebar" id="aa-bb-cc-dd-ee-ff-gg-hh-comments">x</div>')
     assert {"name sidebar", "name clearfix", "name comments"} <= set(features(nodes[1], nodes))
     assert len(nodes[1].names) == len(set(nodes[1].names))
+
+
+ARTICLE = ["One is a paragraph of some words. It has two sentences.", "Two is another of them. It ends here.", "Three follows with more text. And so on.", "Four is the last one. It closes the page."]
+
+
+@pytest.mark.parametrize("tag", ["object", "noscript", "iframe", "template", "math", "svg", "title", "embed", "noframes"])
+def test_an_element_without_an_end_tag_swallows_nothing(model, tag):
+    body = "<article><h1>Head of it</h1>" + f"<{tag}>".join(f"<p>{t}</p>" for t in ARTICLE[:2]) + "".join(f"<p>{t}</p>" for t in ARTICLE[2:]) + "</article>"
+    assert model.main_text(page(body), H.HtmlConfig()) == " ".join(["Head of it", *ARTICLE])
+
+
+def test_formulas_and_objects_of_an_article_stay(model):
+    body = "<article><h1>Head of it</h1><p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here, as we know. It is so.</p><p>And <object data=x>a picture</object> of it. That was all.</p></article>"
+    assert model.main_text(page(body), H.HtmlConfig()) == "Head of it The energy is E=m here, as we know. It is so. And a picture of it. That was all."
+
+
+def test_features_read_whole_runs():
+    late = H.parse("<p>" + "word " * 200 + "© 2020 somebody</p>")
+    assert "copyright" in H.features(late[-1], late)
+    first = H.parse("<p>One. Two. Three. " + "word " * 300 + "</p>")
+    assert "ends 3" in H.features(first[-1], first)
+
+
+def test_deep_inline_elements_close():
+    nodes = H.parse("<p><a href=x>" + "<b>" * 300 + "link" + "</b>" * 300 + "</a>plain <i>text</i></p><p><a>" + "<i>" * 400 + "x</a>after</p>")
+    assert sum(n.linked for n in nodes if n.leaf) == len("link") + len("x")
+    assert sum(n.chars for n in nodes if n.leaf) == len("linkplaintextxafter")

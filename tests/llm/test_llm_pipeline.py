@@ -74,5 +74,5 @@ def test_stages_pass_empty_tables_and_extra_columns(spark, folder):
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in names and set(queries.ORACLES) <= set(names)

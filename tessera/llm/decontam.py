@@ -20,6 +20,8 @@ from tessera.session import durable
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same in a text as it is.
 BREAK_AS_IS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Words of a document in one row while its windows are compared.
+BLOCK = 1 << 15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,8 +59,11 @@ def windows(benchmark: DataFrame, config: DecontamConfig) -> DataFrame:
     return (
         benchmark.select("item_id", exact_words(F.col("text")).alias("words"))
         .where(n > 0)
-        .select("item_id", size.alias("size"), "words", F.explode(F.sequence(F.lit(1), n - size + 1)).alias("at"))
-        .select("item_id", "size", F.slice("words", F.col("at"), F.col("size")).alias("words"))
+        .select("item_id", size.alias("size"), "words", n.alias("n"))
+        # windows are cut before rows are made of them, so no row carries the whole item
+        .select("item_id", "size", F.explode(F.transform(
+            F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), lambda at: F.slice("words", at, F.col("size"))
+        )).alias("words"))
     )
 
 
@@ -112,24 +117,43 @@ def find_windows(
     )
 
     texts = keyed.join(small(places, config.broadcast_rows // 5), "row_key").dropDuplicates(["row_key"])
-    candidates = (
-        texts.select("row_key", exact_words(F.col("text")).alias("words"), F.explode("places").alias("p"))
-        .select(
-            "row_key", "words", F.col("p.size").alias("size"),
-            F.explode(F.sequence(
-                F.greatest(F.lit(1), F.col("p.place") - F.floor((F.col("p.size") + 1) / 2).cast("int") + 1),
-                F.col("p.place"),
-            )).alias("begin"),
-        )
-        .where(F.col("begin") + F.col("size") - 1 <= F.size("words"))
-        .select("row_key", "size", F.col("begin"), F.slice("words", F.col("begin"), F.col("size")).alias("words"))
-    )
+    candidates = _candidates(texts.select("row_key", exact_words(F.col("text")).alias("words"), "places"), config.window)
     found = candidates.join(small(items, config.broadcast_rows // 5), ["size", "words"]).select(
         "row_key", (F.col("begin") - 1).alias("start"), "size", "item_id"
     )
     return durable(found.distinct()), keyed
 
 
+def _candidates(texts: DataFrame, window: int) -> DataFrame:
+    """(row_key, size, begin, words): the windows around the grams found at ``places``.
+
+    A text is first cut into blocks of words that overlap by what a window needs, and a row holds a block, so the work is
+    linear in a text and memory does not grow with it.
+    """
+    n = F.size("words")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.struct(
+        (k * BLOCK).alias("after"), F.greatest(F.lit(0), k * BLOCK - window).alias("skipped"),
+    ))
+    blocks = F.transform(blocks, lambda b: F.struct(
+        b["skipped"].alias("skipped"),
+        F.slice("words", b["skipped"] + 1, F.lit(BLOCK + 3 * window)).alias("words"),
+        F.filter("places", lambda p: (p["place"] > b["after"]) & (p["place"] <= b["after"] + BLOCK)).alias("places"),
+    ))
+    block = texts.select("row_key", F.explode(blocks).alias("b")).select("row_key", "b.skipped", "b.words", "b.places")
+
+    def around(p: Column) -> Column:
+        size, place = p["size"], p["place"] - F.col("skipped")
+        first = F.greatest(F.lit(1), place - F.floor((size + 1) / 2).cast("int") + 1)
+        fitting = F.filter(F.sequence(first, place), lambda b: b + size - 1 <= F.size("words"))
+        return F.transform(fitting, lambda b: F.struct(
+            size.alias("size"), (b + F.col("skipped")).alias("begin"), F.slice("words", b, size).alias("words")
+        ))
+
+    return block.select("row_key", F.explode(F.flatten(F.transform("places", around))).alias("c")).select(
+        "row_key", "c.size", "c.begin", "c.words"
+    )
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, config: DecontamConfig = DecontamConfig()
 ) -> DataFrame:
@@ -176,20 +200,26 @@ def clean_documents(
 def without_spans(
     documents: DataFrame, benchmark: DataFrame, config: DecontamConfig = DecontamConfig()
 ) -> DataFrame:
-    """The rows of ``documents`` with every hit word cut out of ``text``, with the separators before it."""
+    """The rows of ``documents`` with every hit word cut out of ``text``, with the separators before it.
+
+    Null and empty texts, and texts without a hit, stay as they are; repeated rows are cut alike. Other columns are
+    kept. Either table may be empty.
+    """
     key, hit, places = free_names(documents.columns, "_key", "_hit", "_places")
     hits = contamination(documents, benchmark, config).where("contaminated").select(
         F.col("row_key").alias(hit), F.col("hits").alias(places)
     ).dropDuplicates([hit])
     pieces = F.regexp_extract_all("text", F.lit(f"{BREAK_AS_IS}*[^{BREAK_AS_IS[1:]}+"), F.lit(0))
-    kept = F.filter(
-        F.transform(pieces, lambda x, i: F.when(~F.array_contains(places, i), x)), lambda x: x.isNotNull()
-    )
+    pieces_of = free_names([*documents.columns, key, hit, places], "_pieces")[0]
+    count = F.size(pieces_of)
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(numbers, F.col(places)), lambda i: F.get(F.col(pieces_of), i))
     tail = F.regexp_extract("text", f"{BREAK_AS_IS}*$", 0)
     cut = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
     return (
         documents.withColumn(key, F.xxhash64("doc_id", "text"))
         .join(hits, F.col(key) == F.col(hit), "left")
+        .withColumn(pieces_of, F.when(F.col(places).isNotNull(), pieces))
         .withColumn("text", cut)
         .select(*quoted(documents.columns))
     )

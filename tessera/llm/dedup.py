@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.graph import components, ordered, spread_join
 from tessera.llm.tables import free_names, quoted, small
 from tessera.session import durable
 
 #: Longs of a parity sketch; its 1024 bits separate pairs at the threshold up to some thousand shingles.
 SKETCH_LONGS = 16
+#: Members of a table that one key compares with as many others.
+BLOCK_MEMBERS = 256
 
 
 @dataclass(frozen=True)
@@ -172,42 +175,24 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, config: DedupConfig) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _open_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a table's members in different components that sizes and sketches allow.
 
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over links (a, b), by alternating stars.
-
-    The large star hangs every larger neighbour under a node's smallest one, the small star every
-    smaller one; both repeat until each tree is a star, which takes a number of rounds logarithmic in the
-    longest path. Edges are kept as a table in the checkpoint folder, none reaches the driver.
+    A table's members are dealt into blocks of about ``BLOCK_MEMBERS`` and each pair of blocks is a key of its own, so a
+    table of any size is compared by many tasks.
     """
-    edges = durable(links.select(*_ordered(F.col("a"), F.col("b"))).where("a <> b").distinct())
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        sides = down.union(down.select("v", "u")) if large else down
-        low = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        moved = sides.join(low, "u")
-        if large:
-            moved = moved.where("v > u").select("m", F.col("v").alias("x"))
-        else:
-            moved = moved.select("m", F.col("v").alias("x")).union(low.select("m", F.col("u").alias("x")))
-        return moved.where("m <> x").select(*_ordered(F.col("m"), F.col("x")))
-
-    def all_stars(edges: DataFrame) -> bool:
-        """No node has two roots, or a root that hangs under another."""
-        ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("under"), F.lit(0).alias("over")).union(
-            edges.select("a", F.lit(0), F.lit(1))
-        )
-        mixed = ends.groupBy("node").agg(F.sum("under").alias("under"), F.max("over").alias("over"))
-        return mixed.where("under > 1 or (under > 0 and over > 0)").isEmpty()
-
-    while not all_stars(edges):
-        edges = durable(star(star(edges, True), False).distinct())
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
-        edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    sizes = rest.groupBy("table").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "table").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = dealt.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = dealt.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other"))))
+    match = (F.col("l.table") == F.col("r.table")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.other") == F.col("r.other"))
+    once = (F.col("l.block") != F.col("l.other")) | (F.col("l.node") < F.col("r.node"))
+    return (
+        left.alias("l").join(right.alias("r"), match)
+        .where(once & (F.col("l.node") != F.col("r.node")) & (F.col("l.root") != F.col("r.root")))
+        .where(_possible("l", "r", percent))
+        .select(*ordered(F.col("l.node"), F.col("r.node")))
+        .distinct()
     )
 
 
@@ -260,7 +245,7 @@ def near_duplicates(
     members = durable(tables.join(centres.select("table", "centre"), "table").select("table", "node", "centre"))
 
     known = classes.select("node", "n_shingles", "parity")
-    stars = members.where("node <> centre").select(*_ordered(F.col("node"), F.col("centre"))).distinct()
+    stars = members.where("node <> centre").select(*ordered(F.col("node"), F.col("centre"))).distinct()
     pairs = (
         stars.join(known.select(F.col("node").alias("a"), F.struct("n_shingles", "parity").alias("l")), "a")
         .join(known.select(F.col("node").alias("b"), F.struct("n_shingles", "parity").alias("r")), "b")
@@ -277,19 +262,13 @@ def near_duplicates(
     rest = labelled.join(open_tables, "table", "left_semi").join(known, "node").select(
         "table", "node", "root", "n_shingles", "parity"
     )
-    others = (
-        rest.alias("l").join(rest.alias("r"), F.col("l.table") == F.col("r.table"))
-        .where((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")))
-        .where(_possible("l", "r", config.percent))
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        .distinct()
-    )
+    others = _open_pairs(rest, config.percent)
     more = _confirmed(durable(others.join(pairs, ["a", "b"], "left_anti")), rows, config)
     roots = durable(components(links.union(more)))
 
     linked = classes.select("node", "doc_id").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(least, "root").select("node", "component_id")
+    named = spread_join(roots, least, "root").select("node", "component_id")
     by_class = classes.join(named.withColumn("joined", F.lit(True)), "node", "left").select(
         "set_a", "set_b", "n_shingles",
         F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),

@@ -29,7 +29,6 @@ class ToxicityConfig:
     bits: int = 18
     beginnings: tuple[int, ...] = (3, 4, 5)
     sample_per_class: int = 6000
-    terms: int = 4096
     least_z: float = 2.5
     factors: int = 4
     shards: int = 4
@@ -96,7 +95,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, config: ToxicityConfi
     """(text, toxic) of at most ``sample_per_class`` labelled documents of each class.
 
     Rows whose crc32(doc_id as text) leaves 1 by 3 are never among them. A document with several labels
-    counts as toxic if any is.
+    counts as toxic if any is. Of the rows that share an id one is taken, that of the least text hash.
     """
     known = (
         labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -107,9 +106,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, config: ToxicityConfi
         for kind in (0, 1)
     ]
     chosen = durable(parts[0].union(parts[1]).select(F.col("doc_id").alias("_id"), "toxic"))
-    return documents.select("doc_id", "text").join(
+    found = documents.select("doc_id", "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("_id")  # at most twice ``sample_per_class`` rows
     ).select(F.col("_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    return found.groupBy("_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("_id", "text", "toxic")
 
 
 def held_out(doc_id):
@@ -135,7 +135,7 @@ def _term_counts(rows: DataFrame, config: ToxicityConfig) -> DataFrame:
 
 
 def choose_terms(rows: DataFrame, config: ToxicityConfig) -> np.ndarray:
-    """The buckets whose document shares differ most surely between the classes, at most ``terms``."""
+    """The buckets whose document shares differ surely between the classes, by ``least_z``; at most ``2 ** bits``."""
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return np.zeros(0, np.int64)
@@ -147,7 +147,7 @@ def choose_terms(rows: DataFrame, config: ToxicityConfig) -> np.ndarray:
     z = F.abs(odds("toxic", sizes[1]) - odds("clean", sizes[0])) / spread
     best = _term_counts(rows, config).select("bucket", z.alias("z")).where(F.col("z") >= config.least_z)
     return np.array(
-        [r[0] for r in best.orderBy(F.desc("z"), "bucket").limit(config.terms).collect()], np.int64
+        [r[0] for r in best.orderBy(F.desc("z"), "bucket").collect()], np.int64  # bounded by the hash space
     )
 
 
@@ -255,7 +255,7 @@ def slotted(chunk: W.Chunk, slots: np.ndarray, config: ToxicityConfig) -> tuple[
 def score(documents: DataFrame, machine: Machine, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``documents``, from its whole text alone.
 
-    One pass without a shuffle; the model is at most ``terms`` slots and ``2 ** bits`` small integers. A null text is scored
+    One pass without a shuffle; the model has at most ``2 ** bits`` slots. A null text is scored
     as an empty one. Repeated rows have equal results; other columns are ignored; held_out of a null
     doc_id is false. An empty table gives an empty result.
     """

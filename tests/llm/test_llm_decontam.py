@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 
@@ -36,6 +37,28 @@ def test_hits_agree_with_brute_force(spark):
         assert 10 < sum(r["contaminated"] for r in got) < len(docs)
 
 
+def test_windows_across_blocks_of_a_text(spark, monkeypatch):
+    docs, items = tables()
+    found = brute.windows(items)
+    for block in (1, 7, 16):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        got = decontam.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+        assert all((r["n_words"], r["n_hit"], r["n_items"]) == brute.contamination(dict(docs)[r["doc_id"]], found)[:3] for r in got)
+
+
+def test_a_long_contaminated_text(spark):
+    rnd = random.Random(8)
+    text = " ".join("".join(rnd.choices("abcdefg", k=5)) for _ in range(60_000))
+    frame = spark.createDataFrame([(1, text + " and more of it"), (2, "clean")], DOCS)
+    items = spark.createDataFrame([(7, text)], ITEMS)
+    begun = time.time()
+    (row,) = decontam.contamination(frame, items).where("contaminated").collect()
+    assert (row["n_words"], row["n_hit"], row["n_items"]) == (60_004, 60_000, 1)
+    cut = {r["doc_id"]: r["text"] for r in decontam.without_spans(frame, items).collect()}
+    assert cut == {1: " and more of it", 2: "clean"}
+    assert time.time() - begun < 90
+
+
 def test_clean_documents_and_spans(spark):
     passage = "One of the Benchmark's items, told in more than ten words here."
     docs = [(1, f"Before. {passage} After!", "x"), (2, "nothing at all", "y"), (None, passage, "z"), (2, "nothing at all", "y"), (4, None, "n")]

@@ -32,7 +32,9 @@ def corpus():
     return texts
 
 
-def test_components_agree_with_brute_force(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_components_agree_with_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK_MEMBERS", block)
     texts = corpus()
     got = dedup.near_duplicates(spark.createDataFrame(list(texts.items()), SCHEMA).repartition(5)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(texts)
@@ -80,3 +82,19 @@ def test_components_of_paths_and_stars(spark, links):
             low = min(expected.get(a, a), expected.get(b, b))
             expected[a] = expected[b] = low
     assert got == expected
+
+
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_pairs_of_a_table_are_each_met_once(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK_MEMBERS", block)
+    parity = [0] * dedup.SKETCH_LONGS
+    rows = [(t, n, n % 3, 10, parity) for t in (1, 2) for n in range(20 * t)]
+    rest = spark.createDataFrame(rows, "table long, node long, root long, n_shingles long, parity array<long>")
+    got = sorted((r["a"], r["b"]) for r in dedup._open_pairs(rest, 85).collect())
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 != b % 3]
+
+
+def test_components_with_hubs(spark):
+    links = [(0, k) for k in range(1, 400)] + [(500, k) for k in range(300, 700)] + [(k, k + 1) for k in range(1000, 1030)]
+    got = {r["node"]: r["root"] for r in dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(700)} | {k: 1000 for k in range(1000, 1031)}

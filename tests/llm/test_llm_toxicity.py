@@ -63,3 +63,14 @@ def test_nulls_empty_and_unlabelled(spark):
     assert len(got) == 5 and len({r["score"] for r in got}) == 1 and not any(r["held_out"] for r in got if r["doc_id"] is None)
     assert T.score(frame.limit(0), machine).collect() == []
     assert T.fit(frame.limit(0), spark.createDataFrame([], LABELS)).weights.size == 0
+
+
+def test_one_row_of_a_labelled_id_is_learnt_from(spark):
+    one, two = [k for k in range(20) if not held(k)][:2]
+    rows = [(one, f"copy {k} of it") for k in range(500)] + [(two, "other"), (two, "other"), (None, "x")]
+    labels = spark.createDataFrame([(one, 1, 1), (one, 1, 0), (two, 1, 0), (None, 1, 1)], LABELS)
+    config = T.ToxicityConfig()
+    got = [tuple(r) for r in T.training_rows(spark.createDataFrame(rows, DOCS), labels, config).collect()]
+    again = [tuple(r) for r in T.training_rows(spark.createDataFrame(rows[::-1], DOCS).repartition(7), labels, config).collect()]
+    assert sorted(got) == sorted(again) and sorted(r[0] for r in got) == [one, two]
+    assert dict((r[0], r[2]) for r in got) == {one: 1, two: 0}

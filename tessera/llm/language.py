@@ -4,7 +4,8 @@ A target and a background bigram model of the same order, smoothing and discount
 of bigrams; a text's score is the mean of its tokens' loss under the target model less that under the background.
 
 Every word and every pair counts. The count tables stay distributed: texts are dealt into blocks, each block asks the
-homes of its distinct pairs for their counts in the whole corpus and is scored with the answers. :func:`fit` makes
+homes of its distinct pairs for their counts in the whole corpus and is scored with the answers, which hold numbers only
+for pairs and words that other blocks have too. :func:`fit` makes
 models of bounded size for a broadcast instead, where a configuration asks for it.
 """
 
@@ -36,7 +37,7 @@ class LanguageConfig:
     discount: float = 0.5
     smoothing: float = 0.5
     #: Tokens whose pairs are counted at once in a task, and about so many in a block of texts.
-    block: int = 1_000_000
+    block: int = 2_000_000
     #: Bytes of text that are looked at for words too common to have one home.
     glance: int = 20_000_000
 
@@ -267,6 +268,41 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Eight-byte numbers with their first bytes in front, then their second and so on: small ones compress to little."""
+    return values.ravel().view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _sums(pairs: np.ndarray, keys: np.ndarray, runs: np.ndarray, discount: float) -> np.ndarray:
+    """What the pairs of each run add up to: count in the target and in all, and both after the discount."""
+    kept = np.where((keys == 0)[:, None], 0, np.maximum(pairs - discount, 0))
+    return np.add.reduceat(np.hstack([pairs, kept]).astype(float), runs, axis=0)
+
+
+def _corrected(data: bytes, pairs: np.ndarray, words: np.ndarray) -> None:
+    """Put the corpus's numbers in place of a block's own, where an answer says that they differ."""
+    raw, at = zlib.decompress(data), 0
+    for own, kind in ((pairs, np.uint64), (words, np.float64)):
+        mask = np.unpackbits(np.frombuffer(raw, np.uint8, -(-len(own) // 8), at), count=len(own)).astype(bool)
+        at += -(-len(own) // 8)
+        size = 8 * own.shape[1] * int(mask.sum())
+        own[mask] = _from_planes(raw[at:at + size]).view(kind).reshape(own.shape[1], -1).T
+        at += size
+
+
+def _answer(pairs: np.ndarray, own_pairs: np.ndarray, words: np.ndarray, own_words: np.ndarray) -> bytes:
+    """One bit for each pair and word of a block, and the corpus's numbers of those that occur elsewhere too."""
+    parts = []
+    for everywhere, own, kind in ((pairs, own_pairs, np.uint64), (words, own_words, np.float64)):
+        mask = (everywhere != own).any(axis=1)
+        parts += [np.packbits(mask).tobytes(), _planes(np.ascontiguousarray(everywhere[mask].T.astype(kind)))]
+    return zlib.compress(b"".join(parts), 1)
+
+
 def _by_block(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.RecordBatch]]:
     """The rows of each block in a partition, which holds one block or few."""
     held: dict[int, list[pa.RecordBatch]] = {}
@@ -344,12 +380,11 @@ def _answered(asked: DataFrame, dealing: Dealing, config: LanguageConfig) -> Dat
         sums = np.stack([np.bincount(of, c, len(words)) for c in (*pairs.T, *kept.T)], 1)
         done = 0
         for row, start in zip(rows, starts, strict=True):
-            size = len(row["keys"]) // 6
-            values = pairs[place[done:done + size]].T.tobytes(), sums[np.searchsorted(words, start)].T.tobytes()
-            done += size
-            yield pa.RecordBatch.from_pylist(
-                [{"block": row["block"], "home": row["home"], "answer": zlib.compress(b"".join(values), 1)}], schema
-            )
+            part = slice(done, done := done + len(row["keys"]) // 6)
+            lengths = np.frombuffer(zlib.decompress(row["runs"]), np.uint32).astype(np.int64)
+            own = _sums(counts[part], keys[part], np.cumsum(lengths) - lengths, config.discount)
+            answer = _answer(pairs[place[part]], counts[part], sums[np.searchsorted(words, start)], own)
+            yield pa.RecordBatch.from_pylist([{"block": row["block"], "home": row["home"], "answer": answer}], schema)
         hot = np.isin(words, dealing.hot)
         rest = {"words": int((~hot).sum())} | {f"sum{k}": float(x) for k, x in enumerate(sums[~hot].sum(0))}
         yield pa.RecordBatch.from_pylist([rest, *(
@@ -364,7 +399,7 @@ def _answered(asked: DataFrame, dealing: Dealing, config: LanguageConfig) -> Dat
 
 def _scored(rows: DataFrame, dealing: Dealing, hot: np.ndarray, sums: np.ndarray, totals: np.ndarray,
             config: LanguageConfig) -> DataFrame:
-    """Scores of the texts in ``rows`` (block, doc_id, text, home, answer), a union of texts and answers.
+    """Scores of the texts in ``rows`` (block, doc_id, text, wanted, home, answer), a union of texts and answers.
 
     ``totals`` are the tokens of target and background with the smoothing of all words; ``sums`` those of ``hot`` words.
     """
@@ -373,16 +408,16 @@ def _scored(rows: DataFrame, dealing: Dealing, hot: np.ndarray, sums: np.ndarray
         for held in _by_block(batches).values():
             texts = [part for b in held if len(part := b.filter(b.column("home").is_null()))]
             own = Block(texts, dealing)
-            pairs, words = np.zeros((len(own.keys), 2)), np.zeros((len(own.runs), 4))
+            wanted = [b.column("wanted").to_numpy(zero_copy_only=False).astype(bool) for b in texts]
+            pairs = own.counts(np.concatenate(wanted) if wanted else np.zeros(0, bool)).astype(float)
+            words = _sums(pairs, own.keys, own.runs, config.discount) if len(own.runs) else np.zeros((0, 4))
             for batch in held:
                 for home, answer in zip(batch.column("home").to_pylist(), batch.column("answer"), strict=True):
                     if home is None:
                         continue
                     low, high = np.searchsorted(own.home, (home, home + 1))
                     part = slice(*np.searchsorted(own.runs, (low, high)))
-                    values = np.frombuffer(zlib.decompress(answer.as_py()))
-                    pairs[low:high] = values[:2 * (high - low)].reshape(2, -1).T
-                    words[part] = values[2 * (high - low):].reshape(4, -1).T
+                    _corrected(answer.as_py(), pairs[low:high], words[part])
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, own.first[own.runs]), len(hot) - 1)
                 known = hot[at] == own.first[own.runs]
@@ -436,10 +471,11 @@ def cross_entropy_difference(
     sums = np.array([[r[f"sum{k}"] for k in range(4)] for _, r in common]).reshape(-1, 4)
     size = len(common) + sum(r["words"] for r in found if r["word"] is None)
     tokens = np.array([[r["sum0"], r["sum1"]] for r in found]).reshape(-1, 2).sum(0)
-    both = rows.select("block", "doc_id", "text", F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("answer"))
+    both = rows.select("block", "doc_id", "text", "wanted", F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("answer"))
     kind = dict(rows.dtypes)["doc_id"]
     back = answers.where("block is not null").select(
-        "block", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "home", "answer"
+        "block", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("boolean").alias("wanted"), "home", "answer",
     )
     return _scored(
         both.unionByName(back).repartitionById(dealing.blocks, "block"), dealing, np.array([w for w, _ in common], np.uint64),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.tables import small
+from tessera.llm.tables import free_shuffles, small
 from tessera.session import durable
 
 
@@ -465,6 +465,7 @@ def cross_entropy_difference(
         _asked(rows.drop("doc_id").repartitionById(dealing.blocks, "block"), dealing).repartitionById(dealing.homes, "home"),
         dealing, config,
     ))
+    free_shuffles(documents.sparkSession)  # texts and questions are done with before texts and answers travel
     numbers = [F.sum(c).alias(c) for c in ("words", "sum0", "sum1", "sum2", "sum3")]
     found = answers.where("block is null").groupBy("word").agg(*numbers).collect()  # hot words and one row
     common = sorted((np.int64(r["word"]).view(np.uint64), r) for r in found if r["word"] is not None)

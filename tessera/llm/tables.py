@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one or two longs that may be broadcast, some tens of MB once hashed.
@@ -14,6 +16,16 @@ def small(df: DataFrame, limit: int = KEY_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of results that nothing refers to any more.
+
+    It acts when the driver collects its garbage, which a driver with little to do may not for long; files of finished steps
+    would then lie beside those of the next.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def quoted(names: list[str]) -> list[str]:
     return [f"`{n}`" for n in names]
 

@@ -25,7 +25,7 @@ from tessera.session import durable
 #: Longs of a parity sketch; its 1024 bits separate pairs at the threshold up to some thousand shingles.
 SKETCH_LONGS = 16
 #: Members of a table that one key compares with as many others.
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 2048
 
 
 @dataclass(frozen=True)

@@ -32,7 +32,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [2048, 3])
 def test_components_agree_with_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(dedup, "BLOCK_MEMBERS", block)
     texts = corpus()

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import digest, seed_of
+from tessera.functions.canonical import document_hash
+from tessera.functions.hashing import seed_of
 from tessera.operators import requests as rq
 from tessera.operators.gates import gate_scenarios
 from tessera.plans import draws, portfolio
@@ -222,7 +223,7 @@ def decision_packs(scenario_rows: DataFrame, options: DataFrame, tests: DataFram
         F.when(done, F.col("reversal_tests")).alias("reversal_tests"), voi.alias("value_of_information"),
         "seed",
     )
-    return body.withColumn("content_hash", digest(F.to_json(F.struct(*sorted(body.columns)))))
+    return body.withColumn("content_hash", document_hash(body))
 
 
 def compile_scenarios(

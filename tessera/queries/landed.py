@@ -6,9 +6,12 @@ one document stays as small as a connector page.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import shared_folder, table
 from tessera.sources import integrity, readers, sinks
 
 PARAMETERS = ("click", "error", "purchase", "signup", "view", "absent")
@@ -180,6 +183,44 @@ def q_fingerprint(spark, sf):
     return readers.schema_fingerprint(o, ["o_orderpriority"], "j")
 
 
+def q_drift(spark, sf):
+    """Two versions of the order documents: a field goes, one comes, a number becomes text and a nested one a fraction."""
+    late = F.year("o_orderdate") >= 1996
+    doc = F.when(late, F.to_json(F.struct(
+        F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderpriority").alias("priority"), F.struct(F.lit(True).alias("rush")).alias("fresh"),
+    ))).otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("state"))))
+    o = table(spark, sf, "orders").select("o_orderstatus", F.when(late, 2).otherwise(1).alias("version"), doc.alias("j"))
+    return readers.drift_report(o, ["o_orderstatus"], "version", "j")
+
+
+def q_gazetteer_report(spark, sf):
+    c = table(spark, sf, "customer").select(F.pmod("c_custkey", F.lit(1490)).cast("long").alias("geonameid"))
+    return readers.gazetteer_report(c, 1500).select("rows", "repeated_ids", F.array_join("issues", "|").alias("issues"))
+
+
+def _ledger(spark, sf):
+    """A ledger by status, one of whose partitions is written again with other rows."""
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    sinks.write_layout(o, folder, ["o_orderstatus"], ["o_orderkey"])
+    again = o.filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") != "5-LOW")).withColumn("o_totalprice", -F.col("o_totalprice"))
+    sinks.write_layout(again, folder, ["o_orderstatus"], ["o_orderkey"])
+    return spark.read.parquet(folder)
+
+
+def q_written_ledger(spark, sf):
+    line = F.concat_ws("|", "o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    return _ledger(spark, sf).select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", F.sha2(line, 256).alias("row_hash"))
+
+
+def q_ledger_manifest(spark, sf):
+    """Files of a partition hold disjoint ranges, so the files' order is that of the ledger."""
+    files = sinks.layout_manifest(_ledger(spark, sf), ["o_orderstatus"], "o_orderkey")
+    before = F.lag("last").over(Window.partitionBy("o_orderstatus").orderBy("first", "last"))
+    return files.withColumn("_overlaps", F.coalesce((before >= F.col("first")).cast("long"), F.lit(0))).groupBy("o_orderstatus").agg(
+        F.sum("record_count").alias("record_count"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("_overlaps").alias("overlaps"))
+
+
 def q_verify_artifacts(spark, sf):
     d = table(spark, sf, "documents")
     files = d.filter(F.col("lang") != "de").select(
@@ -232,6 +273,7 @@ QUERIES = {
     "earthquake_features": q_quakes, "disaster_declarations": q_declarations, "jsonstat_cells": q_jsonstat,
     "gazetteer_rows": q_gazetteer, "population_rows": q_population, "boundary_polygons": q_boundaries,
     "platform_envelopes": q_unwrap, "page_guard": q_check_page, "schema_fingerprint": q_fingerprint,
+    "drift_report": q_drift, "gazetteer_report": q_gazetteer_report, "written_ledger": q_written_ledger, "ledger_manifest": q_ledger_manifest,
     "verify_artifacts": q_verify_artifacts, "verify_checksums": q_checksums, "incremental_ingest": q_new_artifacts,
     "artifact_manifest": q_artifact_manifest, "decision_briefs": q_render_brief,
 }
@@ -279,6 +321,18 @@ ORACLES = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "schema_fingerprint": """WITH s AS (SELECT DISTINCT o_orderpriority, CASE WHEN o_orderpriority = '5-LOW' THEN 'o_orderkey:BIGINT' ELSE 'o_orderkey:BIGINT,o_orderstatus:STRING' END AS shape FROM orders)
         SELECT o_orderpriority, CAST(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 2 END AS BIGINT) AS fields, shape, 'sha256:' || sha256(shape) AS fingerprint FROM s""",
+    "drift_report": """WITH v AS (SELECT o_orderstatus, CASE WHEN year(o_orderdate) >= 1996 THEN 2 ELSE 1 END AS version FROM orders),
+        s AS (SELECT o_orderstatus FROM v GROUP BY 1 HAVING count(DISTINCT version) = 2)
+        SELECT o_orderstatus, 2 AS version, 1 AS previous, field, change, before, after FROM s, (VALUES ('key', 'retyped', 'BIGINT', 'STRING'),
+          ('state', 'lost', 'STRING', NULL), ('fresh', 'added', NULL, 'OBJECT<rush: BOOLEAN>')) c(field, change, before, after)""",
+    "gazetteer_report": """WITH n AS (SELECT c_custkey % 1490 AS k, count(*) AS n FROM customer GROUP BY 1)
+        SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n > 1) AS repeated_ids, array_to_string(list_filter([
+          CASE WHEN sum(n) <> 1500 THEN 'row count differs from the manifest' END, CASE WHEN count(*) FILTER (n > 1) > 0 THEN 'ids repeat' END], lambda x: x IS NOT NULL), '|') AS issues FROM n""",
+    "written_ledger": """WITH l AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice
+          FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW')
+        SELECT *, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority || '|' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)) AS row_hash FROM l""",
+    "ledger_manifest": """SELECT o_orderstatus, count(*) AS record_count, min(o_orderkey) AS first, max(o_orderkey) AS last, CAST(0 AS BIGINT) AS overlaps
+        FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW' GROUP BY 1""",
     "verify_artifacts": """SELECT CASE WHEN source = 'src0' THEN 'unsafe-path' WHEN lang = 'de' THEN 'missing' WHEN lang = 'es' AND upper(text) <> text THEN 'hash-mismatch' ELSE 'verified' END AS status,
         count(*) AS artifacts, min(doc_id) AS first_artifact FROM documents GROUP BY 1""",
     "verify_checksums": """SELECT issue, count(*) AS files FROM (SELECT CASE WHEN lang = 'de' AND source <> 'src3' THEN 'listed file is missing'

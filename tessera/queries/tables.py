@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing, merkle, scalar
+from tessera.functions import canonical, hashing, merkle, scalar
 from tessera.operators import catalog, graph, joins, select, summaries
 from tessera.operators import text_audit as ta
 from tessera.session import table
@@ -62,7 +62,7 @@ def q_calendar_check(spark, sf):
 
 def q_missing_ids(spark, sf):
     wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"))
-    seen = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"))
+    seen = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("custkey"))
     return select.missing_ids(wanted, seen, "custkey")
 
 
@@ -543,6 +543,25 @@ def q_content_hash(spark, sf):
         hashing.seed_of(F.concat_ws("/", "c_custkey", "n_name")).alias("seed"))
 
 
+def q_canonical_documents(spark, sf):
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), net.alias("net"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.sum(net).alias("total"))
+    head = F.struct(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("date").alias("day"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"),
+    )
+    docs = table(spark, sf, "orders").select("o_orderkey", head.alias("order")).join(
+        lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    return docs.select("o_orderkey", canonical.canonical_json(docs).alias("document"), canonical.document_hash(docs).alias("content_hash"))
+
+
+def q_canonical_variants(spark, sf):
+    text = F.concat(F.lit('{"props":'), "props", F.lit(',"at":[null,{"seventh":'), (F.col("value") / 7).cast("string"), F.lit("}]}"))
+    docs = table(spark, sf, "events").filter(F.col("value").isNotNull() & F.col("props").isNotNull()).select("event_id", F.parse_json(text).alias("v"))
+    return docs.select("event_id", canonical.canonical_json(docs, ["v"]).alias("document"))
+
+
 def q_artifact_set_hash(spark, sf):
     rows = table(spark, sf, "documents").select("source", "doc_id", F.md5("text").alias("h"))
     return hashing.artifact_set_hash(rows, ["source"], "doc_id", "h")
@@ -613,6 +632,7 @@ QUERIES = {
     "signature_collisions": q_signature_collisions, "library_audit": q_audit_library, "completeness": q_completeness,
     "forbidden_literals": q_scan_forbidden, "required_phrases": q_scan_required, "claim_values": q_claims,
     "claim_renderings": q_renderings, "audit_summary": q_audit_summary,
+    "canonical_documents": q_canonical_documents, "canonical_variants": q_canonical_variants,
     "content_hash": q_content_hash, "artifact_set_hash": q_artifact_set_hash, "scalar_rules": q_scalars,
     "catalog_fingerprint": q_fingerprint, "differing_ranges": q_differing_ranges,
     "local_time": q_local_time,

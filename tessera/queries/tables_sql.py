@@ -84,7 +84,7 @@ ORACLES = {
         SELECT artifact_id, CAST(sum(p) AS BIGINT) AS values, count(*) FILTER (p = 5) AS aligned_days,
           count(*) FILTER (p = 5) AS complete_days, CAST(0 AS BIGINT) AS unexpected_days,
           count(*) FILTER (p = 5) = 30 AS calendar_complete FROM d GROUP BY 1""",
-    "missing_ids": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "missing_ids": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "tolerance_join": """WITH c AS (SELECT s_suppkey AS city_id, ((s_suppkey * 3) % 89) * 0.7::DOUBLE - 30 AS lat, ((s_suppkey * 3) % 97) * 1.1::DOUBLE - 50 AS lon FROM supplier),
         s AS (SELECT c_custkey AS id, (c_custkey % 89) * 0.7::DOUBLE - 30 + 4e-10 AS lat, (c_custkey % 97) * 1.1::DOUBLE - 50 AS lon FROM customer),
         m AS (SELECT city_id, count(id) AS matches, min(id) AS id FROM c LEFT JOIN s
@@ -273,6 +273,16 @@ ORACLES = {
         FROM c WHERE event_type <> 'error'""",
     "audit_summary": """SELECT CASE event_type WHEN 'view' THEN 'choose-two' WHEN 'click' THEN 'count' ELSE 'single' END AS operation, count(*) AS checks_total,
         count(*) FILTER (event_type NOT IN ('error', 'signup')) AS checks_passed, count(*) FILTER (event_type IN ('error', 'signup')) AS checks_failed FROM events GROUP BY 1""",
+    "canonical_documents": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem),
+        d AS (SELECT l_orderkey, CAST(CAST(printf('%.11e', sum(net)) AS DOUBLE) AS VARCHAR) AS total,
+          string_agg('{"line":' || l_linenumber || ',"net":' || CAST(CAST(printf('%.11e', net) AS DOUBLE) AS VARCHAR) || ',"part":' || l_partkey || '}', ','
+            ORDER BY l_linenumber, l_partkey, net) AS lines FROM l GROUP BY 1),
+        j AS (SELECT o_orderkey, '{' || coalesce('"lines":[' || lines || '],', '') || '"o_orderkey":' || o_orderkey || ',"order":{"day":"' || CAST(o_orderdate AS DATE)
+          || CASE WHEN o_orderpriority <> '5-LOW' THEN '","priority":"' || o_orderpriority ELSE '' END || '","status":"' || o_orderstatus || '"}'
+          || coalesce(',"total":' || total, '') || '}' AS document FROM orders LEFT JOIN d ON o_orderkey = l_orderkey)
+        SELECT o_orderkey, document, 'sha256:' || sha256(document) AS content_hash FROM j""",
+    "canonical_variants": """SELECT event_id, '{"v":{"at":[null,{"seventh":' || CASE WHEN seventh = floor(seventh) THEN CAST(CAST(seventh AS BIGINT) AS VARCHAR) ELSE CAST(seventh AS VARCHAR) END || '}],"props":' || replace(props, ' ', '') || '}}' AS document
+        FROM (SELECT *, CAST(printf('%.11e', value / 7) AS DOUBLE) AS seventh FROM events WHERE value IS NOT NULL AND props IS NOT NULL)""",
     "content_hash": """SELECT c_custkey, 'sha256:' || sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","n_name":"' || n_name || '"}') AS content_hash,
         substr(sha256(c_custkey || '/' || n_name), 1, 12) AS short_key, CAST('0x' || substr(sha256(c_custkey || '/' || n_name), 1, 8) AS BIGINT) AS seed
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",

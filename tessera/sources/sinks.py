@@ -23,6 +23,25 @@ def write_parquet(df: DataFrame, path: str, partition: Sequence[str] = ()) -> No
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
+def write_layout(df: DataFrame, path: str, partition: Sequence[str], order: Sequence[str]) -> None:
+    """Sorted Parquet files with disjoint ranges of ``order`` inside each partition, by a range shuffle over both.
+
+    Only partitions that ``df`` has rows of are replaced, so a ledger is mended by the partition and a rerun changes nothing.
+    A large partition spreads over many files; an empty table writes nothing.
+    """
+    spread = df.repartitionByRange(*partition, *order).sortWithinPartitions(*partition, *order)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def layout_manifest(written: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
+    """(partition, path, bytes, record_count, first, last) of each file behind a table read from a layout."""
+    file = F.col("_metadata")
+    rows = written.select(*partition, file["file_path"].alias("path"), file["file_size"].alias("bytes"), F.col(order).alias("_key"))
+    return rows.groupBy(*partition, "path", "bytes").agg(
+        F.count("*").alias("record_count"), F.min("_key").alias("first"), F.max("_key").alias("last")
+    )
+
+
 def write_text(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
 

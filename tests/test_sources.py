@@ -230,3 +230,41 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(df, str(tmp_path / "json"), ["id"])
     sinks.write_parquet(df, str(tmp_path / "pq"), ["id"])
     assert spark.read.json(str(tmp_path / "json")).count() == spark.read.parquet(str(tmp_path / "pq")).count() == 2
+
+
+def test_drift_between_versions(spark):
+    rows = [("s", 1, '{"a": 1, "b": {"c": 1}}'), ("s", 1, '{"a": 2}'), ("s", 2, '{"a": 1.5, "b": {"c": "x"}, "d": null}'), ("s", 5, '{"a": 1.5}'),
+            (None, 1, '{"x": 1}'), (None, 2, '{"y": 1}'), ("one", 1, '{"x": 1}'), ("s", None, '{"z": 1}'), ("bad", 1, '{"x": 1}'), ("bad", 2, "no json"),
+            ("same", 1, '{"x": 1, "y": "a"}'), ("same", 2, '{"y": "b", "x": 3}')]
+    got = r.drift_report(spark.createDataFrame(rows, "series string, version int, j string"), ["series"], "version", "j").collect()
+    assert {(x.series, x.version, x.previous, x.field, x.change) for x in got} == {
+        ("s", 2, 1, "a", "retyped"), ("s", 2, 1, "b", "retyped"), ("s", 2, 1, "d", "added"), ("s", 5, 2, "b", "lost"), ("s", 5, 2, "d", "lost"),
+        (None, 2, 1, "x", "lost"), (None, 2, 1, "y", "added"), ("bad", 2, 1, "x", "lost")}
+    assert {(x.before, x.after) for x in got if x.field == "b" and x.version == 2} == {("OBJECT<c: BIGINT>", "OBJECT<c: STRING>")}
+    assert r.drift_report(spark.createDataFrame([], "series string, version int, j string"), ["series"], "version", "j").collect() == []
+
+
+def test_layout_replaces_partitions_and_keeps_ranges_apart(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = spark.range(5000).selectExpr("id", "id % 2 AS part", "id * 3 AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    try:
+        sinks.write_layout(rows, path, ["part"], ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sinks.write_layout(rows.filter("part = 1 AND id < 100").selectExpr("id", "part", "-id AS v"), path, ["part"], ["id"])
+    back = spark.read.parquet(path)
+    expected = {(i, 0, i * 3) for i in range(0, 5000, 2)} | {(i, 1, -i) for i in range(1, 100, 2)}
+    assert sorted((x.id, x.part, x.v) for x in back.collect()) == sorted(expected)
+    files = sorted(sinks.layout_manifest(back, ["part"], "id").collect(), key=lambda f: (f.part, f.first))
+    assert sum(f.record_count for f in files) == len(expected) and len(files) > 2
+    assert all(a.part != b.part or a.last < b.first for a, b in zip(files, files[1:]))
+
+
+def test_zones_are_those_of_the_database(spark):
+    row = dict.fromkeys(r.GAZETTEER, "")
+    row |= {"geonameid": "1", "name": "n", "feature_class": "P", "latitude": "1", "longitude": "1", "country_code": "DE"}
+    rows = [{**row, "timezone": zone} for zone in ("Europe/Berlin", "UTC", "Foo/Bar", "")]
+    got = [x.issues for x in r.parse_gazetteer(spark.createDataFrame(rows)).orderBy("timezone").collect()]
+    assert got == [["time zone is invalid"], [], ["time zone is invalid"], []]
+

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import degrees
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ranking import global_rank
-from tessera.functions.scalar import EARTH_RADIUS_KM, haversine_km, reasons
+from tessera.functions.scalar import haversine_km, reasons
+from tessera.operators import cells
 
 OK, LIMITED, REJECTED = "enumerated", "candidate-limit", "rejected"
 
@@ -43,57 +43,29 @@ class FacilityConfig:
 
 # --- radius join -------------------------------------------------------------------------------
 
-def _band_degrees(km: float) -> float:
-    return degrees(km / EARTH_RADIUS_KM) * 1.0001
-
-
-def _columns_in(band: Column, km: float) -> Column:
-    """Number of longitude cells of a latitude band; one where meridians run too close together."""
-    step = _band_degrees(km)
-    edge = F.greatest(F.abs((band - 1) * step - 90), F.abs((band + 2) * step - 90))
-    shrink = F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(0.0))
-    width = F.lit(step * 1.05) / F.nullif(shrink, F.lit(0.0))
-    wide = F.coalesce(width > 15.0, F.lit(True))
-    return F.when(wide, F.lit(1)).otherwise(F.floor(F.lit(360.0) / width)).cast("long")
-
-
-def _band(latitude: Column, km: float) -> Column:
-    return F.floor((latitude + 90) / _band_degrees(km)).cast("long")
-
-
-def _column(longitude: Column, columns: Column) -> Column:
-    return F.floor((longitude + 180) / 360 * columns).cast("long")
-
-
-def radius_pairs(points: DataFrame, sites: DataFrame, km: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs within ``km``: a grid equi-join (site's cell and its neighbours), then the distance.
+def radius_pairs(
+    points: DataFrame, sites: DataFrame, km: float, keys: Sequence[str] = (), most: int = cells.CELL_POINTS
+) -> DataFrame:
+    """Pairs within ``km``: an equi-join on cells that follow the density of points, then the distance.
 
     ``points`` has ``latitude, longitude``; ``sites`` has ``site_latitude, site_longitude``. Both
-    sides should hold distinct positions; copies of one position are the caller's to fold.
+    sides should hold distinct positions; copies of one position are the caller's to fold. Cells with
+    more than ``most`` points are split, see :mod:`tessera.operators.cells`. Positions with nulls pair with nothing.
     """
-    gridded = points.withColumn("_band", _band(F.col("latitude"), km)).withColumn(
-        "_cell", _column(F.col("longitude"), _columns_in(F.col("_band"), km))
-    )
-    spread = (
-        sites.withColumn("_home", _band(F.col("site_latitude"), km))
-        .withColumn("_band", F.explode(F.array(*[F.col("_home") + d for d in (-1, 0, 1)])))
-        .withColumn("_columns", _columns_in(F.col("_band"), km))
-        .withColumn("_at", _column(F.col("site_longitude"), F.col("_columns")))
-        .withColumn("_cell", F.explode(F.array_distinct(F.array(*[
-            F.pmod(F.col("_at") + d, F.col("_columns")) for d in (-1, 0, 1)
-        ]))))
-        .drop("_home", "_columns", "_at")
-    )
-    # longitude 180 closes the circle onto the first cell
-    gridded = gridded.withColumn("_cell", F.pmod("_cell", _columns_in(F.col("_band"), km)))
+    gridded, spread = cells.grid_points(points, km), cells.grid_sites(sites, km)
+    levels = cells.crowded_nodes(gridded, keys, most)
+    placed = cells.points_in_leaves(gridded, levels, keys)
+    reaching = cells.sites_in_leaves(spread, levels, keys, km)
+    placed, reaching = cells.in_slices(placed, reaching, keys, most)
+    inner = [c for c in (*cells.BASE, *cells.PLACE, "_slice") if c in placed.columns]
     distance = haversine_km(
         F.col("latitude"), F.col("longitude"), F.col("site_latitude"), F.col("site_longitude")
     )
     return (
-        gridded.join(spread, [*keys, "_band", "_cell"])
+        placed.join(reaching, [*keys, *inner])
         .withColumn("distance_km", distance)
         .filter(F.col("distance_km") <= km)
-        .drop("_band", "_cell")
+        .drop(*inner)
     )
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import search_key
+from tessera.operators.postings import TextIndex, build_index, folded, joined
 from tessera.operators.select import paginate
 
+# Name of the one field of an index over joined columns.
+NORMALISED = "joined"
+
 
 def facets(df: DataFrame, wanted: Mapping[str, str | None]) -> DataFrame:
     """Keep rows equal to every given facet; filters stay on raw columns and reach the scan."""
@@ -19,10 +24,12 @@ def facets(df: DataFrame, wanted: Mapping[str, str | None]) -> DataFrame:
     return df
 
 
-def text_any(df: DataFrame, columns: Sequence[str], text: str | None) -> DataFrame:
-    """Case-insensitive substring in any of the columns."""
+def text_any(df: DataFrame, columns: Sequence[str], text: str | None, index: TextIndex | None = None) -> DataFrame:
+    """Case-insensitive substring in any of the columns; an index over them narrows the rows first."""
     if not text:
         return df
+    if index is not None:
+        df = index.narrowed(df, columns, text.lower())
     needle = F.lit(text.lower())
     hit = F.lit(False)
     for column in columns:
@@ -30,51 +37,69 @@ def text_any(df: DataFrame, columns: Sequence[str], text: str | None) -> DataFra
     return df.filter(hit)
 
 
-def text_normalised(df: DataFrame, columns: Sequence[str], text: str | None) -> DataFrame:
+def text_normalised(df: DataFrame, columns: Sequence[str], text: str | None, index: TextIndex | None = None) -> DataFrame:
     """Substring of the joined columns after folding punctuation, so ``cool roof`` finds ``cool-roof``."""
     if not text:
         return df
-    joined = search_key(F.concat_ws(" ", *[F.col(c) for c in columns]))
-    return df.filter(F.contains(joined, search_key(F.lit(text))))
+    if index is not None:
+        key = re.sub("[^a-z0-9]+", " ", text.lower()).strip(" ")
+        df = index.narrowed(df, [NORMALISED], key)
+    return df.filter(F.contains(joined(columns), search_key(F.lit(text))))
+
+
+def index_any(rows: DataFrame, ident: str, columns: Sequence[str], folder: str | None = None) -> TextIndex:
+    """Index for :func:`text_any` over these columns or some of them."""
+    return build_index(rows, ident, {column: folded(column) for column in columns}, folder)
 
 
-def search_cities(cities: DataFrame, tier=None, country=None, text=None, limit=25, offset=0) -> DataFrame:
+def index_normalised(rows: DataFrame, ident: str, columns: Sequence[str], folder: str | None = None) -> TextIndex:
+    """Index for :func:`text_normalised` over exactly these columns."""
+    return build_index(rows, ident, {NORMALISED: joined(columns)}, folder)
+
+
+# Columns that the text of a search is sought in.
+CITY_TEXT = ("name", "city_id", "country_code")
+SCENARIO_TEXT = ("execution_id", "title", "city_id", "suite")
+PACK_TEXT = ("execution_id", "title", "city_id")
+SOURCE_TEXT = ("source_id", "artifact_id", "name", "publisher")
+DESIGN_TEXT = ("design_id", "title", "question", "family_id", "suite", "decision_type", "status")
+FAMILY_TEXT = ("family_id", "title", "suite")
+
+
+def search_cities(cities: DataFrame, tier=None, country=None, text=None, limit=25, offset=0, index=None) -> DataFrame:
     rows = facets(cities, {"tier": tier, "country_code": country.upper() if country else None})
-    rows = text_any(rows, ["name", "city_id", "country_code"], text)
+    rows = text_any(rows, CITY_TEXT, text, index)
     return paginate(rows, [F.lower("name"), F.col("city_id")], limit, offset)
 
 
-def search_scenarios(scenarios: DataFrame, kind=None, city=None, suite=None, status=None, text=None, limit=25, offset=0) -> DataFrame:
+def search_scenarios(scenarios: DataFrame, kind=None, city=None, suite=None, status=None, text=None, limit=25, offset=0, index=None) -> DataFrame:
     rows = facets(scenarios, {"kind": kind, "city_id": city, "suite": suite, "status": status})
-    rows = text_any(rows, ["execution_id", "title", "city_id", "suite"], text)
+    rows = text_any(rows, SCENARIO_TEXT, text, index)
     return paginate(rows, ["kind", "execution_id"], limit, offset)
 
 
-def search_packs(scenarios: DataFrame, city=None, status=None, text=None, limit=25, offset=0) -> DataFrame:
+def search_packs(scenarios: DataFrame, city=None, status=None, text=None, limit=25, offset=0, index=None) -> DataFrame:
     """Decision packs are the deep and reference executions; standard screens are not packs."""
     rows = facets(scenarios.filter(F.col("kind").isin("deep", "reference")), {"city_id": city, "status": status})
-    rows = text_any(rows, ["execution_id", "title", "city_id"], text)
+    rows = text_any(rows, PACK_TEXT, text, index)
     return paginate(rows, ["execution_id"], limit, offset)
 
 
-def search_sources(manifests: DataFrame, source=None, publisher=None, text=None, limit=25, offset=0) -> DataFrame:
-    rows = text_any(facets(manifests, {"source_id": source}), ["publisher"], publisher)
-    rows = text_any(rows, ["source_id", "artifact_id", "name", "publisher"], text)
+def search_sources(manifests: DataFrame, source=None, publisher=None, text=None, limit=25, offset=0, index=None) -> DataFrame:
+    rows = text_any(facets(manifests, {"source_id": source}), ["publisher"], publisher, index)
+    rows = text_any(rows, SOURCE_TEXT, text, index)
     return paginate(rows, ["source_id", "artifact_id"], limit, offset)
 
 
-DESIGN_TEXT = ("design_id", "title", "question", "family_id", "suite", "decision_type", "status")
-
-
-def search_designs(designs: DataFrame, suite=None, family=None, decision_type=None, status=None, readiness=None, text=None, limit=25, offset=0) -> DataFrame:
+def search_designs(designs: DataFrame, suite=None, family=None, decision_type=None, status=None, readiness=None, text=None, limit=25, offset=0, index=None) -> DataFrame:
     rows = facets(designs, {
         "suite": suite, "family_id": family, "decision_type": decision_type, "status": status, "readiness": readiness,
     })
-    return paginate(text_normalised(rows, DESIGN_TEXT, text), ["design_id"], limit, offset)
+    return paginate(text_normalised(rows, DESIGN_TEXT, text, index), ["design_id"], limit, offset)
 
 
-def search_families(families: DataFrame, suite=None, text=None, limit=25, offset=0) -> DataFrame:
-    rows = text_normalised(facets(families, {"suite": suite}), ["family_id", "title", "suite"], text)
+def search_families(families: DataFrame, suite=None, text=None, limit=25, offset=0, index=None) -> DataFrame:
+    rows = text_normalised(facets(families, {"suite": suite}), FAMILY_TEXT, text, index)
     return paginate(rows, ["family_id"], limit, offset)
 
 

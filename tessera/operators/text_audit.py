@@ -513,7 +513,8 @@ def evaluate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
     ``claims(claim_id, operation, source_order, document, pointer, expected JSON text)`` holds one
     row per source; ``evidence(document, content)`` holds JSON text. Operations: single, count, sum,
-    subtract, choose-two. A claim that cannot be resolved is a failed row with a reason.
+    subtract, choose-two. Whole numbers stay exact up to 38 digits (19 for choose-two). A claim that cannot be
+    resolved is a failed row with a reason.
     """
     sourced = claims.join(evidence, "document", "left").withColumn(
         "_value", F.try_variant_get(F.try_parse_json("content"), pointer_path(F.col("pointer")), "variant")
@@ -529,6 +530,7 @@ def evaluate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     rows = sourced.withColumns({
         "_kind": F.when(F.col("_value").isNotNull(), kind),
         "_number": F.when(numeric, number),
+        "_exact": F.when(whole, F.try_variant_get("_value", "$", "decimal(38,0)")),
         "_whole": F.coalesce(whole, F.lit(False)),
         "_length": F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), length),
         "_text": F.to_json("_value"),
@@ -539,28 +541,34 @@ def evaluate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         F.count("_number").alias("numbers"),
         F.bool_and("_whole").alias("whole"),
         F.sum("_number").alias("total"),
-        F.min_by("_number", "source_order").alias("first"),
-        F.max_by("_number", "source_order").alias("last"),
+        F.try_sum("_exact").alias("exact_total"),
+        F.min_by(F.struct("_number", "_exact"), "source_order").alias("first"),
+        F.max_by(F.struct("_number", "_exact"), "source_order").alias("last"),
         F.max("_length").alias("length"),
         F.max("_text").alias("text"),
         F.max("_kind").alias("kind"),
     )
     op = F.col("operation")
 
-    def as_number(value: Column) -> Column:
-        return F.when(F.col("whole"), value.cast("long").cast("string")).otherwise(value.cast("string"))
+    def as_number(value: Column, exact: Column) -> Column:
+        return F.when(F.col("whole"), exact.cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
 
-    pairs = F.col("first") * (F.col("first") - 1) / 2
+    first, last = F.col("first._exact"), F.col("last._exact")
+    # half of the even one of two neighbours, so that no product is larger than the result
+    even = F.pmod(first, F.lit(2).cast("decimal(38,0)")) == 0
+    half = F.expr("CAST(CASE WHEN pmod(first._exact, 2) = 0 THEN first._exact ELSE first._exact - 1 END AS decimal(38,0)) DIV 2")
+    other = F.when(even, first - 1).otherwise(first)
+    pairs = F.try_multiply(half.cast("decimal(19,0)"), other.cast("decimal(19,0)"))
     all_numbers = F.col("numbers") == F.col("sources")
     scalar = F.col("kind").rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|STRING|BOOLEAN)")
     value = (
         F.when((op == "single") & (F.col("sources") == 1) & scalar, F.col("text"))
         .when((op == "count") & (F.col("sources") == 1), F.col("length").cast("string"))
-        .when((op == "sum") & all_numbers, as_number(F.col("total")))
-        .when((op == "subtract") & all_numbers & (F.col("sources") == 2), as_number(F.col("first") - F.col("last")))
+        .when((op == "sum") & all_numbers, as_number(F.col("total"), F.col("exact_total")))
+        .when((op == "subtract") & all_numbers & (F.col("sources") == 2), as_number(F.col("first._number") - F.col("last._number"), first - last))
         .when(
-            (op == "choose-two") & all_numbers & (F.col("sources") == 1) & F.col("whole") & (F.col("first") >= 0),
-            pairs.cast("long").cast("string"),
+            (op == "choose-two") & all_numbers & (F.col("sources") == 1) & F.col("whole") & (first >= 0),
+            pairs.cast("decimal(38,0)").cast("string"),
         )
     )
     known = op.isin("single", "count", "sum", "subtract", "choose-two")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import gates, packs
 from tessera.operators import requests as rq
+from tessera.plans import draws
+from tessera.queries import analysis
 from tessera.queries.requests import REQUESTS, requests_table, views
 from tessera.queries.tables import climate_series, context, designs
 from tessera.operators import summaries
@@ -140,6 +142,26 @@ def q_metric_gate(spark, sf):
     return gates.metric_violations(metrics, declared).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("metrics"))
 
 
+def q_pack_gate(spark, sf):
+    key = F.col("o_orderkey")
+    kinds = F.array(F.lit("policy-scenario"), F.lit("decision-pack"), F.when(F.col("o_orderstatus") == "P", "decision-pack").otherwise("decision-brief"))
+    rows = table(spark, sf, "orders").select(
+        key.alias("pack_id"), F.col("o_custkey").alias("city_id"), F.when(key % 7 == 0, -key - 1).otherwise(key).alias("scenario_id"),
+        F.col("o_custkey").alias("scenario_city"), F.when(key % 11 == 0, -key - 1).otherwise(key).alias("decision_scenario"),
+        F.when(F.col("o_orderstatus") != "O", F.array_append(kinds, "optimization-run")).otherwise(kinds).alias("kinds"),
+        F.when(F.col("o_orderpriority") < "3", "completed").otherwise("negative").alias("status"),
+        F.when(F.col("o_orderstatus") == "F", "planning-support").otherwise("insufficient-evidence").alias("readiness"),
+        F.when(F.col("o_orderpriority") < "4", "completed").otherwise("failed").alias("decision_status"), (key % 5).alias("observed_requests"),
+        F.lit(False).alias("has_forecast"), F.lit(False).alias("has_simulation"), (F.col("o_orderstatus") != "P").alias("has_optimization"),
+        (key % 2 == 0).alias("has_uncertainty"))
+    return gates.pack_violations(rows).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("packs"))
+
+
+def q_reversal_tests(spark, sf):
+    return packs.reversal_tests(draws.reversals(analysis.option_draws(spark, sf), analysis.OPTIONS)).select(
+        "test_id", "baseline_option_id", F.round("reversal_probability", 6).alias("reversal_probability"), "selected_after_test", "outcome")
+
+
 def q_decision_gate(spark, sf):
     options = F.array(
         F.struct(F.lit("F").alias("id"), F.lit(True).alias("feasible")), F.struct(F.lit("O").alias("id"), (F.col("o_totalprice") > 200000).alias("feasible")))
@@ -228,7 +250,7 @@ def q_executions(spark, sf):
 QUERIES = {
     "decision_packs": q_packs, "pack_registry": q_registry, "scenario_options": q_scenario_options, "scenario_gate_reasons": q_gate_scenarios,
     "scenario_parameters": q_parameters, "city_screens": q_screens, "quality_standard": q_quality_standard, "quality_report": q_quality_report,
-    "quality_deep": q_quality_deep, "evidence_gate": q_evidence_gate, "metric_gate": q_metric_gate, "decision_gate": q_decision_gate,
+    "quality_deep": q_quality_deep, "evidence_gate": q_evidence_gate, "metric_gate": q_metric_gate, "decision_gate": q_decision_gate, "pack_gate": q_pack_gate, "reversal_tests": q_reversal_tests,
     "scenario_gate": q_scenario_gate, "capabilities": q_capabilities, "source_bindings": q_bindings, "design_readiness": q_readiness,
     "adapter_rows": q_adapters, "adapter_packages": q_adapter_packages, "registry_integrity": q_registry_integrity,
     "design_matrix": q_expand_designs, "all_executions": q_executions,
@@ -284,6 +306,24 @@ ORACLES = {
         SELECT doc_id AS id, type, array_to_string(issues, '|') AS issues FROM i WHERE len(issues) > 0""",
     "metric_gate": """SELECT issue, count(*) AS metrics FROM (SELECT unnest([CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'metric evidence type not allowed' END,
         CASE WHEN l_returnflag = 'A' AND l_tax <= 0.02 THEN 'estimated metrics require a method' END, CASE WHEN l_linenumber = 7 THEN 'metric source is not declared' END]) AS issue FROM lineitem) WHERE issue IS NOT NULL GROUP BY 1""",
+    "pack_gate": """WITH p AS (SELECT *, o_orderpriority < '3' AS done, o_orderstatus = 'F' AS planning, o_orderpriority < '4' AS decided FROM orders)
+        SELECT issue, count(*) AS packs FROM (SELECT unnest([
+          CASE WHEN o_orderkey % 7 = 0 THEN 'pack identity must match its scenario' END,
+          CASE WHEN o_orderkey % 11 = 0 THEN 'pack must embed its matching decision pack' END,
+          CASE WHEN o_orderstatus = 'P' THEN 'artifact kinds must be unique' END,
+          CASE WHEN o_orderstatus = 'P' THEN 'pack lacks a required artifact' END,
+          CASE WHEN done AND NOT planning THEN 'completed scenarios are planning-support outputs' END,
+          CASE WHEN done AND NOT decided THEN 'completed scenarios require a completed decision pack' END,
+          CASE WHEN done AND o_orderkey % 5 < 1 THEN 'completed scenarios require observed requests' END,
+          CASE WHEN done AND NOT (o_orderstatus <> 'P' AND o_orderkey % 2 = 0) THEN 'completed scenarios require optimization and uncertainty' END,
+          CASE WHEN NOT done AND planning THEN 'negative scenarios must declare insufficient readiness' END,
+          CASE WHEN NOT done AND decided THEN 'negative scenarios cannot embed a completed decision pack' END,
+          CASE WHEN (o_orderstatus <> 'O') <> (o_orderstatus <> 'P') THEN 'optimization-run reference and model must align' END,
+          CASE WHEN o_orderkey % 2 = 0 THEN 'uncertainty-run reference and model must align' END]) AS issue FROM p)
+        WHERE issue IS NOT NULL GROUP BY 1""",
+    "reversal_tests": f"""SELECT 'paired-draw-' || competing_option_id AS test_id, baseline_option_id, reversal_probability,
+        CASE WHEN reversal_probability > 0 THEN competing_option_id ELSE baseline_option_id END AS selected_after_test,
+        CASE WHEN reversal_probability > 0 THEN 'reversed' ELSE 'stable' END AS outcome FROM ({analysis.ORACLES['decision_reversals']})""",
     "decision_gate": """WITH d AS (SELECT *, o_orderpriority < '4' AS done, CASE WHEN o_orderpriority < '5' THEN o_orderstatus END AS sel FROM orders)
         SELECT issue, count(*) AS runs FROM (SELECT unnest([CASE WHEN done AND sel NOT IN ('F', 'O') THEN 'selected option does not exist' END,
           CASE WHEN done AND sel = 'O' AND o_totalprice <= 200000 THEN 'selected option must be feasible' END, CASE WHEN done AND o_orderkey % 3 = 0 THEN 'completed runs require at least one reversal test' END,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, hashing, merkle, scalar
 from tessera.operators import catalog, graph, joins, select, summaries
 from tessera.operators import text_audit as ta
 from tessera.session import table
+from tessera.sources import readers
 
 # --- selection ---------------------------------------------------------------------------------
 
@@ -321,8 +324,15 @@ def q_catalog_summary(spark, sf):
 # --- catalog -------------------------------------------------------------------------------------
 
 
-def q_search_cities(spark, sf):
-    return catalog.search_cities(joins.highest_tier(*_tiers(spark, sf)), tier="S", country="c7", text="customer#", limit=40).select(
+def _indexed(build, rows, ident, columns, indexed):
+    """The index of a search over whole tables, or none for the plain scan."""
+    return build(rows, ident, columns) if indexed else None
+
+
+def q_search_cities(spark, sf, indexed=False):
+    rows = joins.highest_tier(*_tiers(spark, sf))
+    index = _indexed(catalog.index_any, rows, "city_id", catalog.CITY_TEXT, indexed)
+    return catalog.search_cities(rows, tier="S", country="c7", text="customer#", limit=40, index=index).select(
         "city_id", "name", "tier", "position", "total", "next_offset")
 
 
@@ -334,33 +344,40 @@ def executions(spark, sf):
         F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("title"))
 
 
-def q_search_scenarios(spark, sf):
-    return catalog.search_scenarios(executions(spark, sf), kind="deep", status="F", text="urgent f", limit=30, offset=30).select(
+def q_search_scenarios(spark, sf, indexed=False):
+    rows = executions(spark, sf)
+    index = _indexed(catalog.index_any, rows, "execution_id", catalog.SCENARIO_TEXT, indexed)
+    return catalog.search_scenarios(rows, kind="deep", status="F", text="urgent f", limit=30, offset=30, index=index).select(
         "execution_id", "city_id", "suite", "position", "total", "next_offset")
 
 
-def q_search_packs(spark, sf):
-    return catalog.search_packs(executions(spark, sf), status="O", text="high", limit=100).select(
+def q_search_packs(spark, sf, indexed=False):
+    rows = executions(spark, sf)
+    index = _indexed(catalog.index_any, rows, "execution_id", catalog.PACK_TEXT, indexed)
+    return catalog.search_packs(rows, status="O", text="high", limit=100, index=index).select(
         "execution_id", "city_id", "kind", "position", "total")
 
 
-def q_search_sources(spark, sf):
+def q_search_sources(spark, sf, indexed=False):
     manifests = table(spark, sf, "documents").select(
         F.col("source").alias("source_id"), F.col("doc_id").alias("artifact_id"), F.concat_ws("/", "source", "lang").alias("name"),
         F.concat(F.lit("Publisher "), F.upper("lang")).alias("publisher"))
-    return catalog.search_sources(manifests, publisher="publisher fr", text="src1", limit=50).select(
+    index = _indexed(catalog.index_any, manifests, "artifact_id", catalog.SOURCE_TEXT, indexed)
+    return catalog.search_sources(manifests, publisher="publisher fr", text="src1", limit=50, index=index).select(
         "source_id", "artifact_id", "publisher", "position", "total", "next_offset")
 
 
-def q_search_designs(spark, sf):
+def q_search_designs(spark, sf, indexed=False):
     plans = designs(spark, sf).withColumn("readiness", F.col("status"))
-    return catalog.search_designs(plans, status="design-only", text="Brand#1 , promo", limit=60).select("design_id", "family_id", "position", "total")
+    index = _indexed(catalog.index_normalised, plans, "design_id", catalog.DESIGN_TEXT, indexed)
+    return catalog.search_designs(plans, status="design-only", text="Brand#1 , promo", limit=60, index=index).select("design_id", "family_id", "position", "total")
 
 
-def q_search_families(spark, sf):
+def q_search_families(spark, sf, indexed=False):
     families = table(spark, sf, "part").groupBy(F.col("p_brand").alias("family_id")).agg(
         F.min("p_name").alias("title"), F.max("p_type").alias("suite"))
-    return catalog.search_families(families, text="brand 2", limit=10).select("family_id", "title", "position", "total")
+    index = _indexed(catalog.index_normalised, families, "family_id", catalog.FAMILY_TEXT, indexed)
+    return catalog.search_families(families, text="brand 2", limit=10, index=index).select("family_id", "title", "position", "total")
 
 
 def q_lookup(spark, sf):
@@ -600,6 +617,21 @@ def q_scalars(spark, sf):
         scalar.norm_dim(F.when(F.pmod("c_custkey", F.lit(3)) == 0, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment"))).alias("label"))
 
 
+def q_missing_labels(spark, sf):
+    """Documents that no label row names."""
+    return select.missing_ids(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+def q_demand_points(spark, sf):
+    tracts = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("tractfips"), (F.col("c_custkey") % 60).cast("double").alias("latitude"),
+        (F.col("c_custkey") % 170).cast("double").alias("longitude"), F.floor(F.abs("c_acctbal")).cast("long").alias("population"),
+        (F.col("c_custkey") * 13 % 101).cast("double").alias("lacktrpt_crudeprev"),
+        F.when(F.col("c_acctbal") < 0, F.array(F.lit("population is missing or negative"))).otherwise(F.array().cast("array<string>")).alias("issues"),
+        "c_nationkey")
+    return readers.demand_points(tracts, F.concat(F.lit("area-"), F.col("c_nationkey")))
+
+
 def q_local_time(spark, sf):
     zone = F.element_at(F.array(F.lit("America/New_York"), F.lit("Asia/Tokyo"), F.lit("UTC")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
     day = F.col("o_orderdate").cast("date")
@@ -614,7 +646,7 @@ QUERIES = {
     "tolerance_join": q_tolerance_join, "context_join": q_join_context, "population_join": q_join_population,
     "fk_violations": q_fk_violations, "reconcile_sets": q_reconcile_sets, "highest_tier": q_highest_tier,
     "template_expansion": q_expand, "registry_check": q_check_registry, "design_join": q_join_designs,
-    "mapping_issues": q_mapping_issues,
+    "mapping_issues": q_mapping_issues, "missing_labels": q_missing_labels, "demand_points": q_demand_points,
     "climate_window_metrics": q_climate_window, "climate_annual_metrics": q_climate_annual,
     "country_metrics": q_country_metrics, "melt_metrics": q_melt, "compare_cities": q_compare,
     "enum_counts": q_enum_counts, "suite_overview": q_suite_overview, "family_summary": q_family_summary,
@@ -623,6 +655,9 @@ QUERIES = {
     "catalog_summary": q_catalog_summary,
     "search_cities": q_search_cities, "search_scenarios": q_search_scenarios, "search_packs": q_search_packs,
     "search_sources": q_search_sources, "search_designs": q_search_designs, "search_families": q_search_families,
+    "indexed_cities": partial(q_search_cities, indexed=True), "indexed_scenarios": partial(q_search_scenarios, indexed=True),
+    "indexed_packs": partial(q_search_packs, indexed=True), "indexed_sources": partial(q_search_sources, indexed=True),
+    "indexed_designs": partial(q_search_designs, indexed=True), "indexed_families": partial(q_search_families, indexed=True),
     "city_lookup": q_lookup, "city_detail": q_city_detail, "library_overview": q_overview,
     "geographies": q_geographies, "seed_graph": q_seed_graph, "graph_violations": q_graph_violations,
     "bundle_violations": q_bundle_violations, "observation_violations": q_observation_violations,

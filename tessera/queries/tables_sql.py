@@ -293,4 +293,17 @@ ORACLES = {
         least(5000.0::DOUBLE, greatest(0.0::DOUBLE, c_acctbal)) AS clamped, CAST(printf('%.11e', c_acctbal / 7) AS DOUBLE) + 0 AS portable,
         regexp_replace(regexp_replace(printf('%.6f', round(c_acctbal, 2)), '0+$', ''), '\\.$', '') AS text,
         CASE WHEN c_custkey % 3 = 0 THEN '(missing)' ELSE c_mktsegment END AS label FROM customer""",
+    "missing_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    "demand_points": """SELECT 'area-' || c_nationkey AS area_id, CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey % 60 AS DOUBLE) AS latitude,
+        CAST(c_custkey % 170 AS DOUBLE) AS longitude, CAST(floor(abs(c_acctbal)) AS BIGINT) AS population,
+        round(floor(abs(c_acctbal)) * CAST(c_custkey * 13 % 101 AS DOUBLE) / 100, 6) AS need, CAST(c_custkey * 13 % 101 AS DOUBLE) AS rate
+        FROM customer WHERE c_acctbal >= 0""",
+    # summer time of New York as ruled from 1987 to 2006: first Sunday of April to last Sunday of October, at two o'clock
+    "local_time": """WITH d AS (SELECT o_orderkey, o_orderkey % 3 AS zone, CAST(o_orderdate AS DATE) AS day, make_date(year(o_orderdate), 4, 1) AS april,
+          make_date(year(o_orderdate), 10, 31) AS october FROM orders),
+        r AS (SELECT *, april + CAST((7 - dayofweek(april)) % 7 AS INTEGER) AS starts, october - CAST(dayofweek(october) AS INTEGER) AS ends,
+          date_diff('day', DATE '1970-01-01', day) * 86400 AS utc FROM d)
+        SELECT o_orderkey, CAST(utc + CASE zone WHEN 0 THEN CASE WHEN day > starts AND day <= ends THEN 14400 ELSE 18000 END WHEN 1 THEN -32400 ELSE 0 END AS BIGINT) AS midnight,
+          CAST((utc + 86400 + CASE zone WHEN 0 THEN CASE WHEN day >= starts AND day < ends THEN 14400 ELSE 18000 END WHEN 1 THEN -32400 ELSE 0 END) * 1000000 - 1 AS BIGINT) AS cutoff FROM r""",
 }
+ORACLES |= {f"indexed_{name}": ORACLES[f"search_{name}"] for name in ("cities", "scenarios", "packs", "sources", "designs", "families")}

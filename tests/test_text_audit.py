@@ -132,6 +132,20 @@ def test_scans(spark):
         "r1": True, "r2": False, "r3": False}
 
 
+def test_whole_numbers_of_claims_are_exact(spark):
+    doc = {"a": 9007199254740993, "b": 9007199254740995, "c": 123456789012345678901234567890, "d": 3000000000, "e": 3000000001, "z": 0}
+    evidence = spark.createDataFrame([("e.json", json.dumps(doc))], "document string, content string")
+    cases = [
+        ("sum", "ab", doc["a"] + doc["b"]), ("sum", "ac", doc["a"] + doc["c"]), ("subtract", "ba", 2), ("subtract", "ca", doc["c"] - doc["a"]),
+        ("choose-two", "d", doc["d"] * (doc["d"] - 1) // 2), ("choose-two", "e", doc["e"] * doc["d"] // 2), ("choose-two", "z", 0),
+        ("choose-two", "a", doc["a"] * (doc["a"] - 1) // 2),
+    ]
+    rows = [(f"c{n}", op, i, "e.json", f"/{key}", str(value)) for n, (op, keys, value) in enumerate(cases) for i, key in enumerate(keys)]
+    claims = spark.createDataFrame(rows, "claim_id string, operation string, source_order int, document string, pointer string, expected string")
+    got = {r.claim_id: (r.value, r.passed) for r in t.evaluate_claims(claims, evidence).collect()}
+    assert got == {f"c{n}": (str(value), True) for n, (_, _, value) in enumerate(cases)}
+
+
 def test_claims(spark):
     doc = {"a": {"n": 12, "x": 1.5, "flag": True, "name": "boston"}, "rows": [1, 2, 3], "m/k": {"~t": 7}}
     evidence = spark.createDataFrame([("e.json", json.dumps(doc))], "document string, content string")

@@ -26,7 +26,8 @@ FEATURES = ("words", "distinct", "upper", "symbols", "marks", "digits", "word_le
 class QualityConfig:
     """``ridge`` weighs the penalty on standardised features. ``concentration`` bounds how many documents a level above
     counts for; within it is estimated from the spread between groups. ``weight``: the share of the group's
-    log-odds that a document takes over.
+    log-odds that a document takes over. ``broadcast_rows``: groups that are broadcast to their members; where there are
+    more, only the ``large_groups`` that could be hot are, and the others meet their members in a shuffle.
     """
 
     ridge: float = 1.0
@@ -34,6 +35,8 @@ class QualityConfig:
     concentration: tuple[float, float] = (2.0, 1000.0)
     weight: float = 0.5
     threshold: float = 0.5
+    broadcast_rows: int = 100_000
+    large_groups: int = 10_000
 
 
 _UPPER = np.zeros(256, np.int64)
@@ -197,6 +200,21 @@ def _concentration(groups: DataFrame, size: str, good: str, prior: Column, confi
     return min(high, max(low, 1 / rho - 1))
 
 
+def _attach(
+    rows: DataFrame, groups: DataFrame, same: Column, members: str, total: int, config: QualityConfig
+) -> DataFrame:
+    """Rows with the columns of their group, whatever share of all rows one group holds.
+
+    ``members`` names the column with a group's number of rows, ``total`` is their sum. Groups with at least one row of
+    every ``large_groups`` are that many at most, so they are broadcast; each other group is a small part of a shuffle.
+    """
+    if groups.limit(config.broadcast_rows + 1).count() <= config.broadcast_rows:
+        return rows.join(F.broadcast(groups), same)
+    heavy = F.col(members) * config.large_groups >= total
+    large = F.broadcast(groups.where(heavy))
+    return rows.join(large, same).unionByName(rows.join(large, same, "left_anti").join(groups.where(~heavy), same))
+
+
 def hierarchical_quality(
     documents: DataFrame, labels: DataFrame, host: Column, path: Column, config: QualityConfig = QualityConfig()
 ) -> DataFrame:
@@ -204,7 +222,9 @@ def hierarchical_quality(
 
     A null host or path is a group of its own. Null and empty texts have neutral features (all zero). Labels that
     disagree count as bad; without labels every document has the evidence 0. Repeated rows are scored each. A group's sums
-    are partial sums first, so a host with a third of all rows is no task's load. An empty table gives an empty result.
+    are partial sums first, and hosts and paths with many rows are broadcast to them, so a host with a third of all rows is
+    no task's load. A document's own part is left out of its path's sum, not of the shares of its host and of all. Further
+    columns of ``documents`` may have any name. An empty table gives an empty result.
     """
     table = durable(shapes(documents, host, path))
     model = fit(table, labels, config)
@@ -214,13 +234,16 @@ def hierarchical_quality(
     )
 
     paths = durable(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("own").alias("good")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    whole = hosts.agg(F.sum("host_n"), F.sum("host_good")).first()
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.count("*").alias("host_paths")
+    )
+    whole = hosts.agg(F.sum("host_n"), F.sum("host_good"), F.sum("host_paths")).first()
     share = min(1 - 1e-6, max(1e-6, (whole[1] or 0.5) / (whole[0] or 1)))
     strong = _concentration(hosts, "host_n", "host_good", F.lit(share), config)
     hosts = durable(hosts.withColumn("host_share", (F.col("host_good") + strong * share) / (F.col("host_n") + strong)))
-    shares = hosts.select(F.col("host").alias("_host"), "host_share")
-    below = paths.join(shares, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    shares = hosts.select(F.col("host").alias("_host"), "host_share", "host_paths")
+    of_host = F.col("host").eqNullSafe(F.col("_host"))
+    below = _attach(paths, shares, of_host, "host_paths", whole[2] or 0, config).drop("_host", "host_paths")
     near = _concentration(below, "n", "good", F.col("host_share"), config)
     below = durable(below).withColumnsRenamed({"host": "_host", "path": "_path"})
 
@@ -230,7 +253,7 @@ def hierarchical_quality(
     prior = logit(F.lit(share)) + config.weight * (logit(F.col("path_share")) - logit(F.lit(share)))
     same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     return (
-        scored.join(small(below, 100_000), same)
+        _attach(scored, below, same, "n", whole[0] or 0, config)
         .withColumn("path_share", path_share)
         .withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + prior))))
         .select(

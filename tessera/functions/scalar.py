@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +27,91 @@ def portable(value: Column, digits: int = 12) -> Column:
     return F.format_string(f"%.{digits - 1}e", value.cast("double")).try_cast("double") + F.lit(0.0)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, where an expression names it often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# Powers of ten that a double holds exactly.
+_EXACT_POWER = 22
+_TENS = [10.0 ** n for n in range(_EXACT_POWER + 1)]
+# Veltkamp's constant: cuts a double into two halves whose products are exact.
+_SPLIT = float(2 ** 27 + 1)
+
+
+def _ten(power: Column) -> Column:
+    return F.get(F.lit(_TENS), power.cast("int"))
+
+
+def _product_error(a: Column, b: Column, product: Column) -> Column:
+    """What rounding took from ``a * b``, exactly (Dekker)."""
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * _SPLIT - (v * _SPLIT - v)
+        return high, v - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return al * bl - (((product - ah * bh) - al * bh) - ah * bl)
+
+
+def _rounded(x: Column, shift: Column) -> Column:
+    """``x`` rounded to ``shift`` decimal places (tens and more if negative), -22 to 22, by its exact binary value."""
+    up = shift >= 0
+
+    def at(ten: Column) -> Column:
+        def near(scaled: Column) -> Column:
+            def settled(whole: Column) -> Column:
+                rest = scaled - whole
+                # a half may be owed to the rounding of the scaling itself, whose sign says on which side the number lies
+                owed = F.when(up, _product_error(x, ten, scaled)).otherwise(
+                    (x - scaled * ten) - _product_error(scaled, ten, scaled * ten)
+                )
+                beyond = F.when(F.abs(rest) == 0.5, F.when(F.signum(owed) == F.signum(rest), F.signum(rest))).otherwise(F.lit(0.0))
+                units = whole + F.coalesce(beyond, F.lit(0.0))
+                return F.when(up, units / ten).otherwise(units * ten)
+            return let(F.rint(scaled), settled)
+        return let(F.when(up, x * ten).otherwise(x / ten), near)
+    return let(_ten(F.abs(shift)), at)
+
+
+def significant(value: Column, digits: int = 12) -> Column:
+    """Round the exact binary value to significant digits as C and Python do, exact ties to the even digit.
+
+    :func:`portable` rounds the shortest decimal text instead, ties up, and so takes another digit where that text ends
+    in a five that the number does not reach. Outside ``1e-7 .. 1e22`` the two are one.
+    """
+    if not 10 <= digits <= 15:
+        raise ValueError("digits must lie in 10..15")
+
+    def rounded(x: Column) -> Column:
+        size = F.abs(x)
+
+        def shift(power: Column) -> Column:
+            below = F.coalesce(size < F.when(power >= 0, _ten(power)), F.lit(False))
+            return F.lit(digits - 1) - power + below.cast("int")
+
+        plain = (size >= 1e-7) & (size < 1e22)
+        places = let(F.floor(F.log10(size)).cast("int"), shift)
+        near = let(places, lambda n: _rounded(x, n) + F.lit(0.0))
+        return F.when(x == 0, F.lit(0.0)).when(plain, near).otherwise(portable(x, digits))
+
+    return let(value.cast("double"), rounded)
+
+
+def round_away(value: Column, places: int) -> Column:
+    """Round to decimal places as C does on the scaled number, halves away from zero; a negative zero keeps its sign.
+
+    The built-in ``round`` works on the shortest decimal text, where 1.005 is a half, and has no negative zero.
+    """
+    unit = 10.0 ** places
+
+    def rounded(scaled: Column) -> Column:
+        size = F.abs(scaled)
+        whole = (F.rint(size) + (size - F.rint(size) == 0.5).cast("double")) / unit
+        return F.when(scaled.cast("string").startswith("-"), -whole).otherwise(whole)
+
+    return let(value.cast("double") * unit, rounded)
+
+
 def norm_dim(value: Column) -> Column:
     """Trim a label; absent or blank labels become the missing marker."""
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(MISSING))

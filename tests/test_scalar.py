@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -39,3 +40,25 @@ def test_boxes_and_time(spark):
                      s.aware_timestamp(F.lit("2024-01-01T00:00:00")).alias("naive"), F.unix_seconds(s.aware_timestamp(F.lit("2024-01-01T00:00:00+02:00"))).alias("z"),
                      s.window_error(day, day, 5).alias("w"), s.clamp(F.lit(float("nan")), F.lit(0.0), F.lit(1.0)).alias("n")).collect()[0]
     assert row.a == 1719806400 and row.b == 1719878399999999 and row.naive is None and row.z == 1704060000 and row.w and row.n is None
+
+
+def test_significant_digits_of_the_exact_value(spark):
+    rng = random.Random(5)
+    # shortest texts of 13 digits that end in five: the number itself lies above, below or exactly there
+    values = [float(f"{rng.randint(10**11, 10**12)}5e{rng.randint(-18, 8)}") for _ in range(5000)]
+    values += [rng.choice((-1, 1)) * rng.uniform(1, 10) * 10 ** rng.randint(-6, 20) for _ in range(5000)]
+    values += [5844.4238867595 / 7, 1234567890.125, -1234567890.375, 1e11, 1e12, 9.9999999999996, 1e-5, 1e22, 1e-300, 0.0, -0.0]
+    values += [f(10.0**e) for e in range(-6, 22) for f in (float, lambda v: math.nextafter(v, 0))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (12, 15):
+        rows = df.select("v", s.significant(F.col("v"), digits).alias("p")).collect()
+        assert [r for r in rows if r.p != float(f"{r.v:.{digits - 1}e}")] == []
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-0.0,)], "v double").select(s.significant(F.col("v")).alias("p"))
+    assert [str(r.p) for r in odd.collect()] == ["None", "nan", "inf", "0.0"]
+
+
+def test_halves_away_from_zero_on_the_scaled_number(spark):
+    values = [1.005, 2.675, 0.125, -0.125, -0.001, -0.0, 0.0, 0.015, 5e17 + 64, -7.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(s.round_away(F.col("v"), 2).alias("p")).collect()
+    away = lambda v: math.copysign(math.floor(abs(v) * 100) + (abs(v) * 100 % 1 >= 0.5), v) / 100
+    assert [str(r.p) for r in rows] == [str(away(v)) for v in values]

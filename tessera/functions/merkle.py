@@ -51,10 +51,10 @@ def ordered_leaves(df: DataFrame, group: Sequence[str], position: Column, order:
     """
     rows = df.select(
         *group, F.floor(position / span).cast("long").alias("slot"),
-        F.struct(*order, _sha(F.coalesce(text, F.lit(""))).alias("_h")).alias("_row"),
+        F.struct(*order, F.unhex(_sha(F.coalesce(text, F.lit("")))).alias("_h")).alias("_row"),
     )
     return rows.groupBy(*group, "slot").agg(
-        _sha(F.array_join(F.transform(F.sort_array(F.collect_list("_row")), lambda r: r["_h"]), ",")).alias("hash"),
+        _sha(F.array_join(F.transform(F.sort_array(F.collect_list("_row")), lambda r: F.lower(F.hex(r["_h"]))), ",")).alias("hash"),
         F.count("*").alias("rows"),
     )
 

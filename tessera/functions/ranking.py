@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import durable
+from tessera.session import durable, spread_join
 
 # Number of value bins a group is cut into when a quantile is located.
 QUANTILE_BINS = 4096
@@ -163,9 +163,9 @@ def exact_quantiles(
 
 
 def _join_group(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Attach one row per group; without a group key the single row is attached by a constant."""
+    """Attach one row per group to values ``_v``; without a group key the single row is attached by a constant."""
     if group:
-        return left.join(right, list(group))
+        return spread_join(left, right, group, "_v")
     return left.withColumn("_one", F.lit(1)).join(
         F.broadcast(right.withColumn("_one", F.lit(1))), "_one"
     ).drop("_one")

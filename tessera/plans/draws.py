@@ -18,6 +18,7 @@ from tessera.functions import merkle
 from tessera.functions.hashing import PREFIX
 from tessera.functions.ranking import exact_quantiles
 from tessera.functions.scalar import clamp, portable
+from tessera.session import durable, sized, spread_join
 
 COVERAGE_REASON = "Simulation parameters do not exactly cover the model terms."
 TWO_OPTIONS = "At least two option draw streams are required for uncertainty comparison."
@@ -32,7 +33,10 @@ def _parameter_sets(draws: DataFrame) -> DataFrame:
 
 def coverage(draws: DataFrame, terms: DataFrame) -> DataFrame:
     """Per run: whether the drawn parameters are exactly the model's terms, equally often."""
-    have = _parameter_sets(draws)
+    return _covered(_parameter_sets(draws), terms)
+
+
+def _covered(have: DataFrame, terms: DataFrame) -> DataFrame:
     both = have.join(
         terms.select("run_id", "parameter_id", F.lit(True).alias("declared")),
         ["run_id", "parameter_id"], "full_outer",
@@ -54,22 +58,25 @@ def coverage(draws: DataFrame, terms: DataFrame) -> DataFrame:
 def score_draws(
     draws: DataFrame, terms: DataFrame, models: DataFrame, digits: int | None = None
 ) -> DataFrame:
-    """Bounded linear outcome of every draw of every completed run."""
-    usable = coverage(draws, terms).filter("status = 'completed'").select("run_id")
-    weighted = draws.join(
-        terms.select("run_id", "parameter_id", "coefficient"), ["run_id", "parameter_id"]
-    ).join(usable, "run_id", "left_semi")
-    summed = weighted.groupBy("run_id", "draw").agg(
-        F.sum(F.col("coefficient") * F.col("value")).alias("_linear")
-    )
+    """Bounded linear outcome of every draw of every completed run.
+
+    A run may hold most of the draws, so tables with a row for each run or term are never joined by the run alone.
+    """
+    have = durable(_parameter_sets(draws))
+    usable = durable(_covered(have, terms).filter("status = 'completed'").select("run_id"))
+    rows = have.agg(F.sum("draws")).first()[0] or 0
+    weights = terms.select("run_id", "parameter_id", "coefficient").join(usable, "run_id", "left_semi")
+    weighted = spread_join(draws, weights, ["run_id", "parameter_id"], "draw").select(
+        "run_id", "draw", (F.col("coefficient") * F.col("value")).alias("_term")
+    )
+    summed = sized(weighted, ["run_id", "draw"], rows).groupBy("run_id", "draw").agg(F.sum("_term").alias("_linear"))
     outcome = clamp(
         F.col("intercept") + F.col("_linear"), F.col("floor"), F.col("ceiling")
     )
     if digits is not None:
         outcome = portable(outcome, digits)
-    return summed.join(models.select("run_id", "intercept", "floor", "ceiling"), "run_id").select(
-        "run_id", "draw", outcome.alias("outcome")
-    )
+    bounds = models.select("run_id", "intercept", "floor", "ceiling").join(usable, "run_id", "left_semi")
+    return spread_join(summed, bounds, ["run_id"], "draw").select("run_id", "draw", outcome.alias("outcome"))
 
 
 def draw_summary(

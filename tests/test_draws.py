@@ -129,3 +129,26 @@ def test_global_rank_is_contiguous_under_ties(spark):
         rows = sorted((r for r in ranked if r.g == group), key=lambda r: (-r.k, r.id))
         assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
         assert {r.n for r in rows} == {len(rows)}
+
+
+def test_no_run_meets_in_one_task(spark):
+    """A run of nearly all draws is dealt over tasks, both where the tables of runs are broadcast and where they are too large."""
+    from tessera import session
+
+    large = spark.range(0, 40_000, 1, 4).select(
+        F.when(F.col("id") < 39_000, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id") % 5)).alias("run_id"), F.col("id").alias("draw"))
+    small = large.select("run_id").distinct().withColumn("x", F.length("run_id"))
+    expected = {(r.run_id, r.draw, len(r.run_id)) for r in large.collect()}
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        for limit in (100, 0):
+            joined = session.spread_join(large, small, ["run_id"], "draw", limit)
+            assert {tuple(r) for r in joined.select("run_id", "draw", "x").collect()} == expected
+            sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+            assert len(sizes) > 1 and max(r["count"] for r in sizes) < 20_000
+    finally:
+        spark.conf.set(conf, before)
+    dealt = session.sized(large, ["run_id", "draw"], 40 * session.TASK_ROWS)
+    assert dealt.rdd.getNumPartitions() == 41

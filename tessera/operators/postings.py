@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import search_key
+from tessera.functions.scalar import let, search_key
 from tessera.session import shared_folder
 
 GRAM = 3
@@ -23,14 +23,20 @@ GRAM = 3
 RAREST = 4
 #: Candidates that may be broadcast: an upper bound of their number is known from the sizes.
 BROADCAST_IDS = 500_000
+#: Postings that one range of an index holds, and one task sorts.
+RANGE_ROWS = 2_000_000
 
 
 def grams(text: Column) -> Column:
     """Distinct runs of three characters; null or shorter text has none."""
-    runs = F.transform(
-        F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda at: F.substring(text, at, F.lit(GRAM))
-    )
-    return F.array_distinct(F.when(F.length(text) >= GRAM, runs).otherwise(F.array().cast("array<string>")))
+    # the text is bound first: an expression inside the runs would be evaluated once for each of them
+    def runs(bound: Column) -> Column:
+        every = F.transform(
+            F.sequence(F.lit(1), F.length(bound) - (GRAM - 1)), lambda at: F.substring(bound, at, F.lit(GRAM))
+        )
+        return F.array_distinct(F.when(F.length(bound) >= GRAM, every).otherwise(F.array().cast("array<string>")))
+
+    return let(text, runs)
 
 
 def folded(column: str) -> Column:
@@ -79,7 +85,7 @@ class TextIndex:
             needed = F.when(F.col("field") == field, len(picked)).otherwise(needed)
         ids = (
             read.filter(F.col("gram").isin(sorted({g for _, picked in chosen for g in picked}))).filter(hit)
-            .groupBy("field", "ident").agg(F.count("*").alias("_n")).filter(F.col("_n") == needed)
+            .groupBy("field", "ident").agg(F.count_distinct("gram").alias("_n")).filter(F.col("_n") == needed)
             .select(F.col("ident").alias(self.ident)).distinct()
         )
         return F.broadcast(ids) if bound <= BROADCAST_IDS else ids
@@ -93,20 +99,20 @@ class TextIndex:
 def build_index(rows: DataFrame, ident: str, fields: Mapping[str, Column], folder: str | None = None) -> TextIndex:
     """Index the given texts of all rows; ``fields`` names each text as a search will ask for it.
 
-    Rows with a null id cannot be found through an index and are left out of it; repeated ids share their grams. A
-    common gram spreads over many files, as ranges include the id.
+    Rows with a null id cannot be found through an index and are left out of it; repeated ids share their grams, which
+    a list names once for each row, so that nothing is made distinct over the whole table. A common gram spreads over many files, as ranges include the id.
     """
     spark = rows.sparkSession
     folder = folder or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    texts = F.array(*[
-        F.struct(F.lit(name).alias("field"), grams(text).alias("grams")) for name, text in fields.items()
-    ])
-    listed = (
-        rows.filter(F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.explode(texts).alias("t"))
-        .select("ident", "t.field", F.explode("t.grams").alias("gram")).distinct()
-    )
+    texts = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), text.alias("text")) for name, text in fields.items()]))
+    named = rows.filter(F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), texts.alias("t")).select("ident", "t.*")
+    # grams at most; a number of ranges left to the engine would make the sort of each grow with the table
+    most = named.agg(F.sum(F.greatest(F.length("text") - (GRAM - 1), F.lit(0)))).first()[0] or 0
+    ranges = max(spark.sparkContext.defaultParallelism, most // RANGE_ROWS + 1)
+    # rows of a small file lie in one split; dealt first, all tasks make grams
+    listed = named.repartition(ranges, "ident", "field").select("ident", "field", F.explode(grams(F.col("text"))).alias("gram"))
     order = ("gram", "field", "ident")
-    listed.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings")
+    listed.select(*order).repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings")
     counted = spark.read.parquet(f"{folder}/postings").groupBy("gram", "field").agg(F.count("*").alias("rows"))
     counted.repartitionByRange("gram", "field").sortWithinPartitions("gram", "field").write.mode("overwrite").parquet(f"{folder}/sizes")
     return TextIndex(folder, ident)

@@ -56,6 +56,20 @@ def test_nulls_repeats_and_empty_tables(spark, tmp_path):
     assert catalog.text_any(rows, COLUMNS, "alph", empty).count() == 0
 
 
+def test_ranges_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """The number of ranges follows the grams, not the session, and no row of the table is read by one task alone."""
+    monkeypatch.setattr(postings, "RANGE_ROWS", 50)
+    rows = rows_of(spark)
+    catalog.index_any(rows, "id", COLUMNS, f"{tmp_path}/i")
+    files = spark.read.parquet(f"{tmp_path}/i/postings").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > spark.sparkContext.defaultParallelism and max(f["count"] for f in files) < 400
+
+
+def test_grams_bind_their_text_once(spark):
+    plan = spark.range(1).select(postings.grams(F.lower(F.col("id").cast("string"))).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
 def test_grams(spark):
     got = spark.createDataFrame([("abcab",), ("ab",), ("",), (None,), ("日本語x",)], "t string").select(postings.grams(F.col("t")).alias("g")).collect()
     assert [sorted(r.g) for r in got] == [["abc", "bca", "cab"], [], [], [], ["日本語", "本語x"]]

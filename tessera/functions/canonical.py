@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.hashing import digest
-from tessera.functions.scalar import portable
+from tessera.functions.scalar import let, significant
 
 DIGITS = 12
 # Control characters of JSON text that have a short escape.
@@ -40,24 +40,31 @@ def float_text(value: Column, digits: int = DIGITS) -> Column:
     """
     if not 10 <= digits <= 15:
         raise ValueError("digits must lie in 10..15")
-    rounded = portable(value, digits)
-    parts = F.split(F.format_string(f"%.{digits - 1}e", F.abs(rounded)), "e")
-    figures = F.rtrim(F.replace(parts[0], F.lit("."), F.lit("")), F.lit("0"))
-    power = parts[1].try_cast("int")
-    known = F.length(figures)
-    whole = F.concat(F.substring(F.rpad(figures, F.greatest(known, power + 1), F.lit("0")), F.lit(1), power + 1), F.lit("."))
-    large = F.concat(whole, F.when(known > power + 1, F.substring(figures, power + 2, known)).otherwise(F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
-    mantissa = F.when(known > 1, F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, F.lit(2), known))).otherwise(figures)
-    sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
-    pad = F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit(""))
-    scientific = F.concat(mantissa, F.lit("e"), sign, pad, F.abs(power).cast("string"))
-    unsigned = (
-        F.when(rounded == 0, F.lit("0.0"))
-        .when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(scientific)
-    )
-    finite = value.isNotNull() & ~F.isnan(rounded) & (F.abs(rounded) < F.lit(float("inf")))
-    return F.when(finite, F.concat(F.when(rounded < 0, F.lit("-")).otherwise(F.lit("")), unsigned))
+    return let(significant(value, digits), lambda rounded: _decimal_text(rounded, digits))
+
+
+def _decimal_text(rounded: Column, digits: int) -> Column:
+    """Text of a rounded number. Each part is bound once: within an array, an expression is evaluated wherever it is named."""
+    def spelled(parts: Column) -> Column:
+        figures = F.rtrim(F.replace(parts[0], F.lit("."), F.lit("")), F.lit("0"))
+        return let(F.struct(figures.alias("figures"), parts[1].try_cast("int").alias("power")), laid_out)
+
+    def laid_out(number: Column) -> Column:
+        figures, power = number["figures"], number["power"]
+        known = F.length(figures)
+        whole = F.concat(F.substring(F.rpad(figures, F.greatest(known, power + 1), F.lit("0")), F.lit(1), power + 1), F.lit("."))
+        large = F.concat(whole, F.when(known > power + 1, F.substring(figures, power + 2, known)).otherwise(F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+        mantissa = F.when(known > 1, F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, F.lit(2), known))).otherwise(figures)
+        sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
+        pad = F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit(""))
+        scientific = F.concat(mantissa, F.lit("e"), sign, pad, F.abs(power).cast("string"))
+        return F.when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(scientific)
+
+    unsigned = let(F.split(F.format_string(f"%.{digits - 1}e", F.abs(rounded)), "e"), spelled)
+    signed = F.when(rounded == 0, F.lit("0.0")).otherwise(F.concat(F.when(rounded < 0, F.lit("-")).otherwise(F.lit("")), unsigned))
+    finite = rounded.isNotNull() & ~F.isnan(rounded) & (F.abs(rounded) < F.lit(float("inf")))
+    return F.when(finite, signed)
 
 
 def _variant_text(value: Column, digits: int) -> Column:

@@ -73,3 +73,12 @@ def test_dates_decimals_and_refusals(spark):
         C.canonical_json(spark.sql("SELECT map(1, 2) AS m"))
     with pytest.raises(ValueError):
         C.canonical_json(df, ["d", "d"])
+
+
+def test_number_text_is_formatted_once(spark):
+    plan = spark.range(1).select(C.float_text(F.col("id").cast("double")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("format_string") <= 2  # the text itself, and the rounding of numbers out of the plain range
+    # shortest texts that end in a five, which half of the numbers do not reach
+    values = [float(f"{sign}{n}5e-10") for n in range(834917698100, 834917698140) for sign in ("", "-")]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(C.float_text(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [repr(float(f"{v:.11e}")) for v in values]

@@ -171,3 +171,52 @@ def test_claims(spark):
     assert out == {"c1:rendering-1": True, "c1:rendering-2": False, "c2:rendering-1": True}
     s = t.audit_summary(t.check_renderings(rend, big, docs)).collect()[0]
     assert (s.checks_total, s.checks_passed, s.checks_failed) == (3, 2, 1)
+
+
+def near_copies():
+    """Sets of 1 to 150 tokens with copies that lack, add or exchange some, around and across the bands of sizes."""
+    rng, words = random.Random(8), [f"t{i}" for i in range(900)]
+    texts = []
+    for size in [*range(1, 30), 37, 55, 80, 110, 150]:
+        base = rng.sample(words, size)
+        texts.append(" ".join(base))
+        for change in {1, size // 20, size // 12, size // 9, size // 6}:
+            texts += [" ".join(base[change:]), " ".join([*base, *rng.sample(words, change)]), " ".join([*base[change:], *rng.sample(words, change)])]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 0.97])
+def test_sets_cut_into_parts_lose_no_pair(spark, threshold):
+    data = near_copies()
+    firsts = {}
+    for i, text in data:
+        firsts.setdefault(frozenset(tokens(text)), i)
+    sets = {(a, b): jaccard(data[a][1], data[b][1]) for a, b in itertools.combinations(sorted(firsts.values()), 2)}
+    frame = spark.createDataFrame(data, "id long, text string")
+    got = {(r.first_a, r.first_b): r.similarity for r in t.similar_pairs(frame, "id", ["text"], threshold).collect()}
+    assert got == pytest.approx({k: v for k, v in sets.items() if v >= threshold}, abs=1e-6) and got  # ties round up here
+
+
+def test_sets_of_few_words_meet_only_where_they_are_alike(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample([f"v{i}" for i in range(300)], 100)) for _ in range(400)]
+    texts += [x.rsplit(" ", 4)[0] for x in texts[:20]]
+    rows = t.token_rows(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", ["text"])
+    assert 20 <= t._part_candidates(rows, 0.9).count() < 60  # of 88,000 pairs, nearly all of which share a prefix token
+    assert t.class_pairs(rows, 0.9).count() == 20
+
+
+def test_scan_finds_the_tokens_of_the_rule(spark):
+    texts = ["The cool-roof, under A x9 grid-2-b at 5", "--a-b- -cc- dd--ee x-y_z-w", "İstanbul Kelvin naïve-co ÄRGER-1", "", None, "b a-- zz zz"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = {r.id: (r.size, r.tokens) for r in t.token_rows(frame, "id", ["text"]).collect()}
+    rule = frame.select("id", F.sort_array(t.token_set(F.col("text"))).alias("tokens")).collect()
+    assert rows == {r.id: (len(r.tokens), r.tokens) for r in rule}
+
+
+def test_large_neighbourhoods_are_dealt_into_places(spark, monkeypatch):
+    monkeypatch.setattr(t, "PLACE_SETS", 4)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join([*base, f"x{i}"]) for i in range(60)] + [f"y{i} z{i}" for i in range(9)]
+    rows = t.token_rows(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", ["text"])
+    assert t.class_pairs(rows, 0.9).count() == 60 * 59 // 2

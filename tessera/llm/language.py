@@ -313,6 +313,33 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.RecordBatc
     return held
 
 
+def _parcels(rows: DataFrame) -> DataFrame:
+    """(block, parcel): the rows (doc_id, text, wanted, block) of a batch that go to one block, packed together.
+
+    Texts travel twice; many at once compress to far less than row by row in a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            for block, parts in _by_block([batch]).items():
+                sink = pa.BufferOutputStream()
+                own = parts[0].select(["doc_id", "text", "wanted"])
+                with pa.ipc.new_stream(sink, own.schema, options=options) as stream:
+                    stream.write_batch(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "parcel"]
+                )
+
+    return rows.mapInArrow(run, "block int, parcel binary")
+
+
+def _unparcelled(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The rows in the parcels of a block."""
+    parcels = [p.as_py() for b in batches for p in b.column("parcel") if p.is_valid]
+    return [rows for p in parcels for rows in pa.ipc.open_stream(p)]
+
+
 def _dealing(documents: DataFrame, config: LanguageConfig) -> Dealing:
     """Sizes from the bytes of all texts. Words common in a glance at them only choose where pairs are counted."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -332,7 +359,8 @@ def _asked(texts: DataFrame, dealing: Dealing) -> DataFrame:
     names = ["home", "block", "first", "runs", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _by_block(batches).items():
+        for block, parcels in _by_block(batches).items():
+            rows = _unparcelled(parcels)
             own = Block(rows, dealing)
             counts = own.counts(np.concatenate([b.column("wanted").to_numpy(zero_copy_only=False) for b in rows]))
             lengths = np.diff(np.append(own.runs, len(own.keys))).astype(np.uint32)
@@ -397,16 +425,16 @@ def _answered(asked: DataFrame, dealing: Dealing, config: LanguageConfig) -> Dat
     )
 
 
-def _scored(rows: DataFrame, dealing: Dealing, hot: np.ndarray, sums: np.ndarray, totals: np.ndarray,
+def _scored(rows: DataFrame, kind: str, dealing: Dealing, hot: np.ndarray, sums: np.ndarray, totals: np.ndarray,
             config: LanguageConfig) -> DataFrame:
-    """Scores of the texts in ``rows`` (block, doc_id, text, wanted, home, answer), a union of texts and answers.
+    """Scores of the texts in ``rows`` (block, parcel, home, answer), a union of parcels and answers; ``kind`` is doc_id's type.
 
     ``totals`` are the tokens of target and background with the smoothing of all words; ``sums`` those of ``hot`` words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_block(batches).values():
-            texts = [part for b in held if len(part := b.filter(b.column("home").is_null()))]
+            texts = _unparcelled(held)
             own = Block(texts, dealing)
             wanted = [b.column("wanted").to_numpy(zero_copy_only=False).astype(bool) for b in texts]
             pairs = own.counts(np.concatenate(wanted) if wanted else np.zeros(0, bool)).astype(float)
@@ -442,7 +470,6 @@ def _scored(rows: DataFrame, dealing: Dealing, hot: np.ndarray, sums: np.ndarray
                     names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
                 )
 
-    kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(
         run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double"
     )
@@ -460,9 +487,9 @@ def cross_entropy_difference(
         return score(documents, fit(documents, target_ids, config))
     dealing = _dealing(documents, config)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(dealing.blocks)).cast("int").alias("block")
-    rows = _prepared(documents, target_ids).select("doc_id", "text", "wanted", block)
+    parcels = _parcels(_prepared(documents, target_ids).select("doc_id", "text", "wanted", block))
     answers = durable(_answered(
-        _asked(rows.drop("doc_id").repartitionById(dealing.blocks, "block"), dealing).repartitionById(dealing.homes, "home"),
+        _asked(parcels.repartitionById(dealing.blocks, "block"), dealing).repartitionById(dealing.homes, "home"),
         dealing, config,
     ))
     free_shuffles(documents.sparkSession)  # texts and questions are done with before texts and answers travel
@@ -472,13 +499,9 @@ def cross_entropy_difference(
     sums = np.array([[r[f"sum{k}"] for k in range(4)] for _, r in common]).reshape(-1, 4)
     size = len(common) + sum(r["words"] for r in found if r["word"] is None)
     tokens = np.array([[r["sum0"], r["sum1"]] for r in found]).reshape(-1, 2).sum(0)
-    both = rows.select("block", "doc_id", "text", "wanted", F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("answer"))
-    kind = dict(rows.dtypes)["doc_id"]
-    back = answers.where("block is not null").select(
-        "block", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("boolean").alias("wanted"), "home", "answer",
-    )
+    both = parcels.select("block", "parcel", F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("answer"))
+    back = answers.where("block is not null").select("block", F.lit(None).cast("binary").alias("parcel"), "home", "answer")
     return _scored(
-        both.unionByName(back).repartitionById(dealing.blocks, "block"), dealing, np.array([w for w, _ in common], np.uint64),
-        sums, tokens + config.smoothing * (size + 1), config,
+        both.unionByName(back).repartitionById(dealing.blocks, "block"), dict(documents.dtypes)["doc_id"], dealing,
+        np.array([w for w, _ in common], np.uint64), sums, tokens + config.smoothing * (size + 1), config,
     )

@@ -111,3 +111,18 @@ def test_every_word_and_pair_counts(spark):
         for doc, (a, b) in expected.items():
             assert got[doc]["target_loss"] == pytest.approx(a) and got[doc]["background_loss"] == pytest.approx(b)
             assert got[doc]["difference"] == pytest.approx(a - b)
+
+
+def test_texts_travel_in_parcels(spark):
+    docs = [(k, f"text {k} of words that many texts share " * 9 if k % 5 else "", k % 2 == 0, k % 3) for k in range(60)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, wanted boolean, block int").coalesce(1)
+    parcels = L._parcels(rows)
+    assert parcels.count() == 3  # a batch has one for each block, whatever its rows
+
+    def run(batches):
+        for block, held in L._by_block(batches).items():
+            for rows in L._unparcelled(held):
+                yield rows.append_column("block", L.pa.array([block] * len(rows), L.pa.int32()))
+
+    back = parcels.mapInArrow(run, "doc_id long, text string, wanted boolean, block int")
+    assert sorted(map(tuple, back.collect())) == docs

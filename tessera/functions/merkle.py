@@ -6,6 +6,10 @@ walked against each other. Every level is one grouped aggregate of at most ``2 *
 
 Sets take the slot from a line's own digest, which spreads any input, and repeated lines become one line with their
 number. Ordered rows take it from their position.
+
+Where only roots are wanted, :func:`dealt` brings the rows of a branch of an ordered tree to one task before anything is
+hashed; leaves and the levels up to the branch (:func:`branches`) then need no shuffle, and neither hashes nor leaves
+are written anywhere.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.session import durable
@@ -23,13 +28,19 @@ SLOT_BITS = 24
 SET_LEVELS = 4
 ORDERED_LEVELS = 6
 
+# Rows that one task takes of rows dealt by branch, and branches that each task should have at least, to be evenly filled.
+BRANCH_TASK_ROWS = 200_000
+TASK_BRANCHES = 16
+# Levels above its leaves that a branch may have; hashes do not depend on it.
+BRANCH_LEVELS = 2
+
 
-def _sha(text: Column) -> Column:
+def sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
 def _slot_of(line: Column) -> Column:
-    return F.conv(F.substring(_sha(line), 1, SLOT_BITS // 4), 16, 10).cast("long")
+    return F.conv(F.substring(sha(line), 1, SLOT_BITS // 4), 16, 10).cast("long")
 
 
 def set_leaves(df: DataFrame, group: Sequence[str], line: Column) -> DataFrame:
@@ -39,10 +50,15 @@ def set_leaves(df: DataFrame, group: Sequence[str], line: Column) -> DataFrame:
     )
     text = F.concat_ws(" x", "_line", F.col("_n").cast("string"))
     return folded.groupBy(*group, _slot_of(F.col("_line")).alias("slot")).agg(
-        _sha(F.array_join(F.sort_array(F.collect_list(text)), "\n")).alias("hash"), F.sum("_n").alias("rows")
+        sha(F.array_join(F.sort_array(F.collect_list(text)), "\n")).alias("hash"), F.sum("_n").alias("rows")
     )
 
 
+def slot_at(position: Column, span: int) -> Column:
+    """Slot of a position of ordered rows."""
+    return F.floor(position / span).cast("long")
+
+
 def ordered_leaves(df: DataFrame, group: Sequence[str], position: Column, order: Sequence[str], text: Column, span: int) -> DataFrame:
     """Leaves over rows in order: a slot is ``span`` positions, from 0 to below ``span * 2 ** 36``.
 
@@ -50,22 +66,67 @@ def ordered_leaves(df: DataFrame, group: Sequence[str], position: Column, order:
     aggregate.
     """
     rows = df.select(
-        *group, F.floor(position / span).cast("long").alias("slot"),
-        F.struct(*order, F.unhex(_sha(F.coalesce(text, F.lit("")))).alias("_h")).alias("_row"),
+        *group, slot_at(position, span).alias("slot"),
+        F.struct(*order, F.unhex(sha(F.coalesce(text, F.lit("")))).alias("_h")).alias("_row"),
     )
     return rows.groupBy(*group, "slot").agg(
-        _sha(F.array_join(F.transform(F.sort_array(F.collect_list("_row")), lambda r: F.lower(F.hex(r["_h"]))), ",")).alias("hash"),
+        sha(F.array_join(F.transform(F.sort_array(F.collect_list("_row")), lambda r: F.lower(F.hex(r["_h"]))), ",")).alias("hash"),
         F.count("*").alias("rows"),
     )
 
 
+def dealt(df: DataFrame, group: Sequence[str], position: Column, span: int) -> tuple[DataFrame, int]:
+    """``df`` with the ``branch`` of each row, dealt so that a branch is in one task, and a branch's levels above its leaves.
+
+    Branches are as high as leaves enough of them (counted approximately, in one pass) for every task, so a group of
+    any size is spread over tasks.
+    """
+    def branch(levels: int) -> Column:
+        return F.shiftright(slot_at(position, span), FANOUT_BITS * levels)
+
+    heights = range(1, BRANCH_LEVELS + 1)
+    found = df.agg(
+        F.count("*").alias("rows"), *[F.approx_count_distinct(F.xxhash64(*group, branch(k))).alias(f"at{k}") for k in heights]
+    ).first()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, found["rows"] // BRANCH_TASK_ROWS + 1)
+    levels = max((k for k in heights if found[f"at{k}"] >= TASK_BRANCHES * tasks), default=0)
+    return df.withColumn("branch", branch(levels)).repartition(tasks, *group, "branch"), levels
+
+
+def gathered(rows: DataFrame, keys: Sequence[str], order: str, text: Column, flags: Sequence[str] = ()) -> DataFrame:
+    """(keys, hash, rows, flags): the hash of the texts of each key's rows in order, their sum of ``rows``, whether all have a flag.
+
+    For rows that :func:`dealt` brought together: a window sorts a task's rows once and takes each key as it comes, where
+    an aggregate would hold, sort and merge its lists twice.
+    """
+    sorted_rows = W.partitionBy(*keys).orderBy(order)
+    whole = sorted_rows.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.withColumn("_text", text).select(
+        *keys, F.collect_list("_text").over(whole).alias("_texts"), F.sum("rows").over(whole).alias("rows"),
+        *[F.bool_and(c).over(whole).alias(c) for c in flags], F.row_number().over(sorted_rows).alias("_at"),
+    ).filter("_at = 1").select(*keys, sha(F.array_join("_texts", ",")).alias("hash"), "rows", *flags)
+
+
+def branches(leaves: DataFrame, group: Sequence[str], levels: int, flags: Sequence[str] = ()) -> DataFrame:
+    """(group, slot, hash, rows, flags): the top of each branch of leaves with ``branch`` that :func:`dealt` brought together."""
+    keys = [*group, "branch", "_up"]
+    for _ in range(levels):
+        children = leaves.withColumn("_up", F.shiftright("slot", FANOUT_BITS))
+        leaves = gathered(children, keys, "slot", _child(), flags).withColumnRenamed("_up", "slot")
+    return leaves.drop("branch")
+
+
+def _child() -> Column:
+    return F.concat_ws(":", "slot", "hash")
+
+
 def tree(leaves: DataFrame, group: Sequence[str], levels: int) -> list[DataFrame]:
     """Levels of (group, slot, hash, rows) from the root of each group (slot 0) down to the leaves."""
     out = [durable(leaves)]
-    child = F.struct("slot", F.concat_ws(":", "slot", "hash").alias("_t"))
+    child = F.struct("slot", _child().alias("_t"))
     for _ in range(levels):
         out.append(out[-1].groupBy(*group, F.shiftright("slot", FANOUT_BITS).alias("_up")).agg(
-            _sha(F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda c: c["_t"]), ",")).alias("hash"),
+            sha(F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda c: c["_t"]), ",")).alias("hash"),
             F.sum("rows").alias("rows"),
         ).withColumnRenamed("_up", "slot"))
     return out[::-1]

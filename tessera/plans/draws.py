@@ -18,7 +18,7 @@ from tessera.functions import merkle
 from tessera.functions.hashing import PREFIX
 from tessera.functions.ranking import exact_quantiles
 from tessera.functions.scalar import clamp, portable
-from tessera.session import durable, sized, spread_join
+from tessera.session import SMALL_ROWS, durable, sized, spread_join
 
 COVERAGE_REASON = "Simulation parameters do not exactly cover the model terms."
 TWO_OPTIONS = "At least two option draw streams are required for uncertainty comparison."
@@ -130,31 +130,105 @@ def draw_prefix(draws: DataFrame, outcomes: DataFrame, count: int) -> DataFrame:
     return parameters.join(outcomes, ["run_id", "draw"])
 
 
-#: Positions of draws in a leaf of the stream's hash tree.
+#: Positions of draws in a leaf of the stream's hash tree, digits of a hashed value, and the key of an outcome's record.
 DRAWS_PER_LEAF = 64
+DIGITS = 12
+OUTCOME = "=outcome"
 
 
 def draws_hash(draws: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(run_id, draw_stream_hash): hash of a run's records in the order of their draws and parameters.
 
     A leaf of the tree holds ``DRAWS_PER_LEAF`` consecutive draws, so a run may have any length. Values count with
-    twelve digits.
+    twelve digits. Records are shuffled once, as values; :func:`scored_hash` scores draws that it hashes.
     """
-    return merkle.roots(draw_leaves(draws, outcomes), ["run_id"], merkle.ORDERED_LEVELS).select(
-        "run_id", F.concat(F.lit(PREFIX), "hash").alias("draw_stream_hash")
+    records = draws.select("run_id", "draw", F.col("parameter_id").alias("key"), F.col("value").cast("double").alias("value")).unionByName(
+        outcomes.select("run_id", "draw", F.lit(OUTCOME).alias("key"), F.col("outcome").cast("double").alias("value"))
     )
+    rows, levels = merkle.dealt(records, ["run_id"], F.col("draw"), DRAWS_PER_LEAF)
+    packed = rows.groupBy("run_id", "branch", "draw").agg(F.collect_list(record(F.col("key"), F.col("value"))).alias("records"))
+    return _rooted(merkle.branches(_leaves(packed), ["run_id"], levels), levels)
 
 
 def draw_leaves(draws: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Leaves of the hash tree of each run, for :func:`tessera.functions.merkle.differing_slots` too."""
-    text = lambda c: F.format_string("%.11e", portable(F.col(c)))
-    records = draws.select("run_id", "draw", F.col("parameter_id").alias("key"), text("value").alias("text")).unionByName(
-        outcomes.select("run_id", "draw", F.lit("=outcome").alias("key"), text("outcome").alias("text"))
+    """Leaves of the hash tree of each run, for :func:`tessera.functions.merkle.differing_slots`."""
+    records = draws.select("run_id", "draw", F.col("parameter_id").alias("key"), _text(F.col("value")).alias("text")).unionByName(
+        outcomes.select("run_id", "draw", F.lit(OUTCOME).alias("key"), _text(F.col("outcome")).alias("text"))
     )
     line = F.concat_ws("/", "draw", "key", "text")
     return merkle.ordered_leaves(records, ["run_id"], F.col("draw"), ["draw", "key"], line, DRAWS_PER_LEAF)
 
 
+def _text(value: Column) -> Column:
+    # adding 0.0 turns a negative zero into zero
+    return F.format_string(f"%.{DIGITS - 1}e", value.cast("double") + F.lit(0.0))
+
+
+def record(key: Column, value: Column) -> Column:
+    """(key, hash, value) of one value of the row's ``draw``, as its run's stream hashes it."""
+    line = F.concat_ws("/", F.col("draw"), key, _text(value))
+    return F.struct(key.alias("key"), merkle.sha(line).alias("hash"), value.cast("double").alias("value"))
+
+
+def scored_hash(packed: DataFrame, levels: int, terms: DataFrame, models: DataFrame, digits: int | None = None) -> DataFrame:
+    """:func:`draws_hash` of draws and of the outcomes that :func:`score_draws` gives them, in one pass over the draws.
+
+    ``packed`` has one row for each draw, ``run_id, branch, draw, parameters`` (an array of :func:`record`), dealt by
+    :func:`tessera.functions.merkle.dealt` with these ``levels``. A run is completed if each of its draws has each term
+    once, without nulls, so such draws are scored where they stand, terms added in the order of the array. Runs
+    in which any draw differs are scored and hashed anew by the general way, which counts first.
+    """
+    weights = terms.groupBy("run_id").agg(
+        F.sort_array(F.collect_list("parameter_id")).alias("_ids"),
+        F.collect_list(F.struct("parameter_id", "coefficient")).alias("_terms"),
+        F.count("coefficient").alias("_coefficients"),
+    )
+    sound = (F.size(F.array_distinct("_ids")) == F.size("_terms")) & (F.col("_coefficients") == F.size("_terms"))
+    bounds = models.groupBy("run_id").agg(
+        F.count("*").alias("_models"), *[F.first(c).alias(c) for c in ("intercept", "floor", "ceiling")]
+    ).filter("_models = 1")
+    known = weights.join(bounds, "run_id").select(
+        "run_id", "_ids", F.when(sound, F.map_from_entries("_terms")).alias("_weights"), "intercept", "floor", "ceiling"
+    )
+    linear = F.aggregate("parameters", F.col("intercept").cast("double"), lambda total, p: (
+        total + F.try_element_at("_weights", p["key"]).cast("double") * p["value"]))
+    outcome = clamp(F.col("_linear"), F.col("floor"), F.col("ceiling"))
+    if digits is not None and digits != DIGITS:  # rounding to the digits of the text leaves the text as it is
+        outcome = portable(outcome, digits)
+    scored = spread_join(packed, known, ["run_id"], "draw", how="left").withColumn("_linear", linear).select(
+        "run_id", "branch", "draw",
+        F.concat("parameters", F.array(record(F.lit(OUTCOME), outcome))).alias("records"),
+        F.coalesce(F.col("_linear").isNotNull() & (F.sort_array(F.col("parameters")["key"]) == F.col("_ids")), F.lit(False)).alias("exact"),
+    )
+    tops = durable(merkle.branches(_leaves(scored, "exact"), ["run_id"], levels, ["exact"]))
+    runs = durable(tops.groupBy(F.col("run_id").alias("_run")).agg(F.bool_and("exact").alias("exact")))
+    same = F.col("run_id").eqNullSafe(F.col("_run"))
+    hashed = _rooted(tops.join(runs.filter("exact"), same, "left_semi"), levels)
+    rest = runs.filter("not exact")
+    found = rest.count()
+    if not found:
+        return hashed
+    again = packed.join(F.broadcast(rest) if found <= SMALL_ROWS else rest, same, "left_semi").select(
+        "run_id", "draw", F.explode("parameters").alias("p")
+    ).select("run_id", "draw", F.col("p.key").alias("parameter_id"), "p.value")
+    return hashed.unionByName(draws_hash(again, score_draws(again, terms, models, digits)))
+
+
+def _leaves(packed: DataFrame, *flags: str) -> DataFrame:
+    """(run_id, branch, slot, hash, rows, flags): leaves over dealt draws that hold their records as an array."""
+    rows = packed.select(
+        "run_id", "branch", merkle.slot_at(F.col("draw"), DRAWS_PER_LEAF).alias("slot"), "draw",
+        F.array_join(F.sort_array("records")["hash"], ",").alias("_hashes"), F.size("records").cast("long").alias("rows"), *flags,
+    )
+    return merkle.gathered(rows, ["run_id", "branch", "slot"], "draw", F.col("_hashes"), flags)
+
+
+def _rooted(tops: DataFrame, levels: int) -> DataFrame:
+    return merkle.roots(tops.select("run_id", "slot", "hash", "rows"), ["run_id"], merkle.ORDERED_LEVELS - levels).select(
+        "run_id", F.concat(F.lit(PREFIX), "hash").alias("draw_stream_hash")
+    )
+
+
 @dataclass(frozen=True)
 class OptionConfig:
     maximize: bool = True

@@ -152,3 +152,81 @@ def test_no_run_meets_in_one_task(spark):
         spark.conf.set(conf, before)
     dealt = session.sized(large, ["run_id", "draw"], 40 * session.TASK_ROWS)
     assert dealt.rdd.getNumPartitions() == 41
+
+
+def _general_hash(draws, outcomes):
+    """Roots over leaves that are written first, as any two tables are compared."""
+    from tessera.functions import merkle
+
+    roots = merkle.roots(d.draw_leaves(draws, outcomes), ["run_id"], merkle.ORDERED_LEVELS)
+    return {r.run_id: "sha256:" + r["hash"] for r in roots.collect()}
+
+
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_scored_hash_is_that_of_scored_draws(spark, monkeypatch, most):
+    """At any height of branches, for completed runs, for all kinds of others, for gaps in draws and for odd values."""
+    from tessera.functions import merkle
+
+    names = ("b", "a", "c")
+    wide = spark.range(0, 24_000, 1, 5).select(
+        F.element_at(F.array(*[F.lit(r) for r in ("whole", "short", "null", "unmodelled", "unknown", "doubled")], F.lit(None).cast("string")),
+                     (F.col("id") % 7 + 1).cast("int")).alias("run_id"),
+        F.when(F.col("id") < 4000, F.col("id")).otherwise(F.col("id") * 997).alias("draw"),
+        F.when(F.col("id") % 3 == 0, -0.0).otherwise(F.col("id") / 7.0).alias("b"),
+        (F.col("id") % 11 / 100).alias("a"), F.when((F.col("id") % 7 == 2) & (F.col("id") % 5 == 0), None).otherwise(1e-9 * F.col("id")).alias("c"),
+    ).filter("draw % 13 <> 5")
+    runs = ("whole", "short", "null", "unmodelled", "doubled")
+    terms = spark.createDataFrame(
+        [(r, n, w) for r in runs for n, w in zip(names, (2.0, -300.0, 1e6))] + [("short", "d", 1.0), ("doubled", "a", 1.0)],
+        "run_id string, parameter_id string, coefficient double")
+    models = spark.createDataFrame(
+        [(r, 5.0, 0.0, 5000.0) for r in runs if r != "unmodelled"], "run_id string, intercept double, floor double, ceiling double")
+    draws = wide.unpivot(["run_id", "draw"], list(names), "parameter_id", "value")
+    want = _general_hash(draws, d.score_draws(draws, terms, models, 12))
+    assert len(want) == 7
+    monkeypatch.setattr(merkle, "BRANCH_LEVELS", most)
+    monkeypatch.setattr(merkle, "TASK_BRANCHES", 1)
+    rows, levels = merkle.dealt(wide, ["run_id"], F.col("draw"), d.DRAWS_PER_LEAF)
+    assert levels == most
+    packed = rows.select("run_id", "branch", "draw", F.array(*[d.record(F.lit(n), F.col(n)) for n in names]).alias("parameters"))
+    got = d.scored_hash(packed, levels, terms, models, 12)
+    assert {r.run_id: r.draw_stream_hash for r in got.collect()} == want
+    general = d.draws_hash(draws, d.score_draws(draws, terms, models, 12))
+    assert {r.run_id: r.draw_stream_hash for r in general.collect()} == want
+
+
+def test_stream_hash_shuffles_lines_once(spark, tmp_path):
+    """Each line crosses the shuffle once, as values: no hashes of records or leaves do, nor are leaves written."""
+    from tessera.functions import merkle
+    from tessera.queries import analysis
+
+    lines = 60_000
+    spark.range(0, lines, 1, 4).select(
+        F.floor(F.col("id") / 4).alias("l_orderkey"), (F.col("id") % 4 + 1).cast("int").alias("l_linenumber"),
+        F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("id") * 7919 % 3 + 1).cast("int")).alias("l_returnflag"),
+        (F.col("id") * 31 % 50 + 1).cast("double").alias("l_quantity"), (F.col("id") * 17 % 11 / 100).alias("l_discount"),
+        (F.col("id") * 13 % 9 / 100).alias("l_tax"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    context = spark.sparkContext._jsc.sc()
+    written = []
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): (s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in (found.apply(i) for i in range(found.size()))}
+
+    def noted(df, keep=merkle.durable):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    before = stages()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(merkle, "durable", noted)
+        patch.setattr(d, "durable", noted)
+        got = {r.run_id: r.draw_stream_hash for r in analysis.q_draws_hash(spark, str(tmp_path)).collect()}
+    new = [v for k, v in stages().items() if k not in before]
+    assert sum(n for n, _ in new) < 1.5 * lines and sum(b for _, b in new) < 60 * lines
+    assert sum(written) < lines / 2
+    draws, outcomes = analysis._scored(spark, str(tmp_path))
+    assert got == _general_hash(draws, outcomes)
